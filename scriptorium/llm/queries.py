@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.llm import packing, token_counts, token_files
+from scriptorium.llm import decontaminate, packing, quality_classifier, token_counts, token_files, toxicity, url_filter, warc
 from scriptorium.llm.tokens import TokenizerFile
 from scriptorium.plans.store import fresh_path
 from scriptorium.sources.tables import table
@@ -25,16 +26,44 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest, folder)
 
 
+def _held_out(df: DataFrame, folds: int, fold: int) -> DataFrame:
+    return df.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold).alias("held_out"), "score", "predicted")
+
+
+def op3_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held_out(toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3, folds=4, held_out=2), 4, 2)
+
+
+def op4_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held_out(quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3, folds=5, held_out=0), 5, 0)
+
+
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"), min_bytes=1000)
+    return warc.describe(*warc.store_archives(archives)).drop("verified")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=1024, end_id=2)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=13, share=20)
+
+
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), RULES)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(), fresh_path(spark, "token-cache"), max_tokens=1024)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op6_best_fit_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_token_files, op3_toxicity_nnpu, op4_quality_ftrl, op5_warc_archive, op6_best_fit_packing, op8_decontamination, op9_url_filter, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
