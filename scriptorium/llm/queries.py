@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, packing, quality_classifier, token_counts, token_files, toxicity, url_filter, warc
+from scriptorium.llm import decontaminate, packing, quality_classifier, quality_rules, token_counts, token_files, toxicity, url_filter, warc
 from scriptorium.llm.tokens import TokenizerFile
 from scriptorium.plans.store import fresh_path
 from scriptorium.sources.tables import table
@@ -26,6 +26,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest, folder)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
+
+
 def _held_out(df: DataFrame, folds: int, fold: int) -> DataFrame:
     return df.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold).alias("held_out"), "score", "predicted")
 
@@ -63,7 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op3_toxicity_nnpu, op4_quality_ftrl, op5_warc_archive, op6_best_fit_packing, op8_decontamination, op9_url_filter, op10_token_counts)}
+    return {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_toxicity_nnpu, op4_quality_ftrl, op5_warc_archive, op6_best_fit_packing, op8_decontamination, op9_url_filter, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
