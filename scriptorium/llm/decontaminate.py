@@ -163,3 +163,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, sh
         F.col("s.items_sha256").alias("items_sha256"),
         ((F.col("s.n_hit") > 0) & (share * F.col("s.n_hit") >= F.col("h.n_words"))).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, limit: int = WINDOWS) -> DataFrame:
+    """``docs`` with all its columns, without the contaminated rows."""
+    held = docs.withColumn("_h", hits_of(F.col("text"), blocks(docs, benchmark, size, limit)))
+    told = held.withColumn("_s", _summary()("_h.starts", "_h.lengths", "_h.items"))
+    return told.where((F.col("_s.n_hit") == 0) | (share * F.col("_s.n_hit") < F.col("_h.n_words"))).select(docs.columns)

@@ -63,3 +63,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, ca
     weights, bias = train(docs, labels, **training)
     score = scorer(weights, bias)
     return docs.select(*carry, score(F.col("text")).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **training) -> DataFrame:
+    """``docs`` with all its columns, without the rows scored below ``threshold``."""
+    weights, bias = train(docs, labels, **training)
+    return docs.where(scorer(weights, bias)(F.col("text")) >= threshold)

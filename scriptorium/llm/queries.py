@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, packing, quality_classifier, quality_rules, token_counts, token_files, toxicity, url_filter, warc
+from scriptorium.llm import decontaminate, ngram_join, packing, quality_classifier, quality_rules, token_counts, token_files, toxicity, url_filter, warc
 from scriptorium.llm.tokens import TokenizerFile
 from scriptorium.plans.store import fresh_path
 from scriptorium.sources.tables import table
@@ -52,6 +52,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=1024, end_id=2)
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_classes(table(spark, sf_dir, "documents"), threshold=0.8, size=5).select("doc_id", "class_id", "n_links")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=13, share=20)
 
@@ -68,7 +72,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_toxicity_nnpu, op4_quality_ftrl, op5_warc_archive, op6_best_fit_packing, op8_decontamination, op9_url_filter, op10_token_counts)}
+    return {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_toxicity_nnpu, op4_quality_ftrl, op5_warc_archive, op6_best_fit_packing, op7_ngram_jaccard_join, op8_decontamination, op9_url_filter, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
