@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 #: Pieces a worker remembers, in each of two generations, and the longest one.
-PIECES, LONGEST = 300_000, 64
+PIECES, LONGEST = 500_000, 64
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
