@@ -5,13 +5,153 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.operators import context, dedup, hierarchy, links, search, text, transcripts, usage, vectors
+from scriptorium.plans import relational
+from scriptorium.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Fixed inputs of the registered searches.
+TERMS = ["the", "license", "queque", "und"]
+SCOPE = "en"
+REGION = "ASIA"
+BUDGET, CONTEXT = 1000, 20_000
+
+
+def _on(function, *names: str, **options) -> Query:
+    """A query that applies ``function`` to tables by name."""
+    return lambda spark, sf_dir: function(*[table(spark, sf_dir, n) for n in names], **options)
+
+
+def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25(table(spark, sf_dir, "documents"), TERMS, F.col("lang") == SCOPE)
+
+
+def _bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.topk(_bm25(spark, sf_dir), 20).select("doc_id", "rank")
+
+
+def _queries_of(v: DataFrame) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 20."""
+    return v.where("vec_id % 20 = 0")
+
+
+def _knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return vectors.knn_topk(v, _queries_of(v), 10).select("a", "b", "rank")
+
+
+def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return vectors.cosine_pairs(v, _queries_of(v), 0.3)
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword ranking fused with the neighbours of vector 0, taking vec_id as doc_id."""
+    v = table(spark, sf_dir, "embeddings")
+    near = vectors.knn_topk(v, v.where("vec_id = 0"), 20).select(F.col("b").alias("doc_id"), "rank")
+    return search.rank_fusion([_bm25_topk(spark, sf_dir), near])
+
+
+def _link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.link_edges(table(spark, sf_dir, "pages"))
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return dedup.duplicate_clusters(dedup.near_duplicates(docs))
+
+
+def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.hierarchy_rollup(*[table(spark, sf_dir, n) for n in ("region", "nation", "customer", "orders")])
+
+
+def _scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.scope_filter(REGION, *[table(spark, sf_dir, n) for n in ("region", "nation", "customer", "orders")])
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.inverted_index(table(spark, sf_dir, "documents"))
+
+
+TOKENS = r"SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents"
+_BM25_SQL = rf"""
+WITH words AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '\p{{L}}+') AS ws FROM documents),
+d AS (SELECT doc_id, lang, len(ws) AS dl, {", ".join(f"len(list_filter(ws, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(TERMS))} FROM words),
+s AS (SELECT count(*) AS n, avg(dl) FILTER (WHERE dl > 0) AS avgdl, {", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(TERMS)))} FROM d)
+SELECT doc_id, {" + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))" for i in range(len(TERMS)))} AS score
+FROM d, s WHERE lang = '{SCOPE}' AND greatest({", ".join(f"tf{i}" for i in range(len(TERMS)))}) > 0"""
+_TOPK_SQL = f"SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({_BM25_SQL}) t ORDER BY score DESC, doc_id LIMIT 20"
+_SIM = "list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
+_NEAR_SQL = f"SELECT a, b, rank FROM (SELECT q.vec_id AS a, v.vec_id AS b, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE %s) t WHERE rank <= %d"
+_SHINGLES_SQL = r"""
+once AS (SELECT min(doc_id) AS x, lower(text) AS t FROM documents GROUP BY lower(text)),
+words AS (SELECT x, regexp_extract_all(t, '\p{L}+') AS w FROM once),
+sets AS (SELECT x, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM words WHERE len(w) >= 5),
+flat AS (SELECT x, len(s) AS n, unnest(s) AS g FROM sets),
+near AS (SELECT a.x AS x, b.x AS y, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS j FROM flat a JOIN flat b ON a.g = b.g AND a.x < b.x GROUP BY a.x, b.x)"""
+_MENTION = text.MENTION.replace("(?:", "(?:")
+_SENTENCES_SQL = r"SELECT doc_id, unnest(range(len(ss))) AS pos, unnest(ss) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents) t"
+
+#: name -> (query, DuckDB SQL or None where SQL can't express it).
+QUERIES: dict[str, tuple[Query, str | None]] = {
+    "hierarchy_rollup": (_rollup, "SELECT r_name, n_name, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total, CAST(grouping(r_name, n_name) AS BIGINT) AS gid FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)"),
+    "scope_filter": (_scope, f"SELECT o_orderkey, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = '{REGION}'"),
+    "hierarchy_walk": (lambda s, d: relational.run_sql(s, d, hierarchy.WALK), hierarchy.WALK),
+    "html_to_text": (_on(text.html_to_text, "pages"), "SELECT page_id, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS text_len FROM pages"),
+    "outline": (_on(text.outline, "pages"), r"SELECT page_id, pos, regexp_extract(tag, '^<(h[1-6]|li)', 1) AS kind, regexp_extract(tag, '>([^<]*)$', 1) AS text FROM (SELECT page_id, unnest(range(len(t))) AS pos, unnest(t) AS tag FROM (SELECT page_id, regexp_extract_all(html, '<(?:h[1-6]|li)[^>]*>[^<]*') AS t FROM pages) a) b"),
+    "normalize_text": (_on(text.normalize_text, "documents"), r"SELECT doc_id, trim(regexp_replace(lower(text), '[\x20\x09-\x0D]+', ' ', 'g')) AS text FROM documents"),
+    "link_edges": (_link_edges, "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages"),
+    "backlink_count": (lambda s, d: links.backlink_count(_link_edges(s, d)), "SELECT target, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages) t GROUP BY target"),
+    "orphan_notes": (_on(links.orphan_notes, "documents", "labels"), "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
+    "tokenize": (_on(text.tokens, "documents"), TOKENS),
+    "inverted_index": (_index, f"SELECT w, count(DISTINCT doc_id) AS df, count(*) AS cf FROM ({TOKENS}) t GROUP BY w"),
+    "bm25_search": (_bm25, _BM25_SQL),
+    "bm25_topk": (_bm25_topk, _TOPK_SQL),
+    "cosine_pairs": (_cosine, f"SELECT q.vec_id AS a, v.vec_id AS b, {_SIM} AS sim FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 AND {_SIM} >= 0.3"),
+    "knn_topk": (_knn, _NEAR_SQL % ("q.vec_id % 20 = 0", 10)),
+    "hybrid_rrf": (_hybrid, f"SELECT doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT doc_id, rank FROM ({_TOPK_SQL}) k UNION ALL SELECT b, rank FROM ({_NEAR_SQL % ('q.vec_id = 0', 20)}) n) u GROUP BY doc_id"),
+    "segment_sessions": (_on(transcripts.segment_sessions, "events"), "SELECT user_id, min(ts) AS start, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total FROM (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 30 MINUTE, true) AS gap FROM events) a) b GROUP BY user_id, s"),
+    "segment_tumbling": (_on(transcripts.segment_tumbling, "events"), "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS n FROM events GROUP BY 1"),
+    "segment_sliding": (_on(transcripts.segment_sliding, "events"), "SELECT start, count(*) AS n FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) - to_hours(CAST(6 * unnest([0, 1, 2, 3]) AS BIGINT)) AS start FROM events) t GROUP BY start"),
+    "finalized_segments": (_on(transcripts.finalized_segments, "events"), "SELECT user_id, event_type, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) t WHERE rn = 1"),
+    "turn_stitch": (_on(transcripts.turn_stitch, "conversations"), "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"),
+    "turn_pairs": (_on(transcripts.turn_pairs, "conversations"), "SELECT conv_id, turn, prompt, reply FROM (SELECT conv_id, turn, role, text AS prompt, lead(role) OVER w AS r, lead(text) OVER w AS reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) t WHERE role = 'user' AND r = 'assistant'"),
+    "asof_context": (_on(transcripts.asof_context, "events"), "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_id FROM events"),
+    "entity_mentions": (_on(text.entity_mentions, "documents"), rf"SELECT surface, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{text.MENTION}')) AS surface FROM documents) t GROUP BY surface"),
+    "entity_cooccurrence": (_on(text.entity_cooccurrence, "documents"), rf"WITH m AS (SELECT DISTINCT doc_id, surface FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{text.MENTION}')) AS surface FROM documents) t) SELECT x.surface AS a, y.surface AS b, count(*) AS n FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.surface < y.surface GROUP BY ALL"),
+    "pii_flags": (_on(text.pii_flags, "documents"), rf"SELECT doc_id, n_emails FROM (SELECT doc_id, len(regexp_extract_all(text, '{text.EMAIL}')) AS n_emails FROM documents) t WHERE n_emails > 0"),
+    "extractive_summary": (
+        _on(text.extractive_summary, "documents"),
+        rf"""WITH t AS ({TOKENS}), tf AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY doc_id, w), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+wt AS (SELECT doc_id, w, tf * CAST(floor(ln(1 + (SELECT count(*) FROM documents) / df) * 1000000) AS BIGINT) AS x FROM tf JOIN df USING (w)),
+sw AS (SELECT doc_id, pos, unnest(list_distinct(regexp_extract_all(lower(sentence), '\p{{L}}+'))) AS w FROM ({_SENTENCES_SQL}) s WHERE trim(sentence) <> ''),
+sc AS (SELECT doc_id, pos, CAST(sum(x) AS BIGINT) AS score FROM sw JOIN wt USING (doc_id, w) GROUP BY doc_id, pos)
+SELECT doc_id, pos, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM sc) r WHERE rank <= 3""",
+    ),
+    "exact_duplicates": (_on(dedup.exact_duplicates, "documents"), "SELECT md5(text) AS h, min(doc_id) AS keep_id, count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1"),
+    "near_duplicates": (_on(dedup.near_duplicates, "documents"), f"WITH {_SHINGLES_SQL} SELECT x, y, j FROM near WHERE j >= 0.8"),
+    "near_duplicates_lsh": (_on(dedup.near_duplicates_lsh, "documents"), None),
+    "duplicate_clusters": (_clusters, f"WITH RECURSIVE {_SHINGLES_SQL}, e AS (SELECT x, y FROM near WHERE j >= 0.8 UNION SELECT y, x FROM near WHERE j >= 0.8), r AS (SELECT x AS doc_id, x AS o FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.o = e.x) SELECT doc_id, min(o) AS cluster FROM r GROUP BY doc_id"),
+    "continuity_overlap": (_on(context.continuity_overlap, "documents", "benchmark"), "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"),
+    "context_pack": (_on(context.context_pack, "documents", budget=CONTEXT), f"SELECT doc_id, used FROM (SELECT doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents) t WHERE used <= {CONTEXT}"),
+    "usage_cube": (_on(usage.usage_cube, "events"), "SELECT event_type, user_id, day, count(*) AS n, CAST(sum(x) AS DECIMAL(38,2)) AS cost, CAST(grouping(event_type, user_id, day) AS BIGINT) AS gid FROM (SELECT event_type, user_id, CAST(ts AS DATE) AS day, CAST(value AS DECIMAL(18,2)) AS x FROM events) t GROUP BY CUBE (event_type, user_id, day)"),
+    "usage_rolling": (_on(usage.usage_rolling, "events"), "SELECT event_id, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS DECIMAL(38,2)) AS s FROM events"),
+    "usage_percentiles": (_on(usage.usage_percentiles, "events"), "SELECT event_type, quantile_cont(value, 0.9) AS p90, median(value) AS p50 FROM events GROUP BY event_type"),
+    "usage_props": (_on(usage.usage_props, "events"), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
+    "budget_breach": (_on(usage.budget_breach, "events", budget=BUDGET), f"SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM (SELECT *, sum(CAST(value AS DECIMAL(18,2))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events) a WHERE run > {BUDGET}) b WHERE rn = 1"),
+}
+for _name, _sql in relational.SQL.items():
+    QUERIES[_name] = ((lambda s, d, q=_sql: relational.run_sql(s, d, q)), _sql)
+for _name, (_spark, _duck) in relational.DIALECT.items():
+    QUERIES[_name] = ((lambda s, d, q=_spark: relational.run_sql(s, d, q)), _duck)
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
