@@ -75,5 +75,79 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_toxicity_nnpu, op4_quality_ftrl, op5_warc_archive, op6_best_fit_packing, op7_ngram_jaccard_join, op8_decontamination, op9_url_filter, op10_token_counts)}
 
 
+_WS = r"[\x20\x09-\x0D]+"
+_ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP2_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+s AS (SELECT *, list_filter(regexp_split_to_array(t, '{_WS}'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS raw FROM d),
+g AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM s WHERE len(w) >= 3),
+gg AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS c FROM g),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM gg WHERE c > 1) q GROUP BY r),
+l AS (SELECT r, host, md5(t) AS content, unnest(list_transform(raw, lambda x: md5(trim(regexp_replace(translate(x, {_ABC}), '{_WS}', ' ', 'g'))))) AS h, unnest(list_transform(raw, lambda x: len(list_filter(regexp_split_to_array(x, '{_WS}'), lambda y: y <> '')))) AS n FROM s),
+ld AS (SELECT DISTINCT r, host, content, h FROM l),
+ctx AS (SELECT a.host, a.h, a.content, coalesce(min(b.h), '') AS context FROM ld a LEFT JOIN ld b ON a.r = b.r AND a.h <> b.h GROUP BY a.r, a.host, a.h, a.content),
+cnt AS (SELECT host, h, count(DISTINCT context) AS contexts, count(DISTINCT (context, content)) AS docs FROM ctx GROUP BY host, h),
+hd AS (SELECT host, count(*) AS host_docs FROM d GROUP BY host),
+f AS (SELECT host, h FROM cnt JOIN hd USING (host) WHERE contexts > 20 AND contexts >= 0.6 * docs AND docs >= 0.001 * host_docs),
+gone AS (SELECT r, sum(n) AS n FROM l JOIN f USING (host, h) GROUP BY r),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+  CAST(len(raw) - len(list_distinct(raw)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words FROM s LEFT JOIN rep USING (r) LEFT JOIN gone USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, n_removed_words,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (n_removed_words > 0.5 * n_words) AS kept FROM m"""
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY t) AS top FROM p)
+SELECT page_id, n AS payload_bytes, sha1(t) AS payload_digest, CASE WHEN n >= 1000 AND top IS DISTINCT FROM page_id AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND top IS DISTINCT FROM page_id THEN top END AS refers_to FROM q"""
+
+OP8_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM iw),
+dw AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM win) k WHERE len(w) >= n),
+hit AS (SELECT r, p, dw.n, item_id FROM dw JOIN win ON win.n = dw.n AND win.s = array_to_string(w[p:p + dw.n - 1], ' ')),
+cov AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hit) x GROUP BY r),
+its AS (SELECT r, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT item_id, ',' ORDER BY item_id)) AS h FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(h, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)"""
+
+
+def _rule_sql(host: str, path: str, what: int) -> str:
+    """The longest fitting rule's name (0) or action (1) as a CASE."""
+    ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    cases = " ".join(f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{(h + p, a)[what]}'" for a, h, p in ordered)
+    return f"CASE {cases} END"
+
+
+def _node_sql(url: str) -> str:
+    part = lambda i: f"regexp_extract({url}, '{url_filter.URL}', {i})"
+    return f"CASE WHEN contains({url}, '://') THEN translate({part(1)}, {_ABC}) || '://' || translate({part(2)}, {_ABC}) || {part(3)} || {part(4)} END"
+
+
+def _op9_sql() -> str:
+    quoted = lambda r: r.replace("'", "''")
+    part = lambda i: f"regexp_extract(url, '{url_filter.URL}', {i})"
+    base = f"({part(1)} || '://' || translate({part(2)}, {_ABC}))"
+    return f"""
+WITH RECURSIVE tag AS (SELECT url, replace(regexp_extract(regexp_extract(html, '{quoted(url_filter.CANONICAL)}'), '{quoted(url_filter.HREF)}', 1), '&amp;', '&') AS t FROM pages
+  UNION ALL SELECT url, replace(regexp_extract(regexp_extract(html, '{quoted(url_filter.REFRESH)}'), '{quoted(url_filter.TARGET)}', 1), '&amp;', '&') FROM pages),
+abs AS (SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN {part(1)} || ':' || t WHEN starts_with(t, '/') THEN {base} || t
+  WHEN starts_with(t, '?') THEN {base} || {part(3)} || t WHEN starts_with(t, '#') THEN url
+  ELSE {base} || regexp_replace(CASE WHEN {part(3)} = '' THEN '/' ELSE {part(3)} END, '[^/]*$', '') || t END AS target FROM tag WHERE t <> '' AND url IS NOT NULL),
+e AS (SELECT DISTINCT {_node_sql('url')} AS a, {_node_sql('target')} AS b FROM abs WHERE {_node_sql('url')} <> {_node_sql('target')}),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, x.b FROM r JOIN both_ways x ON r.other = x.a),
+n AS (SELECT node, other, {_rule_sql('h', 'p', 1)} AS act FROM (SELECT node, other, translate(regexp_extract(other, '{url_filter.URL}', 2), {_ABC}) AS h, regexp_extract(other, '{url_filter.URL}', 3) AS p FROM r) y),
+c AS (SELECT node FROM n GROUP BY node HAVING coalesce(bool_or(act = 'block'), false) AND NOT coalesce(bool_or(act = 'allow'), false)),
+j AS (SELECT page_id, url, coalesce(translate({part(2)}, {_ABC}), '') AS host, coalesce({part(3)}, '') AS path FROM pages),
+k AS (SELECT page_id, host, path, {_rule_sql('host', 'path', 0)} AS rule, {_rule_sql('host', 'path', 1)} AS act, {_node_sql('url')} AS node FROM j)
+SELECT page_id, host, path, rule, coalesce(act, CASE WHEN c.node IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM k LEFT JOIN c ON c.node = k.node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Tokenizers, trained classifiers and similarity classes at scale are no SQL; tests
+    hold those queries against brute force."""
+    return {"op2_quality_rules": OP2_SQL, "op5_warc_archive": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_url_filter": _op9_sql()}
