@@ -7,7 +7,9 @@ is left is rejected, as are texts that fail the base rules on their own.
 Copies are not boilerplate (removing them is another operator's work), so documents are
 told apart by their content, and a line's documents by what else they hold: its contexts
 are the distinct least hashes of the other lines beside it. Mirrored articles, however
-many, share their contexts; a footer has as many as documents.
+many, share their contexts; a footer under articles of their own has as many as documents.
+Documents that share most of their lines are mirrors by this measure, whatever the lines
+say, and are left to the similarity join.
 """
 
 from __future__ import annotations

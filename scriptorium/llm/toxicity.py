@@ -78,6 +78,18 @@ def fit_nnpu(positive: list, unlabelled: list, prior: float, epochs: int = 40, b
     return w, float(b)
 
 
+def calibrated(unlabelled: list, w: np.ndarray, b: float, prior: float) -> float:
+    """The bias at which the mean score of the unlabelled rows is the class prior: steps
+    against a negative risk raise all scores together, which this takes back."""
+    if not unlabelled or not 0 < prior < 1:
+        return b
+    g, low, high = _Rows(unlabelled).dot(w, 0.0), -30.0, 30.0
+    for _ in range(60):
+        b = (low + high) / 2
+        low, high = (b, high) if _sigmoid(g + b).mean() < prior else (low, b)
+    return b
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_out: int = 2, positives: int = 4000, unlabelled: int = 8000) -> tuple[np.ndarray, float]:
     """(weights, bias) from at most ``positives`` rows confirmed toxic and ``unlabelled``
     rows of any kind, both outside the held-out fold. The class prior is the share of
@@ -91,7 +103,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     positive, rest = [x for d, x in got.items() if d in wanted], [x for d, x in got.items() if d in drawn]
     keep = telling(positive, rest)
     cut = lambda rows: [(s[keep[s]], v[keep[s]]) for s, v in rows]
-    return fit_nnpu(cut(positive), cut(rest), prior)
+    weights, bias = fit_nnpu(cut(positive), cut(rest), prior)
+    # Twice the weights: the prior then pulls rows without a telling feature further down.
+    return 2 * weights, calibrated(cut(rest), 2 * weights, bias, prior)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, carry: tuple[str, ...] = ("doc_id",), **training) -> DataFrame:
