@@ -65,7 +65,7 @@ def _writer(folder: str):
                 for page_id, url, digest, sha1, leader, payload in zip(b["page_id"], b["url"], b["digest"], b["sha1"], b["leader"], b["payload"]):
                     leader = _none(leader)
                     head = header_block(_none(page_id), url, digest, sha1, len(payload), leader)
-                    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+                    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
                     yield packer.compress(head + (bytes(payload) if leader is None else b"") + b"\r\n\r\n") + packer.flush()
                     n += 1
 
@@ -147,7 +147,7 @@ def store_archives(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = archives.select("path").repartition(max(1, archives.count()))
     headers = materialise(dealt.mapInPandas(_reader(False), RECORD).select("header", "digest"), "warc-headers")
     once = dealt.mapInPandas(_reader(True), RECORD).groupBy("digest").agg(F.first("payload").alias("payload"))
-    return headers, materialise(once, "warc-payloads")
+    return headers, materialise(once, "warc-payloads", compression="zstd")
 
 
 def _field(name: str):
