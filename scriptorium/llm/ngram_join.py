@@ -33,8 +33,8 @@ PLACES = 64
 #: Records of a node that are compared all with all.
 BUCKET = 48
 LEVELS = 4
-#: Records of a verification block.
-BLOCK = 512
+#: Records of a verification block, and shingles of one (16 MB): few records if they are long.
+BLOCK, SHINGLES = 512, 2_000_000
 #: Candidate records up to this number are broadcast to fetch their texts (40 bytes each).
 SMALL = 100_000
 
@@ -206,13 +206,15 @@ def _verifier(threshold: float):
 
 def verified_links(docs: DataFrame, records: DataFrame, candidates: DataFrame, threshold: float, size: int) -> DataFrame:
     """(rec, n, root) rows: numbers of verified partners to be summed by rec, and the least
-    record each was joined to. A component of more than BLOCK records is compared block
-    by block, each pair of blocks a group of its own."""
+    record each was joined to. A component of more than BLOCK records or SHINGLES shingles
+    is compared block by block, each pair of blocks a group of its own."""
     spark = docs.sparkSession
     components = materialise(connected_components(candidates), "candidates")
     # Blocks by hash; their number follows the component's size.
-    sizes = materialise(components.groupBy("component").agg(F.count("*").alias("m")), "candidate-sizes")
-    dealt = components.join(sizes, "component").withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int"))
+    held = components.join(records.select(F.col("rec").alias("node"), "n"), "node")
+    sizes = materialise(held.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")), "candidate-sizes")
+    blocks = F.ceil(F.greatest(F.col("m") / F.lit(BLOCK), F.col("shingles") / F.lit(SHINGLES))).cast("int")
+    dealt = components.join(sizes, "component").withColumn("blocks", blocks)
     dealt = dealt.select(F.col("node").alias("rec"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     wanted = materialise(dealt.join(records.select("rec", "content"), "rec"), "wanted")
     contents = wanted.select("content").distinct()
@@ -245,7 +247,7 @@ def join_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, target:
     gives no rows. Other columns are ignored.
     """
     rows = sketches(docs, size)
-    records = rows.where("copy is not null").groupBy("copy").agg(F.min("row_id").alias("rec"), F.min("content").alias("content"), F.first("sample").alias("sample"))
+    records = rows.where("copy is not null").groupBy("copy").agg(F.min("row_id").alias("rec"), F.min("content").alias("content"), F.first("n").alias("n"), F.first("sample").alias("sample"))
     records = materialise(records, "records")
     found = verified_links(docs, records, candidate_links(records.select("rec", "sample"), threshold, target), threshold, size)
     roots = materialise(connected_components(found.select(F.col("rec").alias("src"), F.col("root").alias("dst"))), "link-classes")

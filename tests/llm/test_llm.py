@@ -296,8 +296,9 @@ def near_copies(seed=6):
     return list(enumerate(rows))
 
 
-def test_chosen_path_join_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 50)
+@pytest.mark.parametrize("limit, value", [("BLOCK", 50), ("SHINGLES", 1500)])
+def test_chosen_path_join_against_brute_force(spark, monkeypatch, limit, value):
+    monkeypatch.setattr(ngram_join, limit, value)
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class_id", F.lit("x"))
     got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join_classes(docs).collect()}
