@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.text import words
+from scriptorium.llm.text import bound_batches, words
 
 #: Windows that one pass over the documents carries (about 300 bytes each).
 WINDOWS = 200_000
@@ -106,6 +106,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame, size: int = 13, limit: int = W
     """Prefix indexes of blocks of at most ``limit`` windows (or one item, if it has
     more). Each block's index is what a pass over the documents ships to the executors;
     a larger benchmark makes more passes, not larger blocks."""
+    bound_batches(docs.sparkSession)
     out: list[Prefix] = []
 
     def close(rows: list[tuple[str, bytes | None]]) -> None:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.text import mix, shingles
+from scriptorium.llm.text import bound_batches, mix, shingles
 from scriptorium.operators.components import connected_components
 from scriptorium.plans.store import broadcast_if, materialise
 
@@ -246,6 +246,7 @@ def join_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, target:
     doc_ids take part, and a class of nothing else has a null class_id. An empty table
     gives no rows. Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     rows = sketches(docs, size)
     records = rows.where("copy is not null").groupBy("copy").agg(F.min("row_id").alias("rec"), F.min("content").alias("content"), F.first("n").alias("n"), F.first("sample").alias("sample"))
     records = materialise(records, "records")

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.llm.text import bound_batches
 from scriptorium.llm.tokens import TokenizerFile, encoder
 from scriptorium.plans.store import materialise
 
@@ -128,5 +129,6 @@ def pack_documents(docs: DataFrame, tokenizer: TokenizerFile, capacity: int = 10
     are packed like any other; the order among equal pieces is by their columns. An
     empty table gives no pieces. Columns other than doc_id and text are ignored.
     """
+    bound_batches(docs.sparkSession)
     pieces = materialise(cut_documents(docs, tokenizer, capacity, end_id), "pieces")
     return place(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -5,8 +5,21 @@ from __future__ import annotations
 import re
 
 import numpy as np
+from pyspark.sql import SparkSession
 from xxhash import xxh3_64_intdigest
 
+#: Whole texts of an Arrow batch: at 10 KB a text 10 MB, in a worker that holds it some times over.
+BATCH = 1000
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch to BATCH, as rows are whole texts here. It
+    stays lowered: plans that are returned run later."""
+    if not 0 < int(spark.conf.get(ROWS)) <= BATCH:
+        spark.conf.set(ROWS, BATCH)
+
+
 #: A-Z lower-cased, then maximal runs of digits, a-z and any non-ASCII character. Bytes
 #: from 0x80 occur in UTF-8 only within non-ASCII characters, so runs never split one.
 find_words = re.compile(rb"[0-9a-z\x80-\xff]+").findall
