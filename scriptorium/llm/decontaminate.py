@@ -21,7 +21,7 @@ from scriptorium.llm.text import bound_batches, words
 
 #: Windows that one pass over the documents carries (about 300 bytes each).
 WINDOWS = 200_000
-HITS = "n_words long, starts array<int>, lengths array<int>, items array<string>"
+HITS = "n_words long, starts array<int>, lengths array<int>, items array<string>, n_hit long, n_items long, items_sha256 string"
 
 Prefix = dict[bytes, list[tuple[int, tuple[bytes, ...], tuple[str, ...]]]]
 
@@ -72,36 +72,27 @@ def occurrences(found: list[bytes], index: Prefix) -> list[tuple[int, int, tuple
     return out
 
 
-def _scan(index: Prefix):
+def _scan(indexes: list[Prefix]):
+    """A text against all blocks, in one pass of one worker: HITS."""
+
     @F.pandas_udf(HITS)
     def scan(bodies: pd.Series) -> pd.DataFrame:
         rows = []
         for body in bodies:
             found = words(body)
-            spans = occurrences(found, index)
+            spans = [x for index in indexes for x in occurrences(found, index)]
+            hit, end = 0, 0
+            for a, n in sorted((start, n) for start, n, _ in spans):
+                hit += max(0, a + n - max(a, end))
+                end = max(end, a + n)
             items = sorted({i for _, _, ids in spans for i in ids})
-            rows.append((len(found), [s for s, _, _ in spans], [n for _, n, _ in spans], items))
-        return pd.DataFrame(rows, columns=["n_words", "starts", "lengths", "items"])
+            digest = hashlib.sha256(",".join(items).encode()).hexdigest()
+            rows.append((len(found), [s for s, _, _ in spans], [n for _, n, _ in spans], items, hit, len(items), digest))
+        return pd.DataFrame(rows, columns=["n_words", "starts", "lengths", "items", "n_hit", "n_items", "items_sha256"])
 
     return scan
 
 
-def _summary():
-    @F.pandas_udf("n_hit long, n_items long, items_sha256 string")
-    def summary(starts: pd.Series, lengths: pd.Series, items: pd.Series) -> pd.DataFrame:
-        rows = []
-        for s, n, i in zip(starts, lengths, items):
-            hit, end = 0, 0
-            for a, b in sorted((int(a), int(a) + int(k)) for a, k in zip(s, n)):
-                hit += max(0, b - max(a, end))
-                end = max(end, b)
-            ids = sorted(set(i))
-            rows.append((hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_hit", "n_items", "items_sha256"])
-
-    return summary
-
-
 def blocks(docs: DataFrame, benchmark: DataFrame, size: int = 13, limit: int = WINDOWS) -> list[Prefix]:
     """Prefix indexes of blocks of at most ``limit`` windows (or one item, if it has
     more). Each block's index is what a pass over the documents ships to the executors;
@@ -130,17 +121,8 @@ def blocks(docs: DataFrame, benchmark: DataFrame, size: int = 13, limit: int = W
 
 
 def hits_of(text: Column, indexes: list[Prefix]) -> Column:
-    """A struct of HITS for a text against all blocks: whole words, found spans, items."""
-    body = text.cast("binary")
-    found = [_scan(index)(body) for index in indexes or [{}]]
-    if len(found) == 1:
-        return found[0]
-    return F.struct(
-        found[0]["n_words"].alias("n_words"),
-        F.concat(*[f["starts"] for f in found]).alias("starts"),
-        F.concat(*[f["lengths"] for f in found]).alias("lengths"),
-        F.concat(*[f["items"] for f in found]).alias("items"),
-    )
+    """A struct of HITS for a text: whole words, found spans, their items and sums."""
+    return _scan(indexes)(text.cast("binary"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, limit: int = WINDOWS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -155,19 +137,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, sh
     """
     indexes = blocks(docs, benchmark, size, limit)
     held = docs.select(*[F.col(c).alias(f"c_{c}") for c in carry], hits_of(F.col("text"), indexes).alias("h"))
-    told = held.withColumn("s", _summary()("h.starts", "h.lengths", "h.items"))
-    return told.select(
+    return held.select(
         *[F.col(f"c_{c}").alias(c) for c in carry],
-        F.col("h.n_words").alias("n_words"),
-        F.col("s.n_hit").alias("n_hit"),
-        F.col("s.n_items").alias("n_items"),
-        F.col("s.items_sha256").alias("items_sha256"),
-        ((F.col("s.n_hit") > 0) & (share * F.col("s.n_hit") >= F.col("h.n_words"))).alias("contaminated"),
+        *[F.col(f"h.{c}").alias(c) for c in ("n_words", "n_hit", "n_items", "items_sha256")],
+        ((F.col("h.n_hit") > 0) & (share * F.col("h.n_hit") >= F.col("h.n_words"))).alias("contaminated"),
     )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, limit: int = WINDOWS) -> DataFrame:
     """``docs`` with all its columns, without the contaminated rows."""
     held = docs.withColumn("_h", hits_of(F.col("text"), blocks(docs, benchmark, size, limit)))
-    told = held.withColumn("_s", _summary()("_h.starts", "_h.lengths", "_h.items"))
-    return told.where((F.col("_s.n_hit") == 0) | (share * F.col("_s.n_hit") < F.col("_h.n_words"))).select(docs.columns)
+    return held.where((F.col("_h.n_hit") == 0) | (share * F.col("_h.n_hit") < F.col("_h.n_words"))).select(docs.columns)
