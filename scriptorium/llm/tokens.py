@@ -6,7 +6,7 @@ whatever the corpus), so executors need no file of their own.
 Byte-level BPE without a normaliser never merges across a single space that stands
 between two non-space characters: such a space always starts a new pre-token. Texts
 are therefore cut there, and each worker remembers the ids of the pieces it has seen;
-only unseen pieces reach the tokenizer. A text with other runs of white space is cut
+only a text's unseen pieces reach the tokenizer, in one call. A text with other runs of white space is cut
 by a look-around, and any other kind of tokenizer gets whole texts.
 """
 
@@ -20,8 +20,10 @@ from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+
 #: Pieces a worker remembers, in each of two generations, and the longest one.
-PIECES, LONGEST = 500_000, 64
+PIECES, LONGEST = 250_000, 64
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -29,27 +31,58 @@ class _Uncut(Exception):
     """A piece with white space at an end: the text must be cut another way."""
 
 
-class _Pieces(dict):
+class _Pieces:
     """piece -> bytes of the ids of a space and the piece. Two generations: when the
-    young one is full it becomes the old one, and what is used again is kept."""
-
-    def __init__(self, encode, code: str):
-        super().__init__()
-        self.encode, self.code, self.old = encode, code, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.old.get(piece)
-        if found is None:
-            if not piece or piece[0].isspace() or piece[-1].isspace():
-                raise _Uncut
-            found = array(self.code, self.encode(" " + piece)).tobytes()
-            if len(piece) > LONGEST:
-                return found
-        if len(self) >= PIECES:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = found
-        return found
+    young one is full it becomes the old one, and what is used again is kept.
+
+    What a text has of unseen pieces is encoded in one call: a space stands only where a
+    piece starts, so the ids of tokens that start with a space are where to split.
+    """
+
+    def __init__(self, encode, code: str, starts: np.ndarray):
+        self.encode, self.code, self.starts = encode, code, starts
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _alone(self, piece: str) -> bytes:
+        return array(self.code, self.encode(" " + piece)).tobytes()
+
+    def _learn(self, unseen: list[str]) -> None:
+        ids = np.array(self.encode(" " + " ".join(unseen)), dtype=self.code)
+        edges = np.flatnonzero(self.starts[ids])
+        if len(edges) == len(unseen):
+            data, at = ids.tobytes(), [*(edges * ids.itemsize).tolist(), ids.nbytes]
+            self.young.update(zip(unseen, [data[a:b] for a, b in zip(at, at[1:])]))
+        else:
+            self.young.update((piece, self._alone(piece)) for piece in unseen)
+
+    def joined(self, parts: list[str], plain: bool) -> bytes:
+        """The ids of all parts. ``plain``: parts with white space at an end aren't allowed."""
+        if len(self.young) >= PIECES:
+            self.young, self.old = {}, self.young
+        young, unseen, once = self.young, [], []
+        for piece in set(parts).difference(young):
+            held = self.old.get(piece)
+            if held is not None:
+                young[piece] = held
+            elif not piece or piece[0].isspace() or piece[-1].isspace():
+                if plain:
+                    raise _Uncut
+                once.append(piece)
+            elif len(piece) > LONGEST:
+                once.append(piece)
+            elif " " in piece:
+                young[piece] = self._alone(piece)
+            else:
+                unseen.append(piece)
+        if unseen:
+            self._learn(unseen)
+        for piece in once:
+            young[piece] = self._alone(piece)
+        out = b"".join(map(young.__getitem__, parts))
+        for piece in once:
+            del young[piece]
+        return out
 
 
 @dataclass(frozen=True)
@@ -92,7 +125,8 @@ class Encoder:
             model.no_truncation()
             model.no_padding()
             self.size = model.get_vocab_size(with_added_tokens=True)
-            self._ids = lambda text: model.encode(text, add_special_tokens=False).ids
+            # The fast form skips offsets, which are not used.
+            self._ids = lambda text: model.encode_batch_fast([text], add_special_tokens=False)[0].ids
             spec = json.loads(file.data)
             pre = spec.get("pre_tokenizer") or {}
             cut = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
@@ -100,7 +134,14 @@ class Encoder:
         #: Unsigned type of the ids: two bytes where the vocabulary allows.
         self.code = "H" if self.size <= 1 << 16 else "I"
         self.dtype = "<u2" if self.code == "H" else "<u4"
-        self._pieces = _Pieces(self._ids, self.code) if cut else None
+        self._pieces = _Pieces(self._ids, self.code, self._starts(spec)) if cut else None
+
+    def _starts(self, spec: dict) -> np.ndarray:
+        """By id: whether the token's bytes start with a space, which byte-level BPE writes as \u0120."""
+        starts = np.zeros(self.size, bool)
+        starts[[i for token, i in spec["model"]["vocab"].items() if token.startswith("\u0120")]] = True
+        starts[[t["id"] for t in spec.get("added_tokens", [])]] = False
+        return starts
 
     def packed(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned integers of ``dtype``; null is empty."""
@@ -110,18 +151,12 @@ class Encoder:
             head, *rest = text.split(" ")
             if head and not head[-1].isspace():
                 try:
-                    return array(self.code, self._ids(head)).tobytes() + b"".join(map(self._pieces.__getitem__, rest))
+                    return array(self.code, self._ids(head)).tobytes() + self._pieces.joined(rest, True)
                 except _Uncut:
                     head, *rest = _SPACE.split(text)
-                    return array(self.code, self._ids(head)).tobytes() + b"".join(self._inner(p) for p in rest)
+                    return array(self.code, self._ids(head)).tobytes() + self._pieces.joined(rest, False)
         return array(self.code, self._ids(text)).tobytes()
 
-    def _inner(self, piece: str) -> bytes:
-        try:
-            return self._pieces[piece]
-        except _Uncut:
-            return array(self.code, self._ids(" " + piece)).tobytes()
-
 
 _encoders: dict[tuple[str, int], Encoder] = {}
 
