@@ -22,8 +22,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-#: Pieces a worker remembers, in each of two generations, and the longest one.
-PIECES, LONGEST = 250_000, 64
+#: Pieces a worker remembers, in each of two generations (160 bytes a piece), and the longest one.
+PIECES, LONGEST = 500_000, 64
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -39,8 +39,8 @@ class _Pieces:
     piece starts, so the ids of tokens that start with a space are where to split.
     """
 
-    def __init__(self, encode, code: str, starts: np.ndarray):
-        self.encode, self.code, self.starts = encode, code, starts
+    def __init__(self, encode, code: str, starts: np.ndarray, limit: int):
+        self.encode, self.code, self.starts, self.limit = encode, code, starts, limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -58,14 +58,14 @@ class _Pieces:
 
     def joined(self, parts: list[str], plain: bool) -> bytes:
         """The ids of all parts. ``plain``: parts with white space at an end aren't allowed."""
-        if len(self.young) >= PIECES:
+        if len(self.young) >= self.limit:
             self.young, self.old = {}, self.young
         young, unseen, once = self.young, [], []
         for piece in set(parts).difference(young):
             held = self.old.get(piece)
             if held is not None:
                 young[piece] = held
-            elif not piece or piece[0].isspace() or piece[-1].isspace():
+            elif not piece or len(piece.strip()) < len(piece):
                 if plain:
                     raise _Uncut
                 once.append(piece)
@@ -87,15 +87,17 @@ class _Pieces:
 
 @dataclass(frozen=True)
 class TokenizerFile:
-    """A tokenizer file's name and bytes; pickled into tasks."""
+    """A tokenizer file's name and bytes; pickled into tasks. ``pieces`` trades a worker's
+    memory for CPU time and has no part in the results."""
 
     name: str
     data: bytes = field(repr=False)
+    pieces: int = PIECES
 
     @classmethod
-    def read(cls, path: str) -> TokenizerFile:
+    def read(cls, path: str, pieces: int = PIECES) -> TokenizerFile:
         with open(path, "rb") as f:
-            return cls(os.path.basename(path), f.read())
+            return cls(os.path.basename(path), f.read(), pieces)
 
     @property
     def digest(self) -> str:
@@ -134,7 +136,7 @@ class Encoder:
         #: Unsigned type of the ids: two bytes where the vocabulary allows.
         self.code = "H" if self.size <= 1 << 16 else "I"
         self.dtype = "<u2" if self.code == "H" else "<u4"
-        self._pieces = _Pieces(self._ids, self.code, self._starts(spec)) if cut else None
+        self._pieces = _Pieces(self._ids, self.code, self._starts(spec), file.pieces) if cut else None
 
     def _starts(self, spec: dict) -> np.ndarray:
         """By id: whether the token's bytes start with a space, which byte-level BPE writes as \u0120."""
@@ -158,12 +160,12 @@ class Encoder:
         return array(self.code, self._ids(text)).tobytes()
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple[str, int, int], Encoder] = {}
 
 
 def encoder(file: TokenizerFile) -> Encoder:
     """This worker's encoder for a file; reused from task to task."""
-    key = (file.name, hash(file.data))
+    key = (file.name, hash(file.data), file.pieces)
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(file)
