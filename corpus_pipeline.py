@@ -37,7 +37,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all that is left, with their places in sequences of 1024 tokens."""
-    return packing.pack_documents(docs, vocabulary(), capacity=1024, end_id=2)
+    return packing.pack_documents(docs, vocabulary(pieces=100_000), capacity=1024, end_id=2)
 
 
 STAGES = [

@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import decontaminate, ngram_join, packing, quality_classifier, quality_rules, token_counts, token_files, toxicity, url_filter, warc
-from scriptorium.llm.tokens import TokenizerFile
+from scriptorium.llm.tokens import PIECES, TokenizerFile
 from scriptorium.plans.store import fresh_path
 from scriptorium.sources.tables import table
 
 
-def vocabulary(name: str = "byte_bpe_50k.json") -> TokenizerFile:
-    """A public tokenizer file by name."""
+def vocabulary(name: str = "byte_bpe_50k.json", pieces: int = PIECES) -> TokenizerFile:
+    """A public tokenizer file by name, and the pieces a worker remembers of it."""
     import public_tokenizers
 
-    return TokenizerFile.read(public_tokenizers.path(name))
+    return TokenizerFile.read(public_tokenizers.path(name), pieces)
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
