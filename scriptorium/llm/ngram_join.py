@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.text import bound_batches, mix, shingles
 from scriptorium.operators.components import connected_components
-from scriptorium.plans.store import broadcast_if, materialise
+from scriptorium.plans.store import broadcast_if, drop_path, materialise, materialise_to
 
 PLACES = 64
 #: Records of a node that are compared all with all.
@@ -226,11 +226,13 @@ def verified_links(docs: DataFrame, records: DataFrame, candidates: DataFrame, t
         for batch in batches:
             yield pd.DataFrame({"content": batch["content"], "tokens": [shingles(b, size).tobytes() for b in batch["body"]]})
 
-    sets = materialise(texts.mapInPandas(to_sets, "content string, tokens binary"), "sets")
+    sets, path = materialise_to(texts.mapInPandas(to_sets, "content string, tokens binary"), "sets")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
     spread = wanted.join(sets, "content").select("rec", "component", "block", "tokens", F.explode(pairs).alias("p")).select("rec", "component", "block", "tokens", "p.i", "p.j")
     spread = spread.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "component", "i", "j").sortWithinPartitions("component", "i", "j", "rec")
-    return materialise(spread.mapInPandas(_verifier(threshold), "rec long, n long, root long"), "verified")
+    verified = materialise(spread.mapInPandas(_verifier(threshold), "rec long, n long, root long"), "verified")
+    drop_path(spark, path)  # the largest table of all, and no later plan reads it
+    return verified
 
 
 def join_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, target: float = 0.9999) -> DataFrame:
