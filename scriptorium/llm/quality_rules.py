@@ -5,11 +5,12 @@ line of too many documents is boilerplate and is removed; a document of which to
 is left is rejected, as are texts that fail the base rules on their own.
 
 Copies are not boilerplate (removing them is another operator's work), so documents are
-told apart by their content, and a line's documents by what else they hold: its contexts
-are the distinct least hashes of the other lines beside it. Mirrored articles, however
-many, share their contexts; a footer under articles of their own has as many as documents.
-Documents that share most of their lines are mirrors by this measure, whatever the lines
-say, and are left to the similarity join.
+told apart by what they hold besides lines that are frequent on their host. That is a
+document's own text: lines neither frequent nor near copies of a frequent line. Documents
+with enough of it are distinct if their own lines are, whatever else they share, so shared
+lines do not shield each other. Documents with less are copies or near copies (Jaccard
+similarity about 0.8 and more), and are told apart by the rarest frequent line they hold:
+the mirrors of an article have few of these between them, whatever their number.
 """
 
 from __future__ import annotations
@@ -29,19 +30,22 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Limits:
-    """A line is removed if it stands in more than ``max_docs`` contexts, these are at
-    least ``min_context_share`` of its documents, and its documents are at least
-    ``min_host_share`` of the host's. A document is depleted if more than
-    ``max_removed_share`` of its words are removed."""
+    """A line is removed if it stands in more than ``max_docs`` distinct documents of a
+    host, which are at least ``min_host_share`` of the host's. A document is distinct by its
+    own lines if these hold more than ``min_own_share`` of its words: two that share all else
+    have a Jaccard similarity of (1 - s) / (1 + s), 0.8 at a share s of 1/9. A document is
+    depleted if more than ``max_removed_share`` of its words are removed."""
 
     max_docs: int = 20
-    min_context_share: float = 0.6
+    min_own_share: float = 1 / 9
     min_host_share: float = 0.001
     max_removed_share: float = 0.5
     min_words: int = 50
     max_repeat_percent: int = 50
 
 
+#: A line's sketch: its least hashes of windows of so many words. Edits of a word leave most.
+SKETCH, WINDOW = 4, 5
 #: Tables of lines or documents up to this many rows are broadcast (under 100 bytes each).
 SMALL = 50_000
 
@@ -56,9 +60,16 @@ def line_hash(line: Column) -> Column:
     return F.unhex(F.md5(plain.cast("binary")))
 
 
+def sketch(words: Column) -> Column:
+    """The SKETCH least 64-bit hashes of a line's windows; of fewer words it has none."""
+    at = F.sequence(F.lit(0), F.size(words) - WINDOW)
+    hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
+    return F.when(F.size(words) >= WINDOW, F.slice(F.sort_array(hashes), 1, SKETCH)).otherwise(F.array().cast("array<bigint>"))
+
+
 def measured(docs: DataFrame, host: str = "source", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row per row of ``docs``: ``carry``, host, content (MD5 of the text), row_id, the
-    base measures, and lines (h, n_words) of every line with a word.
+    base measures, and lines (h, n words, sketch) of every line with a word.
 
     Windows of three words are compared by 64-bit hashes from whose low bits the position
     is cut, as few as the text's length needs."""
@@ -85,7 +96,10 @@ def measured(docs: DataFrame, host: str = "source", carry: tuple[str, ...] = ("d
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("raw") - F.size(F.array_distinct("raw"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-        F.transform("raw", lambda x: F.struct(line_hash(x).alias("h"), F.size(_words(x)).alias("n"))).alias("lines"),
+        F.transform(
+            F.transform("raw", lambda x: F.struct(line_hash(x).alias("h"), _words(F.translate(x, UPPER, LOWER)).alias("w"))),
+            lambda x: F.struct(x["h"].alias("h"), F.size(x["w"]).alias("n"), sketch(x["w"]).alias("sketch")),
+        ).alias("lines"),
     )
 
 
@@ -93,16 +107,34 @@ def frequent_lines(table: DataFrame, limits: Limits) -> DataFrame:
     """(host, h) of the lines to remove, from a written table of :func:`measured` rows.
 
     Rows are counted first; only lines with enough of them are then counted by distinct
-    contents and contexts. Every count combines within tasks before it is exchanged."""
-    ordered = table.withColumn("hs", F.array_sort(F.array_distinct("lines.h")))
-    other = lambda h: F.when(h == F.get("hs", F.lit(0)), F.coalesce(F.get("hs", F.lit(1)), F.lit(b""))).otherwise(F.get("hs", F.lit(0)))
-    held = ordered.select("host", "content", F.explode(F.transform("hs", lambda h: F.struct(h.alias("h"), other(h).alias("context")))).alias("x")).select("host", "content", "x.h", "x.context")
-    often = materialise(table.select("host", F.explode(F.array_distinct("lines.h")).alias("h")).groupBy("host", "h").agg(F.count("*").alias("rows")).where(F.col("rows") > limits.max_docs).select("host", "h"), "often-lines")
+    contents, and the documents that hold such lines by what tells them apart. Every count
+    combines within tasks before it is exchanged."""
+    held = table.select("row_id", "host", "content", F.explode("lines").alias("x")).select("row_id", "host", "content", "x.*")
+    often = materialise(table.select("host", F.explode(F.array_distinct("lines.h")).alias("h")).groupBy("host", "h").agg(F.count("*").alias("rows")).where(F.col("rows") > limits.max_docs).select("host", "h"), "often-rows")
     close = held.join(broadcast_if(often, often.count(), SMALL), ["host", "h"])
-    by_context = close.groupBy("host", "h", "context", "content").agg(F.lit(1)).groupBy("host", "h", "context").agg(F.count("*").alias("docs"))
-    counted = by_context.groupBy("host", "h").agg(F.count("*").alias("contexts"), F.sum("docs").alias("docs"))
+    by_content = close.groupBy("host", "h", "content").agg(F.first("sketch").alias("sketch")).groupBy("host", "h")
+    often = materialise(by_content.agg(F.count("*").alias("docs"), F.first("sketch").alias("sketch")).where(F.col("docs") > limits.max_docs), "often-lines")
+    n = often.count()
+    if not n:
+        return often.select("host", "h")
+    # Lines that have half of their sketch in common with frequent ones, and are none.
+    marks = often.select("host", F.explode("sketch").alias("mark")).distinct()
+    other = held.select("host", "h", F.size("sketch").alias("of"), F.explode("sketch").alias("mark"))
+    shared = other.join(broadcast_if(marks, SKETCH * n, SMALL), ["host", "mark"]).groupBy("host", "h", "of", "mark").agg(F.lit(1))
+    near = materialise(shared.groupBy("host", "h", "of").agg(F.count("*").alias("n")).where(2 * F.col("n") >= F.col("of")).select("host", "h").distinct(), "near-lines")
+    kinds = often.select("host", "h", "docs").join(near.withColumn("near", F.lit(True)), ["host", "h"], "full")
+    kinds = materialise(kinds, "line-kinds")
+    told = held.join(broadcast_if(kinds, kinds.count(), SMALL), ["host", "h"], "left").withColumn("own", F.col("docs").isNull() & F.col("near").isNull())
+    own = F.when(F.col("own"), F.xxhash64("h"))
+    rarest = F.min(F.when(F.col("docs").isNotNull(), F.struct("docs", "h")))
+    marked = told.groupBy("row_id").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("own"), F.col("n"))).alias("n_own"), F.sum(own.cast("decimal(38,0)")).alias("own"), rarest.alias("rarest"))
+    alone = F.col("n_own") > limits.min_own_share * F.col("n")
+    identity = F.when(alone, F.col("own").cast("string")).otherwise(F.hex("rarest.h"))
+    marked = materialise(marked.where("rarest is not null").select("row_id", identity.alias("identity")), "told-apart")
+    counted = close.select("row_id", "host", "h").join(often.select("host", "h"), ["host", "h"], "left_semi").join(marked, "row_id")
+    counted = counted.groupBy("host", "h", "identity").agg(F.lit(1)).groupBy("host", "h").agg(F.count("*").alias("docs"))
     hosts = table.groupBy("host").agg(F.count("*").alias("host_docs"))
-    over = (F.col("contexts") > limits.max_docs) & (F.col("contexts") >= limits.min_context_share * F.col("docs")) & (F.col("docs") >= limits.min_host_share * F.col("host_docs"))
+    over = (F.col("docs") > limits.max_docs) & (F.col("docs") >= limits.min_host_share * F.col("host_docs"))
     return materialise(counted.join(hosts, "host").where(over).select("host", "h"), "frequent-lines")
 
 

@@ -188,6 +188,19 @@ def test_quality_rules_edges(spark):
     assert quality_rules.judge(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("shared, own", [(3, 3), (5, 5)])
+def test_shared_lines_do_not_shield_each_other(spark, shared, own):
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    nav = [prose(4) for _ in range(shared)]
+    rows = [(i, "\n".join(nav + [prose(25) for _ in range(own)]), "en", "host", 0) for i in range(200)]
+    # Mirrors of one article, an edit in each, under the same lines: one article, which stays.
+    mirror = [prose(12) for _ in range(20)]
+    rows += [(1000 + i, "\n".join(nav + [x + " " + prose(1) if k == i % 20 else x for k, x in enumerate(mirror)]), "en", "host", 0) for i in range(400)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(r.n_removed_words == 4 * shared and r.kept for r in got.values())
+
+
 def labelled(spark, n=400):
     rng = random.Random(9)
     prose = lambda k: " ".join("".join(rng.choices("aeioulnrst", k=5)) for _ in range(k))
