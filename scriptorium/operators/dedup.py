@@ -61,3 +61,14 @@ def near_duplicates_lsh(documents: DataFrame, threshold: float = 0.8, size: int
 def duplicate_clusters(pairs: DataFrame) -> DataFrame:
     """(doc_id, cluster) for the documents of ``pairs`` (x, y): the least id of each cluster."""
     return connected_components(pairs, "x", "y").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+
+
+def duplicate_members(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, cluster) for every document that has a copy or near copy: the least id of its
+    cluster. ``pairs`` are those of :func:`near_duplicates`, of one document for each distinct
+    lower-cased text; its copies, of any length, go with it. Null texts are no copies."""
+    rows = materialise(documents.where("text is not null").select("doc_id", F.md5(F.lower("text")).alias("h")), "text-digests")
+    groups = rows.groupBy("h").agg(F.min("doc_id").alias("x"), F.count("*").alias("n"))
+    near = duplicate_clusters(pairs).withColumnRenamed("doc_id", "x")
+    told = groups.join(near, "x", "left").where("n > 1 or cluster is not null").select("h", F.coalesce("cluster", "x").alias("cluster"))
+    return rows.join(materialise(told, "text-clusters"), "h").select("doc_id", "cluster")

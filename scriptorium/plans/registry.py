@@ -64,6 +64,11 @@ def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.duplicate_clusters(dedup.near_duplicates(docs))
 
 
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return dedup.duplicate_members(docs, dedup.near_duplicates(docs))
+
+
 def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.hierarchy_rollup(*[table(spark, sf_dir, n) for n in ("region", "nation", "customer", "orders")])
 
@@ -135,6 +140,7 @@ SELECT doc_id, pos, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY
     "near_duplicates": (_on(dedup.near_duplicates, "documents"), f"WITH {_SHINGLES_SQL} SELECT x, y, j FROM near WHERE j >= 0.8"),
     "near_duplicates_lsh": (_on(dedup.near_duplicates_lsh, "documents"), None),
     "duplicate_clusters": (_clusters, f"WITH RECURSIVE {_SHINGLES_SQL}, e AS (SELECT x, y FROM near WHERE j >= 0.8 UNION SELECT y, x FROM near WHERE j >= 0.8), r AS (SELECT x AS doc_id, x AS o FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.o = e.x) SELECT doc_id, min(o) AS cluster FROM r GROUP BY doc_id"),
+    "duplicate_members": (_members, f"WITH RECURSIVE {_SHINGLES_SQL}, e AS (SELECT x, y FROM near WHERE j >= 0.8 UNION SELECT y, x FROM near WHERE j >= 0.8), r AS (SELECT x AS doc_id, x AS o FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.o = e.x), c AS (SELECT doc_id AS x, min(o) AS cluster FROM r GROUP BY doc_id), k AS (SELECT lower(text) AS t, min(doc_id) AS x, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY lower(text)) SELECT d.doc_id, coalesce(c.cluster, k.x) AS cluster FROM documents d JOIN k ON lower(d.text) = k.t LEFT JOIN c ON c.x = k.x WHERE k.n > 1 OR c.cluster IS NOT NULL"),
     "continuity_overlap": (_on(context.continuity_overlap, "documents", "benchmark"), "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"),
     "context_pack": (_on(context.context_pack, "documents", budget=CONTEXT), f"SELECT doc_id, used FROM (SELECT doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents) t WHERE used <= {CONTEXT}"),
     "usage_cube": (_on(usage.usage_cube, "events"), "SELECT event_type, user_id, day, count(*) AS n, CAST(sum(x) AS DECIMAL(38,2)) AS cost, CAST(grouping(event_type, user_id, day) AS BIGINT) AS gid FROM (SELECT event_type, user_id, CAST(ts AS DATE) AS day, CAST(value AS DECIMAL(18,2)) AS x FROM events) t GROUP BY CUBE (event_type, user_id, day)"),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions.columns import cosine, jaccard, ngrams
-from scriptorium.operators import search, text, transcripts, vectors
+from scriptorium.operators import dedup, search, text, transcripts, vectors
 from scriptorium.operators.components import connected_components
 from scriptorium.sources import files
 
@@ -83,3 +83,12 @@ def test_formats_need_schemas(spark):
         files.read(spark, "/nowhere", "csv")
     with pytest.raises(ValueError):
         files.read(spark, "/nowhere", "xlsx")
+
+
+def test_every_copy_gets_its_cluster(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    base, other, alone = " ".join(words), " ".join(reversed(words)), " ".join(w + "x" for w in words)
+    rows = [(1, base), (2, base), (3, base.upper()), (4, base + " end"), (5, base + " end"), (6, other), (7, other), (8, "hi"), (9, "Hi"), (10, alone), (11, "ho"), (12, None), (13, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dedup.duplicate_members(docs, dedup.near_duplicates(docs)).collect()
+    assert sorted((r.doc_id, r.cluster) for r in got) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 6), (7, 6), (8, 8), (9, 8)]
