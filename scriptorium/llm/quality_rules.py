@@ -31,14 +31,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 @dataclass(frozen=True)
 class Limits:
     """A line is removed if it stands in more than ``max_docs`` distinct documents of a
-    host, which are at least ``min_host_share`` of the host's. A document is distinct by its
-    own lines if these hold more than ``min_own_share`` of its words: two that share all else
+    host, whatever the host's size. A document is distinct by its own lines if these hold more than ``min_own_share`` of its words: two that share all else
     have a Jaccard similarity of (1 - s) / (1 + s), 0.8 at a share s of 1/9. A document is
     depleted if more than ``max_removed_share`` of its words are removed."""
 
     max_docs: int = 20
     min_own_share: float = 1 / 9
-    min_host_share: float = 0.001
     max_removed_share: float = 0.5
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -133,9 +131,7 @@ def frequent_lines(table: DataFrame, limits: Limits) -> DataFrame:
     marked = materialise(marked.where("rarest is not null").select("row_id", identity.alias("identity")), "told-apart")
     counted = close.select("row_id", "host", "h").join(often.select("host", "h"), ["host", "h"], "left_semi").join(marked, "row_id")
     counted = counted.groupBy("host", "h", "identity").agg(F.lit(1)).groupBy("host", "h").agg(F.count("*").alias("docs"))
-    hosts = table.groupBy("host").agg(F.count("*").alias("host_docs"))
-    over = (F.col("docs") > limits.max_docs) & (F.col("docs") >= limits.min_host_share * F.col("host_docs"))
-    return materialise(counted.join(hosts, "host").where(over).select("host", "h"), "frequent-lines")
+    return materialise(counted.where(F.col("docs") > limits.max_docs).select("host", "h"), "frequent-lines")
 
 
 def judge(docs: DataFrame, limits: Limits = Limits(), host: str = "source", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:  # noqa: B008

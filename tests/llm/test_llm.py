@@ -201,6 +201,16 @@ def test_shared_lines_do_not_shield_each_other(spark, shared, own):
     assert all(r.n_removed_words == 4 * shared and r.kept for r in got.values())
 
 
+def test_boilerplate_does_not_depend_on_the_size_of_the_host(spark):
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    footer = prose(130)
+    rows = [(i, f"{prose(60)}\n{footer}", "en", "host", 0) for i in range(21)]
+    few = spark.range(22_000).selectExpr("id + 1000 as doc_id", "concat('page ', id) as text", "'en' as lang", "'host' as source", "0L as n_chars")
+    got = quality_rules.judge(spark.createDataFrame(rows, DOCS).union(few)).where("doc_id < 1000").collect()
+    assert len(got) == 21 and all(r.n_removed_words == 130 and not r.kept and not r.base_failed for r in got)
+
+
 def labelled(spark, n=400):
     rng = random.Random(9)
     prose = lambda k: " ".join("".join(rng.choices("aeioulnrst", k=5)) for _ in range(k))
