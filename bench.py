@@ -6,10 +6,13 @@ import json
 import os
 import time
 
+from scriptorium.operators.search import build_index
 from scriptorium.plans import registry
+from scriptorium.plans.store import fresh_path
 from scriptorium.session import session
+from scriptorium.sources.tables import table
 
-HEADLINE = ["bm25_topk", "inverted_index", "knn_topk", "segment_sessions", "usage_cube", "hierarchy_rollup", "exact_duplicates", "near_duplicates", "extractive_summary", "asof_context", "continuity_overlap", "agg_group"]
+HEADLINE = ["index_build", "bm25_topk", "inverted_index", "knn_topk", "segment_sessions", "usage_cube", "hierarchy_rollup", "exact_duplicates", "near_duplicates", "extractive_summary", "asof_context", "continuity_overlap", "agg_group"]
 
 
 def main() -> None:
@@ -18,9 +21,12 @@ def main() -> None:
     took = {}
     for name in HEADLINE:
         runs = []
-        for _ in range(2):  # the second run counts: code is compiled then
+        for _ in range(2):  # the faster of two: code is compiled by the second
             start = time.time()
-            registry.queries()[name](spark, folder).write.format("noop").mode("overwrite").save()
+            if name == "index_build":  # what the searches then read
+                build_index(table(spark, folder, "documents"), fresh_path(spark, "bench"), ("lang",))
+            else:
+                registry.queries()[name](spark, folder).write.format("noop").mode("overwrite").save()
             runs.append(time.time() - start)
         took[name] = round(min(runs), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": folder.rstrip("/").rpartition("sf")[2]}))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,4 +27,15 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """The runs of ``n`` words, joined by a space; empty where there are fewer."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.concat_ws(" ", *[F.get(words, i + (k - 1)) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores added until no column of ``df`` is called so in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

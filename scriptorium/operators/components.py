@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.plans.store import drop_path, materialise_to
+from scriptorium.plans.store import drop_path, materialise_to, scoped
 
 
 def _starred(edges: DataFrame, large: bool) -> tuple[DataFrame, list[str]]:
@@ -25,6 +25,7 @@ def _starred(edges: DataFrame, large: bool) -> tuple[DataFrame, list[str]]:
     return out, [out_path]
 
 
+@scoped
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges``; ``component`` is the least node of
     its component. Self-loops name a node without linking it; null ends are dropped;

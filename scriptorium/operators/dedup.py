@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from scriptorium.operators.components import connected_components
-from scriptorium.plans.store import materialise
+from scriptorium.operators.text import letters
+from scriptorium.plans.store import materialise, scoped, spread
+
+#: Bands of minima, and minima of a band: a pair at similarity 0.7 meets in some band with
+#: chance 1 - (1 - 0.7^4)^32 = 0.9998, one at 0.3 with 0.23.
+BANDS, MINIMA = 32, 4
 
 
 def exact_duplicates(documents: DataFrame) -> DataFrame:
@@ -14,61 +24,109 @@ def exact_duplicates(documents: DataFrame) -> DataFrame:
     return documents.groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
 
 
+def _shingles(size: int):
+    """A column function: sorted distinct hashes of the runs of ``size`` words."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(np.array([xxh3_64_intdigest("\n".join(words[i : i + size])) for i in range(len(words) - size + 1)], np.uint64).view(np.int64)) for words in map(list, texts)], dtype=object)
+
+    return shingles
+
+
 def shingle_sets(documents: DataFrame, size: int = 5) -> DataFrame:
-    """(x, s): for each distinct text the least doc_id and its distinct shingles of ``size``
-    letter runs, as 64-bit hashes. Texts of fewer words have none and are left out."""
-    once = documents.groupBy(F.lower("text").alias("text")).agg(F.min("doc_id").alias("x"))
-    words = once.select("x", F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)).alias("w")).where(F.size("w") >= size)
-    run = F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, size))))
-    return words.select("x", F.array_distinct(run).alias("s"))
+    """(doc_id, x, s) as a written table of the documents with a set, and for the one of the
+    least id x among those of equal sets the set itself: distinct shingles of ``size``
+    letter runs as sorted 64-bit hashes. Texts of fewer words have no set."""
+    words = spread(documents).select("doc_id", letters("text").alias("w")).where(F.size("w") >= size)
+    sets = words.select("doc_id", _shingles(size)("w").alias("s")).withColumn("h", F.struct(F.xxhash64("s"), F.hash("s"), F.size("s")))
+    rows = materialise(sets, "document-shingles")
+    heads = rows.groupBy("h").agg(F.min("doc_id").alias("x"))
+    named = rows.join(heads, "h")
+    return materialise(named.select("doc_id", "x", F.when(F.col("doc_id") == F.col("x"), F.col("s")).alias("s")), "shingles")
+
+
+def _members(sets: DataFrame) -> DataFrame:
+    """(x, y, j): each copy (equal sets) beside the one that stands for it."""
+    return sets.where("doc_id <> x").select("x", F.col("doc_id").alias("y"), F.lit(1.0).alias("j"))
+
 
+def _heads(sets: DataFrame) -> DataFrame:
+    return sets.where("s is not null").dropDuplicates(["x"]).select("x", "s")
 
-def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
-    """(x, y, j): pairs of different texts (by their least doc_id) of Jaccard similarity of at
-    least ``threshold``, exact.
+
+@scoped
+def near_duplicates(documents: DataFrame, threshold: float = 0.7, size: int = 5) -> DataFrame:
+    """(x, y, j): pairs of documents of Jaccard similarity of at least ``threshold``, exact:
+    all pairs x < y of different sets, each set by its least doc_id, and every other
+    document of a set beside that one (j = 1), so that copies cost a row and not a pair
+    each. Null doc_ids take no part; repeated ones are one document.
 
     A set of n shingles shares one of its n - ceil(threshold * n) + 1 rarest with any set
     that similar, so only these prefixes are joined, rarest first by document frequency;
     a length bound cuts pairs before the sets are compared."""
-    sets = materialise(shingle_sets(documents, size).withColumn("n", F.size("s")), "shingles")
+    rows = shingle_sets(documents.where("doc_id is not null"), size)
+    sets = materialise(_heads(rows).withColumn("n", F.size("s")), "shingle-sets")
     flat = sets.select("x", "n", F.explode("s").alias("g"))
     rare = flat.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     ranked = flat.join(rare, "g").groupBy("x", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"), F.count("*").alias("m"))
-    # Shingles of one text alone come first in the order and take up the prefix unseen.
+    # Shingles of one set alone come first in the order and take up the prefix unseen.
     length = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1 - (F.col("n") - F.col("m"))
-    prefix = ranked.withColumn("p", length.cast("int")).where("p > 0").select("x", "n", F.explode(F.slice("o", F.lit(1), F.col("p"))).alias("t")).select("x", "n", "t.g")
-    prefix = materialise(prefix, "prefixes")
-    other = prefix.select(F.col("x").alias("y"), F.col("n").alias("ny"), "g")
+    prefix = ranked.withColumn("p", length.cast("int")).where("p > 0").select("x", "n", "m", F.posexplode(F.slice("o", F.lit(1), F.col("p"))).alias("i", "t"))
+    prefix = materialise(prefix.select("x", "n", (F.col("n") - F.col("m") + F.col("i")).alias("at"), "t.g"), "prefixes")
+    other = prefix.select(F.col("x").alias("y"), F.col("n").alias("ny"), F.col("at").alias("aty"), "g")
     near = (F.col("x") < F.col("y")) & (F.col("n") >= threshold * F.col("ny") - 1e-9) & (F.col("ny") >= threshold * F.col("n") - 1e-9)
-    pairs = prefix.join(other, "g").where(near).select("x", "y").distinct()
+    # What can still be shared from this shingle on, and what must be.
+    room = F.least(F.col("n") - F.col("at"), F.col("ny") - F.col("aty")) + F.least("at", "aty")
+    need = threshold / (1 + threshold) * (F.col("n") + F.col("ny"))
+    pairs = materialise(prefix.join(other, "g").where(near & (room >= need - 1e-9)).select("x", "y").distinct(), "near-candidates")
     a, b = sets.select("x", F.col("s").alias("sx")), sets.select(F.col("x").alias("y"), F.col("s").alias("sy"))
     full = pairs.join(a, "x").join(b, "y").withColumn("i", F.size(F.array_intersect("sx", "sy")))
-    return full.select("x", "y", (F.col("i") / (F.size("sx") + F.size("sy") - F.col("i"))).alias("j")).where(F.col("j") >= threshold)
-
-
-def near_duplicates_lsh(documents: DataFrame, threshold: float = 0.8, size: int = 5, tables: int = 24) -> DataFrame:
-    """(x, y): candidate pairs by MinHash LSH (``pyspark.ml``), an approximation of
-    :func:`near_duplicates` whose estimated distance is within 1 - ``threshold``."""
-    from pyspark.ml.feature import HashingTF, MinHashLSH
-
-    words = shingle_sets(documents, size).withColumn("terms", F.col("s").cast("array<string>"))
-    vectors = materialise(HashingTF(inputCol="terms", outputCol="v", numFeatures=1 << 20, binary=True).transform(words).select("x", "v"), "lsh")
-    model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=tables, seed=7).fit(vectors)
-    pairs = model.approxSimilarityJoin(vectors, vectors, 1 - threshold + 1e-6, "d").where("datasetA.x < datasetB.x")
-    return pairs.select(F.col("datasetA.x").alias("x"), F.col("datasetB.x").alias("y"))
-
-
-def duplicate_clusters(pairs: DataFrame) -> DataFrame:
-    """(doc_id, cluster) for the documents of ``pairs`` (x, y): the least id of each cluster."""
-    return connected_components(pairs, "x", "y").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-
-
-def duplicate_members(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, cluster) for every document that has a copy or near copy: the least id of its
-    cluster. ``pairs`` are those of :func:`near_duplicates`, of one document for each distinct
-    lower-cased text; its copies, of any length, go with it. Null texts are no copies."""
-    rows = materialise(documents.where("text is not null").select("doc_id", F.md5(F.lower("text")).alias("h")), "text-digests")
-    groups = rows.groupBy("h").agg(F.min("doc_id").alias("x"), F.count("*").alias("n"))
-    near = duplicate_clusters(pairs).withColumnRenamed("doc_id", "x")
-    told = groups.join(near, "x", "left").where("n > 1 or cluster is not null").select("h", F.coalesce("cluster", "x").alias("cluster"))
-    return rows.join(materialise(told, "text-clusters"), "h").select("doc_id", "cluster")
+    return full.select("x", "y", (F.col("i") / (F.size("sx") + F.size("sy") - F.col("i"))).alias("j")).where(F.col("j") >= threshold).unionByName(_members(rows))
+
+
+def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(x, band, key) of each set: a key holds MINIMA minima of the set."""
+    seeds = np.random.default_rng(11).integers(1, 2**63, (2, BANDS * MINIMA), dtype=np.uint64) | np.uint64(1)
+    for batch in batches:
+        out = []
+        with np.errstate(over="ignore"):
+            for x, s in zip(batch["x"], batch["s"]):
+                own = np.asarray(s, np.int64).astype(np.uint64)
+                least = np.array([((own ^ seeds[0, i]) * seeds[1, i] >> np.uint64(16)).min() for i in range(BANDS * MINIMA)], np.uint64)
+                out += [(x, band, least[band * MINIMA : (band + 1) * MINIMA].tobytes()) for band in range(BANDS)]
+        yield pd.DataFrame(out, columns=["x", "band", "key"])
+
+
+@scoped
+def near_duplicates_lsh(documents: DataFrame, size: int = 5) -> DataFrame:
+    """(x, y): links x < y between likely near copies, an approximation of
+    :func:`near_duplicates` at 0.7 and above by MinHash bands. Links span what is similar:
+    in each band every set is linked to the next one of its key, so a key that m sets share
+    gives m - 1 links and not m * m, whatever m; copies are linked to the document that
+    stands for them. Two near copies are connected, not always directly."""
+    rows = shingle_sets(documents.where("doc_id is not null"), size)
+    keys = materialise(_heads(rows).mapInPandas(_bands, "x long, band int, key binary"), "bands")
+    shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+    # Within a key sets are dealt over slots, each a window of its own, and slots are joined
+    # up through their first members. Every band has an order of its own.
+    held = keys.join(shared, ["band", "key"]).select("band", "key", F.struct(F.xxhash64("x", "band").alias("r"), "x").alias("at")).withColumn("slot", F.pmod("at.r", F.lit(64)))
+    link = lambda w: [F.lag("at").over(w)["x"].alias("x"), F.col("at.x").alias("y")]
+    inside = held.select(*link(Window.partitionBy("band", "key", "slot").orderBy("at")))
+    firsts = held.groupBy("band", "key", "slot").agg(F.min("at").alias("at"))
+    across = firsts.select(*link(Window.partitionBy("band", "key").orderBy("at")))
+    links = inside.union(across).where("x is not null").union(_members(rows).select("x", "y"))
+    return links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+@scoped
+def duplicate_clusters(documents: DataFrame, pairs: DataFrame, fold_case: bool = False) -> DataFrame:
+    """(doc_id, cluster) for every document with an exact copy or a near copy: the least id of
+    its cluster, which are the components of equal texts (lower-cased with ``fold_case``)
+    and of ``pairs`` (x, y). Null texts and ids are left out."""
+    body = F.lower("text") if fold_case else F.col("text")
+    rows = materialise(documents.where("text is not null and doc_id is not null").select("doc_id", F.md5(body.cast("binary")).alias("h")), "text-digests")
+    keep = materialise(rows.groupBy("h").agg(F.min("doc_id").alias("x"), F.count("*").alias("n")).where("n > 1").select("h", "x"), "text-copies")
+    copies = rows.join(keep, "h").select("x", F.col("doc_id").alias("y"))
+    edges = pairs.select("x", "y").union(copies)
+    return connected_components(edges, "x", "y").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))

@@ -1,49 +1,132 @@
-"""Keyword search: inverted index, BM25 (k1 = 1.2, b = 0.75,
+"""Keyword search over a written inverted index: BM25 (k1 = 1.2, b = 0.75,
 idf = ln(1 + (N - df + 0.5) / (df + 0.5))), top-k within a scope, and rank fusion.
 
 N, df and the mean length are those of the whole corpus; a scope is applied to the
-matches before anything is ranked. Queries are lists of terms given by the caller.
+matches before anything is ranked. An index is a folder of Parquet tables:
+
+- ``postings`` (w, row, doc_id, tf, dl and scope columns), a row per word and document,
+  in ranges of (w, row), so that a query's words are found by the files' statistics and
+  a word that all documents have is spread over many files;
+- ``terms`` (w, df, cf), in ranges of w;
+- ``stats`` (N, avgdl), one row.
+
+Documents are told apart by ``row``, so null and repeated doc_ids do no harm.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, MapType, StringType
 
-from scriptorium.operators.text import tokens
+from scriptorium.operators.text import letters
+from scriptorium.plans.store import broadcast_if, drop_path, materialise_to, spread
 
 K1, B = 1.2, 0.75
+#: Distinct terms up to this number are broadcast (about 60 bytes each).
+TERMS = 500_000
+
+
+@F.pandas_udf(MapType(StringType(), LongType()))
+def _counts(words: pd.Series) -> pd.Series:
+    """The distinct words of each text with their counts, so that nothing is exchanged to
+    count them."""
+    return words.map(lambda x: dict(Counter(x)))
+
+
+@dataclass(frozen=True)
+class Index:
+    """An index that :func:`build_index` wrote."""
+
+    spark: SparkSession
+    path: str
+    scope: tuple[str, ...] = ()
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
+    @property
+    def postings(self) -> DataFrame:
+        more = "".join(f", {c} string" for c in self.scope)
+        return self._table("postings", f"w string, row long, doc_id long, tf long, dl long{more}")
 
-def postings(documents: DataFrame) -> DataFrame:
-    """(w, doc_id, tf)."""
-    return tokens(documents).groupBy("w", "doc_id").agg(F.count("*").alias("tf"))
+    @property
+    def terms(self) -> DataFrame:
+        return self._table("terms", "w string, df long, cf long")
 
+    @property
+    def stats(self) -> DataFrame:
+        return self._table("stats", "N long, avgdl double")
 
-def inverted_index(documents: DataFrame) -> DataFrame:
-    """(w, df, cf): document and collection frequency of every term."""
-    return postings(documents).groupBy("w").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
+def build_index(documents: DataFrame, path: str, scope: tuple[str, ...] = ()) -> Index:
+    """Write the index of ``documents`` (doc_id, text and ``scope`` columns, kept as
+    strings). Texts are cut once; one exchange, of the postings, puts them in order. Null
+    texts have no words and count in N."""
+    spark = documents.sparkSession
+    rows = spread(documents).select(F.monotonically_increasing_id().alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in scope]).alias("of"), F.coalesce(letters("text"), F.array().cast("array<string>")).alias("words"))
+    held = rows.withColumn("held", _counts("words"))
+    cut, temporary = materialise_to(held.select("row", "of.*", F.size("words").cast("long").alias("dl"), "held"), "index-rows")
+    flat = cut.select("row", "doc_id", *scope, "dl", F.explode("held").alias("w", "tf")).select("w", "row", "doc_id", "tf", "dl", *scope)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    flat.repartitionByRange(parts, "w", "row").sortWithinPartitions("w", "row").write.parquet(f"{path}/postings")
+    index = Index(spark, path, scope)
+    terms = index.postings.groupBy("w").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    terms.repartitionByRange(parts, "w").sortWithinPartitions("w").write.parquet(f"{path}/terms")
+    cut.agg(F.count("*").alias("N"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl")).write.parquet(f"{path}/stats")
+    drop_path(spark, temporary)
+    return index
 
-def bm25(documents: DataFrame, terms: list[str], scope: Column | None = None) -> DataFrame:
-    """(doc_id, score) of documents with any of the query's ``terms``. Documents are cut
-    into words once, where they are read; only the query's terms leave a task."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
-    occurrences = lambda term: F.size(F.filter("words", lambda x: x == term))
-    counts = [occurrences(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    scoped = (F.lit(True) if scope is None else scope).alias("in_scope")
-    docs = documents.select("doc_id", scoped, words.alias("words")).select("doc_id", "in_scope", F.size("words").alias("dl"), *counts)
-    totals = [F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]
-    # One row of corpus statistics, whatever the corpus.
-    stats = docs.agg(F.count("*").alias("N"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"), *totals)
-    any_term = F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0), F.lit(0)) > 0
-    matched = docs.where(any_term & F.col("in_scope")).crossJoin(F.broadcast(stats))
+
+def inverted_index(index: Index) -> DataFrame:
+    """(w, doc_id, tf, df, dl): every posting with its word's document frequency and its
+    document's length."""
+    terms = index.terms.select("w", "df")
+    return index.postings.join(broadcast_if(terms, terms.count(), TERMS), "w").select("w", "doc_id", "tf", "df", "dl")
+
+
+def _weight(tf: Column, df: Column) -> Column:
+    idf = F.log(1 + (F.col("N") - df + 0.5) / (df + 0.5))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
+def bm25(index: Index, terms: list[str], scope: Column | None = None) -> DataFrame:
+    """(doc_id, score) of documents with any of the query's ``terms``, added up in the
+    query's order. Only the query's words are read: they are a filter on the scan."""
+    wanted = sorted(set(terms))
+    hits = index.postings.where(F.col("w").isin(wanted))
+    hits = hits.where(scope) if scope is not None else hits
+    df = index.terms.where(F.col("w").isin(wanted)).select("w", "df")  # a row a term of the query
+    weighed = hits.join(F.broadcast(df), "w").crossJoin(F.broadcast(index.stats)).select("row", "doc_id", "w", _weight(F.col("tf").cast("double"), F.col("df").cast("double")).alias("x"))
+    parts = [F.max(F.when(F.col("w") == t, F.col("x"))).alias(f"x{i}") for i, t in enumerate(wanted)]
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}").cast("double")
-        idf = F.log(1 + (F.col("N") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return matched.select("doc_id", score.alias("score"))
+    for t in terms:
+        score = score + F.coalesce(F.col(f"x{wanted.index(t)}"), F.lit(0.0))
+    return weighed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *parts).select("doc_id", score.alias("score"))
+
+
+def keywords(index: Index, queries: DataFrame, n: int, least: int = 2) -> DataFrame:
+    """(q, w): for each query document (``queries``: q, its doc_id) its ``n`` rarest words that
+    stand in at least ``least`` documents, ties by w."""
+    terms = index.terms.where(F.col("df") >= least).select("w", "df")
+    own = index.postings.join(F.broadcast(queries.select(F.col("q").alias("doc_id"), "q")), "doc_id").select("q", "w")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("df", "w"))
+    return own.join(terms, "w").distinct().withColumn("k", rank).where(F.col("k") <= n).select("q", "w", "df")
+
+
+def bm25_many(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """(q, doc_id, rank): the ``k`` best documents of each query (``queries``: q, w, df), ties by
+    doc_id. Weights are summed in whole millionths, so that ranks do not hang on the order
+    of addition. Queries are joined to the postings on the word."""
+    hits = index.postings.join(queries, "w").crossJoin(F.broadcast(index.stats))
+    weight = F.floor(_weight(F.col("tf").cast("double"), F.col("df").cast("double")) * 1000000)
+    scored = hits.groupBy("q", "row").agg(F.first("doc_id").alias("doc_id"), F.sum(weight).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc_id"))
+    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("q", "doc_id", "rank")
 
 
 def topk(scores: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
@@ -52,11 +135,11 @@ def topk(scores: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)).cast("long"))
 
 
-def rank_fusion(lists: list[DataFrame], key: str = "doc_id", constant: int = 60) -> DataFrame:
-    """(key, score): sum over rankings of 1 / (constant + rank) (reciprocal rank fusion,
-    SIGIR 2009). Only ranks count: rescaling a list's scores changes nothing."""
-    parts = [ranked.select(key, (1.0 / (constant + F.col("rank"))).alias("part")) for ranked in lists]
+def rank_fusion(lists: list[DataFrame], key: str = "doc_id", constant: int = 60, query: tuple[str, ...] = ()) -> DataFrame:
+    """(query columns, key, score): sum over rankings of 1 / (constant + rank) (reciprocal
+    rank fusion, SIGIR 2009). Only ranks count: rescaling a list's scores changes nothing."""
+    parts = [ranked.select(*query, key, (1.0 / (constant + F.col("rank"))).alias("part")) for ranked in lists]
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
-    return out.groupBy(key).agg(F.sum("part").alias("score"))
+    return out.groupBy(*query, key).agg(F.sum("part").alias("score"))

@@ -1,10 +1,25 @@
 """Text of notes: plain text and outlines from html, normal forms, tokens, entities,
-contact data, and extractive summaries. Built-in functions throughout."""
+contact data, and extractive summaries. Built-in functions but for one count in the row,
+which higher-order functions do slowly."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import TYPE_CHECKING
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
+
+from scriptorium.plans.store import broadcast_if, spread
+
+if TYPE_CHECKING:
+    from scriptorium.operators.search import Index
+
+
+def letters(text: Column | str) -> Column:
+    """The letter runs of a lower-cased text, in order; null of null."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
 def html_to_text(pages: DataFrame) -> DataFrame:
@@ -27,10 +42,10 @@ def normalize_text(documents: DataFrame) -> DataFrame:
 
 def tokens(documents: DataFrame) -> DataFrame:
     """(doc_id, w): a row per letter run of the lower-cased text."""
-    return documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
+    return documents.select("doc_id", F.explode(letters("text")).alias("w"))
 
 
-MENTION = r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+"
+MENTION = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+"
 
 
 def mentions(documents: DataFrame) -> DataFrame:
@@ -62,20 +77,44 @@ def pii_flags(documents: DataFrame) -> DataFrame:
 
 def sentences(documents: DataFrame) -> DataFrame:
     """(doc_id, pos, sentence): the text cut after . ! or ? and white space."""
-    cut = F.split(F.regexp_replace("text", r"([.!?])[\x20\x09-\x0D]+", "$1\x01"), "\x01")
-    return documents.select("doc_id", F.posexplode(cut).alias("pos", "sentence")).where("trim(sentence) <> ''").select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
+    return documents.select("doc_id", F.posexplode(_cut("text")).alias("pos", "sentence")).where("trim(sentence) <> ''").select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
+
+
+def _cut(text: str) -> Column:
+    return F.split(F.regexp_replace(text, r"([.!?])[\x20\x09-\x0D]+", "$1\x01"), "\x01")
+
+
+@F.pandas_udf(ArrayType(StructType().add("w", StringType()).add("tf", LongType()).add("places", ArrayType(LongType()))))
+def _places(said: pd.Series) -> pd.Series:
+    """Of each text, as sentences of words: each distinct word with its count and the
+    sentences that have it."""
+    out = []
+    for sentences_ in said:
+        held: dict[str, list] = {}
+        for pos, words in enumerate(sentences_):
+            for w in words:
+                entry = held.setdefault(w, [0, []])
+                entry[0] += 1
+                if not entry[1] or entry[1][-1] != pos:
+                    entry[1].append(pos)
+        out.append([{"w": w, "tf": tf, "places": places} for w, (tf, places) in held.items()])
+    return pd.Series(out, dtype=object)
 
 
-def extractive_summary(documents: DataFrame, k: int = 3) -> DataFrame:
+def extractive_summary(documents: DataFrame, index: Index, k: int = 3, limit: int = 500_000) -> DataFrame:
     """(doc_id, pos, rank, score): the k sentences of greatest summed tf * idf per document,
-    where tf counts in the document, and idf is ln(1 + N / df). Scores are in millionths,
-    summed as integers, so that ties do not hang on the order of addition."""
-    words = tokens(documents)
-    tf = words.groupBy("doc_id", "w").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("w").agg(F.count("*").alias("df"))
-    total = documents.agg(F.count("*").alias("total"))  # one row
-    weight = tf.join(df, "w").crossJoin(F.broadcast(total)).select("doc_id", "w", (F.col("tf") * F.floor(F.log(1 + F.col("total") / F.col("df")) * 1000000)).alias("x"))
-    said = sentences(documents).select("doc_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("sentence"), F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
-    scored = said.join(weight, ["doc_id", "w"]).groupBy("doc_id", "pos").agg(F.sum("x").cast("long").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos"))
+    where tf counts in the document, and idf is ln(1 + N / df), with N and df those of
+    ``index``. Scores are in millionths, summed as integers, so that ties do not hang on the
+    order of addition.
+
+    A document's words are counted and dealt to its sentences where it is read. Up to
+    ``limit`` terms are broadcast: then a row a sentence is all that is exchanged. Beyond
+    that words are joined by a shuffle."""
+    cut = F.transform(_cut("text"), letters)
+    said = spread(documents).where("text is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", cut.alias("said"))
+    own = said.select("row", "doc_id", F.explode(_places("said")).alias("x")).select("row", "doc_id", "x.*")
+    terms = index.terms.select("w", "df").crossJoin(F.broadcast(index.stats)).select("w", F.floor(F.log(1 + F.col("N") / F.col("df")) * 1000000).alias("idf"))
+    weighed = own.join(broadcast_if(terms, index.terms.count(), limit), "w").select("row", "doc_id", F.explode("places").alias("pos"), (F.col("tf") * F.col("idf")).alias("x"))
+    scored = weighed.groupBy("row", "doc_id", "pos").agg(F.sum("x").cast("long").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "pos"))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("doc_id", "pos", "rank", "score")

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.blocks import hours
+
 MONEY = "decimal(18,2)"
 
 
@@ -45,8 +47,15 @@ def turn_pairs(conversations: DataFrame) -> DataFrame:
     return next_.where("role = 'user' and r = 'assistant'").select("conv_id", "turn", "prompt", "reply")
 
 
-def asof_context(events: DataFrame, kind: str = "purchase") -> DataFrame:
+def asof_context(events: DataFrame, kind: str = "purchase", width: int = 24) -> DataFrame:
     """(event_id, prior_id): the latest earlier event of ``kind`` by the same user (ties in
-    time by event_id). One window over the union of both sides instead of a range join."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return events.select("event_id", F.last(F.when(F.col("event_type") == kind, F.col("event_id")), ignorenulls=True).over(w).alias("prior_id"))
+    time by event_id). Users' events are looked at in blocks of ``width`` hours; each block
+    starts with the last such event of those before it, as a row ahead of its own."""
+    rows = events.select("user_id", "event_id", "ts", F.when(F.col("event_type") == kind, F.col("event_id")).alias("prior"), hours("ts", width).alias("block"))
+    lasts = rows.groupBy("user_id", "block").agg(F.max(F.when(F.col("prior").isNotNull(), F.struct("ts", "prior"))).alias("m"))
+    earlier = Window.partitionBy("user_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.last("m", ignorenulls=True).over(earlier)["prior"]
+    start = lasts.select("user_id", F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("timestamp_ntz").alias("ts"), carried.alias("prior"), "block", F.lit(0).alias("own"))
+    order = Window.partitionBy("user_id", "block").orderBy("own", "ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("own", F.lit(1)).unionByName(start).withColumn("prior_id", F.last("prior", ignorenulls=True).over(order))
+    return found.where("own = 1").select("event_id", "prior_id")

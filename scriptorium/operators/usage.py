@@ -1,11 +1,14 @@
-"""Usage and cost. Money is summed as decimals."""
+"""Usage and cost. Money is summed as decimals. No window holds all of a user's or a
+feature's events: see ``blocks``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.blocks import before, hours, ranged, with_carried
 from scriptorium.operators.transcripts import MONEY
+from scriptorium.plans.store import scoped
 
 TOTAL = "decimal(38,2)"
 
@@ -18,21 +21,52 @@ def usage_cube(events: DataFrame) -> DataFrame:
 
 
 def usage_rolling(events: DataFrame) -> DataFrame:
-    """(event_id, s): the user's spend over the trailing day, the event's own time included."""
-    rows = events.select("event_id", "user_id", "ts", F.col("value").cast(MONEY).alias("x"))
-    return rows.selectExpr("event_id", "cast(sum(x) over (partition by user_id order by ts range between interval '1' day preceding and current row) as decimal(38,2)) as s")
+    """(event_id, s): the user's spend over the trailing day, the event's own time included.
 
+    A trailing day lies within the event's date and the one before, so each event goes to
+    its own date's block, and as history to the next one's: a window holds two days of a
+    user. Events without a time see each other."""
+    day = F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date"))
+    rows = events.select("event_id", "user_id", "ts", F.col("value").cast(MONEY).alias("x"), day.alias("day"))
+    copies = F.when(F.col("day").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    dealt = rows.withColumn("later", F.explode(copies)).withColumn("block", F.col("day") + F.col("later"))
+    summed = dealt.selectExpr("event_id", "later", "cast(sum(x) over (partition by user_id, block order by ts range between interval '1' day preceding and current row) as decimal(38,2)) as s")
+    return summed.where("later = 0").select("event_id", "s")
 
+
+@scoped
 def usage_percentiles(events: DataFrame) -> DataFrame:
-    return events.groupBy("event_type").agg(F.percentile("value", F.lit(0.9)).alias("p90"), F.median("value").alias("p50"))
+    """(event_type, p90, p50), exact, interpolated between the two nearest values; null where
+    a type has no value. Equal values are counted within tasks first; values then lie in
+    ranges, and ranks are counted on from range to range."""
+    counts = events.groupBy("event_type", "value").agg(F.count("value").alias("n"))
+    rows = ranged(counts, ("event_type",), ("value",), "values")
+    totals = rows.groupBy("event_type", "block").agg(F.sum("n").alias("n"))
+    whole = F.sum("n").over(Window.partitionBy("event_type"))
+    told = with_carried(rows, totals.select("event_type", "block", F.coalesce(before(("event_type",), "n"), F.lit(0)).alias("earlier"), whole.alias("total")), ("event_type",))
+    order = Window.partitionBy("event_type", "block").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    run = told.withColumn("run", F.col("earlier") + F.sum("n").over(order))
+    at = {name: share * (F.col("total") - 1) for name, share in (("p90", 0.9), ("p50", 0.5))}
+    nearest = [F.min(F.when(F.col("run") > side(x), F.col("value"))).alias(f"{name}_{side.__name__}") for name, x in at.items() for side in (F.floor, F.ceil)]
+    found = run.groupBy("event_type").agg(F.first("total").alias("total"), *nearest)
+    out = []
+    for name, x in at.items():
+        low, high = F.col(f"{name}_floor"), F.col(f"{name}_ceil")
+        out.append(F.when(low == high, low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high).alias(name))
+    return found.select("event_type", *out)
 
 
 def usage_props(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-def budget_breach(events: DataFrame, budget: int = 1000) -> DataFrame:
-    """(user_id, event_id): the first event at which a user's running cost passes the budget."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = events.select("user_id", "event_id", "ts", F.sum(F.col("value").cast(MONEY)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run")).where(F.col("run") > budget)
-    return rows.groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("m")).select("user_id", F.col("m.event_id").alias("event_id"))
+def budget_breach(events: DataFrame, budget: int = 1000, width: int = 24) -> DataFrame:
+    """(user_id, event_id): the first event at which a user's running cost passes the budget.
+    Costs run within blocks of ``width`` hours; each block starts with the sum of those
+    before it, as a row ahead of its own."""
+    rows = events.select("user_id", "event_id", "ts", F.col("value").cast(MONEY).cast(TOTAL).alias("x"), hours("ts", width).alias("block"))
+    totals = rows.groupBy("user_id", "block").agg(F.sum("x").alias("x"))
+    start = totals.select("user_id", F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("timestamp_ntz").alias("ts"), before(("user_id",), "x").cast(TOTAL).alias("x"), "block", F.lit(0).alias("own"))
+    order = Window.partitionBy("user_id", "block").orderBy("own", "ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.withColumn("own", F.lit(1)).unionByName(start).withColumn("run", F.sum("x").over(order)).where((F.col("own") == 1) & (F.col("run") > budget))
+    return run.groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("m")).select("user_id", F.col("m.event_id").alias("event_id"))

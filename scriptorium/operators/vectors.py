@@ -1,75 +1,199 @@
-"""Vector search: exact nearest neighbours of a stated query set by blocked matrix
-products.
+"""Vector search by blocked matrix products: exact nearest neighbours of a stated query
+set, and an inverted-file index for approximate ones.
 
-The corpus stays where it is read. Queries go to it in blocks of bounded size, one
-broadcast each, and each task returns its own best k per query; the tasks' lists are
-merged by key. Nothing is joined row by row.
+Vectors are packed into blocks of bounded size, a row each. Blocks of queries meet blocks
+of the corpus, so plans and tasks stay as they are whatever the number of either, and
+nothing passes through the driver. Each task keeps its own best k per query; the tasks'
+lists are merged by key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Queries of a block: with 64 dimensions about two megabytes.
-BLOCK = 4096
+from scriptorium.plans.store import broadcast_if
 
+#: Vectors of a block (256 KB at 64 dimensions), and queries that are broadcast at most.
+BLOCK, QUERIES = 1024, 50_000
+PACKED = "list int, ids binary, matrix binary"
+#: Query blocks whose best a task holds before it lets them go.
+HELD = 64
+
+
+def _unpacked(ids: bytes, matrix: bytes) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(ids, np.int64)
+    return own, np.frombuffer(matrix, np.float32).reshape(len(own), -1).astype(np.float64)
+
+
+def _packer(size: int):
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of one list after the other, as blocks of at most ``size``."""
+        held, at = [], None
+
+        def block():
+            return pd.DataFrame({"list": [at], "ids": [np.array([i for i, _ in held], np.int64).tobytes()], "matrix": [np.stack([v for _, v in held]).astype(np.float32).tobytes()]})
+
+        for batch in batches:
+            for where, vec_id, vector in zip(batch["list"], batch["vec_id"], batch["embedding"]):
+                if held and (where != at or len(held) == size):
+                    yield block()
+                    held = []
+                at = where
+                held.append((vec_id, vector))
+        if held:
+            yield block()
+
+    return pack
+
+
+def _plain(vectors: DataFrame) -> DataFrame:
+    return vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+
+
+def packed(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Blocks of the vectors, where they are read. Rows without id or vector are left out;
+    all vectors must be of one length."""
+    return _plain(vectors).select(F.lit(0).alias("list"), "vec_id", "embedding").mapInPandas(_packer(size), PACKED)
+
+
+def _nearest(k: int | None, least: float | None):
+    """Best k (or all of at least ``least``) per query over pairs of blocks."""
 
-def _best(ids: np.ndarray, block: np.ndarray, k: int | None, least: float | None):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_sim, best_id = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
+        best: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+
+        def let_go():
+            for key, (sim, other) in best.items():
+                q, c = np.nonzero(np.isfinite(sim))
+                yield pd.DataFrame({"a": np.frombuffer(key, np.int64)[q], "b": other[q, c], "sim": sim[q, c]})
+            best.clear()
+
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.iloc[at : at + 2000]
-                own = part["vec_id"].to_numpy(np.int64)
-                sims = block @ np.stack(part["embedding"].to_numpy()).astype(np.float64).T
-                sims = np.where(ids[:, None] == own[None, :], -np.inf, sims)
+            for q_ids, q_matrix, c_ids, c_matrix in zip(batch["q_ids"], batch["q_matrix"], batch["ids"], batch["matrix"]):
+                asked, left = _unpacked(q_ids, q_matrix)
+                own, right = _unpacked(c_ids, c_matrix)
+                sims = np.where(asked[:, None] == own[None, :], -np.inf, left @ right.T)
                 if k is None:
                     q, c = np.nonzero(sims >= least)
-                    yield pd.DataFrame({"a": ids[q], "b": own[c], "sim": sims[q, c]})
+                    yield pd.DataFrame({"a": asked[q], "b": own[c], "sim": sims[q, c]})
                     continue
-                sim, other = np.hstack([best_sim, sims]), np.hstack([best_id, np.broadcast_to(own, sims.shape)])
-                order = np.lexsort((other, -sim), axis=1)[:, :k]
-                best_sim, best_id = np.take_along_axis(sim, order, 1), np.take_along_axis(other, order, 1)
-        if k is not None and best_id.size:
-            q, c = np.nonzero(np.isfinite(best_sim))
-            yield pd.DataFrame({"a": ids[q], "b": best_id[q, c], "sim": best_sim[q, c]})
+                ids = np.broadcast_to(own, sims.shape)
+                if q_ids in best:
+                    sims, ids = np.hstack([best[q_ids][0], sims]), np.hstack([best[q_ids][1], ids])
+                elif len(best) == HELD:
+                    yield from let_go()
+                order = np.lexsort((ids, -sims), axis=1)[:, :k]
+                best[q_ids] = np.take_along_axis(sims, order, 1), np.take_along_axis(ids, order, 1)
+        yield from let_go()
 
     return scan
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    rows: list = []
-    for r in queries.select("vec_id", "embedding").toLocalIterator():
-        rows.append((r["vec_id"], r["embedding"]))
-        if len(rows) == size:
-            yield np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], np.float64)
-            rows = []
-    if rows:
-        yield np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], np.float64)
+def _against(corpus: DataFrame, queries: DataFrame, k: int | None, least: float | None, block: int) -> DataFrame:
+    asked = packed(queries, block).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    # The stated query set against all rows, in blocks.
+    pairs = corpus.select("ids", "matrix").crossJoin(broadcast_if(asked, queries.count(), QUERIES))
+    return pairs.mapInPandas(_nearest(k, least), "a long, b long, sim double")
 
 
-def _against(vectors: DataFrame, queries: DataFrame, k: int | None, least: float | None, block: int) -> DataFrame:
-    schema, out = "a long, b long, sim double", None
-    rows = vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null")
-    for ids, matrix in _blocks(queries.where("vec_id is not null and embedding is not null"), block):
-        part = rows.mapInPandas(_best(ids, matrix, k, least), schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else vectors.sparkSession.createDataFrame([], schema)
+def _ranked(near: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
+    return near.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("a", "b", "rank", "sim")
 
 
 def knn_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """(a, b, rank, sim): the k nearest other vectors of each query by inner product in
     double precision, ties by vec_id. Exact: every vector is compared."""
-    near = _against(vectors, queries, k, None, block)
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
-    return near.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("a", "b", "rank", "sim")
+    return _ranked(_against(packed(vectors, block), queries, k, None, block), k)
 
 
 def cosine_pairs(vectors: DataFrame, queries: DataFrame, least: float = 0.3, block: int = BLOCK) -> DataFrame:
     """(a, b, sim): pairs of a query and another vector with similarity of at least ``least``."""
-    return _against(vectors, queries, None, least, block)
+    return _against(packed(vectors, block), queries, None, least, block)
+
+
+@dataclass(frozen=True)
+class Ivf:
+    """An inverted-file index: ``centres`` are unit vectors, a list of the corpus each;
+    ``probes`` is how many lists a query looks through unless told."""
+
+    spark: SparkSession
+    path: str
+    centres: np.ndarray
+    probes: int
+
+    @property
+    def blocks(self) -> DataFrame:
+        return self.spark.read.schema(PACKED).parquet(self.path)
+
+
+def _centres(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
+    """Spherical k-means of the sample."""
+    unit = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12)
+    centres = unit[np.random.default_rng(seed).choice(len(unit), lists, replace=False)]
+    for _ in range(rounds):
+        nearest = (unit @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, unit)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.maximum(length, 1e-12), centres)
+    return centres
+
+
+def _probes(sample: np.ndarray, centres: np.ndarray, k: int, target: float, queries: int = 500) -> int:
+    """The least number of lists in which a share ``target`` of the ``k`` nearest of the
+    sample's first vectors lie, compared with the whole sample."""
+    asked = sample[:queries]
+    sims = asked @ sample.T
+    sims[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    near = np.argsort(-sims, axis=1)[:, : min(k, max(1, len(sample) - 1))]
+    lists = (sample @ centres.T).argmax(axis=1)
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)
+    return int(np.quantile(np.take_along_axis(place, lists[near], axis=1), target, method="higher")) + 1
+
+
+def _lists_of(centres: np.ndarray, probes: int):
+    @F.pandas_udf("array<int>")
+    def lists(vectors: pd.Series) -> pd.Series:
+        if not len(vectors) or not len(centres):
+            return pd.Series([[]] * len(vectors), dtype=object)
+        order = np.argsort(-(np.stack(vectors.to_numpy()).astype(np.float64) @ centres.T), axis=1, kind="stable")[:, :probes]
+        return pd.Series(list(order.astype(np.int32)))
+
+    return lists
+
+
+def build_ivf(vectors: DataFrame, path: str, lists: int | None = None, sample: int = 20_000, block: int = BLOCK, k: int = 10, target: float = 0.97) -> Ivf:
+    """Write every vector to the list of its nearest centre. Centres are fitted to at most
+    ``sample`` vectors, drawn by a hash of vec_id; ``lists`` is the root of the number of
+    vectors unless given, at most 4,096, so that the centres stay a few megabytes. How many
+    lists queries look through is fitted to the sample too, for a recall of ``target`` of
+    the ``k`` nearest there: few where vectors cluster, many where they don't. Lists lie in ranges of (list, id): a list with a third of all rows fills many blocks."""
+    spark, rows = vectors.sparkSession, _plain(vectors)
+    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()  # bounded by `sample`
+    lists = min(lists or int(np.sqrt(rows.count())) or 1, 4096, max(1, len(drawn)))
+    held = np.array([r["embedding"] for r in drawn], np.float64)
+    centres = _centres(held, lists) if drawn else np.zeros((0, 0))
+    probes = _probes(held, centres, k, target) if drawn else 1
+    dealt = rows.select(_lists_of(centres, 1)("embedding")[0].alias("list"), "vec_id", "embedding")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt.repartitionByRange(parts, "list", "vec_id").sortWithinPartitions("list", "vec_id").mapInPandas(_packer(block), PACKED).write.parquet(path)
+    return Ivf(spark, path, centres, probes)
+
+
+def ivf_topk(index: Ivf, queries: DataFrame, k: int = 10, probes: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b, rank, sim): approximate :func:`knn_topk`: each query looks through the ``probes``
+    lists whose centres are nearest to it, and what it finds is ranked exactly."""
+    spark, probes = index.spark, probes or index.probes
+    asked = _plain(queries).select(F.explode(_lists_of(index.centres, probes)("embedding")).alias("list"), "vec_id", "embedding")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.repartitionByRange(parts, "list", "vec_id").sortWithinPartitions("list", "vec_id").mapInPandas(_packer(block), PACKED)
+    asked = asked.select("list", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    pairs = index.blocks.join(broadcast_if(asked, queries.count() * probes, QUERIES), "list")
+    return _ranked(pairs.select("ids", "matrix", "q_ids", "q_matrix").mapInPandas(_nearest(k, None), "a long, b long, sim double"), k)

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions import udfs
+from scriptorium.functions.urls import ABSOLUTE, LOWER, UPPER, URL
 from scriptorium.operators import context, dedup, hierarchy, links, search, text, transcripts, usage, vectors
 from scriptorium.plans import relational
+from scriptorium.plans.store import fingerprint, fresh_path, scoped
 from scriptorium.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 TERMS = ["the", "license", "queque", "und"]
 SCOPE = "en"
 REGION = "ASIA"
-BUDGET, CONTEXT = 1000, 20_000
+BUDGET, CONTEXT, KEYWORDS = 1000, 20_000, 8
 
 
 def _on(function, *names: str, **options) -> Query:
@@ -25,8 +28,20 @@ def _on(function, *names: str, **options) -> Query:
     return lambda spark, sf_dir: function(*[table(spark, sf_dir, n) for n in names], **options)
 
 
+_indexes: dict[tuple[str, str], search.Index] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The inverted index of a folder's documents: written on first use in a session, and
+    anew when the documents' files have changed."""
+    key = (spark.sparkContext.applicationId, fingerprint(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _indexes:
+        _indexes[key] = search.build_index(table(spark, sf_dir, "documents"), fresh_path(spark, "index"), ("lang",))
+    return _indexes[key]
+
+
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(table(spark, sf_dir, "documents"), TERMS, F.col("lang") == SCOPE)
+    return search.bm25(index_of(spark, sf_dir), TERMS, F.col("lang") == SCOPE)
 
 
 def _bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,25 +63,51 @@ def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.cosine_pairs(v, _queries_of(v), 0.3)
 
 
-def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword ranking fused with the neighbours of vector 0, taking vec_id as doc_id."""
+def _knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    near = vectors.knn_topk(v, v.where("vec_id = 0"), 20).select(F.col("b").alias("doc_id"), "rank")
-    return search.rank_fusion([_bm25_topk(spark, sf_dir), near])
+    return vectors.ivf_topk(vectors.build_ivf(v, fresh_path(spark, "ivf")), _queries_of(v), 10).select("a", "b", "rank")
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each vector of the query set, taking vec_id as doc_id: the 20 best documents by
+    the document's KEYWORDS rarest words, fused with its 20 nearest neighbours."""
+    v, index = table(spark, sf_dir, "embeddings"), index_of(spark, sf_dir)
+    asked = search.keywords(index, _queries_of(v).select(F.col("vec_id").alias("q")), KEYWORDS)
+    near = vectors.knn_topk(v, _queries_of(v), 20).select(F.col("a").alias("q"), F.col("b").alias("doc_id"), "rank")
+    return search.rank_fusion([search.bm25_many(index, asked, 20), near], query=("q",))
 
 
 def _link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.link_edges(table(spark, sf_dir, "pages"))
 
 
+@scoped
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return dedup.duplicate_clusters(dedup.near_duplicates(docs))
+    return dedup.duplicate_clusters(docs, dedup.near_duplicates(docs))
 
 
+@scoped
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``duplicate_clusters``, at 0.8 and with texts that differ in case alone as copies."""
     docs = table(spark, sf_dir, "documents")
-    return dedup.duplicate_members(docs, dedup.near_duplicates(docs))
+    return dedup.duplicate_clusters(docs, dedup.near_duplicates(docs, 0.8), fold_case=True)
+
+
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.extractive_summary(table(spark, sf_dir, "documents"), index_of(spark, sf_dir))
+
+
+def _words_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").lateralJoin(udfs.WordsOf(F.col("text").outer())).select("item_id", "pos", "word")
+
+
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(udfs.spread("value").alias("spread"))
+
+
+def _approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
 
 
 def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,10 +118,6 @@ def _scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.scope_filter(REGION, *[table(spark, sf_dir, n) for n in ("region", "nation", "customer", "orders")])
 
 
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.inverted_index(table(spark, sf_dir, "documents"))
-
-
 TOKENS = r"SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents"
 _BM25_SQL = rf"""
 WITH words AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '\p{{L}}+') AS ws FROM documents),
@@ -92,12 +129,48 @@ _TOPK_SQL = f"SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS
 _SIM = "list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
 _NEAR_SQL = f"SELECT a, b, rank FROM (SELECT q.vec_id AS a, v.vec_id AS b, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE %s) t WHERE rank <= %d"
 _SHINGLES_SQL = r"""
+words AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) AS s FROM words WHERE len(w) >= 5),
+heads AS (SELECT min(doc_id) AS x, s FROM sets GROUP BY s),
+flat AS (SELECT x, len(s) AS n, unnest(s) AS g FROM heads),
+near AS (SELECT a.x AS x, b.x AS y, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS j FROM flat a JOIN flat b ON a.g = b.g AND a.x < b.x GROUP BY a.x, b.x),
+pairs AS (SELECT x, y, j FROM near WHERE j >= 0.7 UNION ALL SELECT h.x, s.doc_id, 1.0::DOUBLE FROM sets s JOIN heads h ON s.s = h.s WHERE s.doc_id <> h.x)"""
+_FOLDED_SQL = r"""
 once AS (SELECT min(doc_id) AS x, lower(text) AS t FROM documents GROUP BY lower(text)),
 words AS (SELECT x, regexp_extract_all(t, '\p{L}+') AS w FROM once),
 sets AS (SELECT x, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM words WHERE len(w) >= 5),
 flat AS (SELECT x, len(s) AS n, unnest(s) AS g FROM sets),
 near AS (SELECT a.x AS x, b.x AS y, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS j FROM flat a JOIN flat b ON a.g = b.g AND a.x < b.x GROUP BY a.x, b.x)"""
-_MENTION = text.MENTION.replace("(?:", "(?:")
+_INDEX_SQL = f"""
+t AS ({TOKENS}), tf AS (SELECT w, doc_id, count(*) AS tf FROM t GROUP BY w, doc_id), dl AS (SELECT doc_id, count(*) AS dl FROM t GROUP BY doc_id), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w)"""
+_HYBRID_SQL = f"""WITH {_INDEX_SQL}, st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT avg(dl) FROM dl) AS avgdl),
+asked AS (SELECT q, w, df FROM (SELECT v.vec_id AS q, tf.w AS w, df.df AS df, row_number() OVER (PARTITION BY v.vec_id ORDER BY df.df, tf.w) AS k FROM embeddings v JOIN tf ON tf.doc_id = v.vec_id JOIN df ON df.w = tf.w WHERE v.vec_id % 20 = 0 AND df.df >= 2) a WHERE k <= {KEYWORDS}),
+sc AS (SELECT q, tf.doc_id AS doc_id, sum(CAST(floor(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) * 1000000) AS BIGINT)) AS score FROM asked JOIN tf ON tf.w = asked.w JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY q, tf.doc_id),
+ranked AS (SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM sc)
+SELECT q, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT q, doc_id, rank FROM ranked WHERE rank <= 20 UNION ALL SELECT a, b, rank FROM ({_NEAR_SQL % ('q.vec_id % 20 = 0', 20)}) n) u GROUP BY q, doc_id"""
+_ABC = f"'{UPPER}', '{LOWER}'"
+
+
+def _name_sql(url: str) -> str:
+    part = lambda i: f"regexp_extract({url}, '{URL}', {i})"
+    walked = f"list_reduce(list_concat([''], string_split({part(3)}, '/')[2:]), lambda seen, x: CASE WHEN x = '..' THEN regexp_replace(seen, '/[^/]*$', '') WHEN x = '.' THEN seen ELSE seen || '/' || x END)"
+    path = rf"CASE WHEN {part(3)} = '' THEN '/' WHEN regexp_matches({part(3)}, '/\.\.?(/|$)') THEN {walked} || CASE WHEN regexp_matches({part(3)}, '/\.\.?$') THEN '/' ELSE '' END ELSE {part(3)} END"
+    return f"CASE WHEN contains({url}, '://') THEN translate({part(1)}, {_ABC}) || '://' || translate({part(2)}, {_ABC}) || {path} || {part(4)} END"
+
+
+def _links_sql() -> str:
+    part = lambda i: f"regexp_extract(url, '{URL}', {i})"
+    base = f"({part(1)} || '://' || translate({part(2)}, {_ABC}))"
+    return f"""
+WITH names AS (SELECT {_name_sql('url')} AS name, min(page_id) AS dst FROM pages WHERE url IS NOT NULL GROUP BY 1),
+edges AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages),
+seen AS (SELECT *, replace(target, '&amp;', '&') AS t FROM edges),
+full_url AS (SELECT page_id, target, CASE WHEN regexp_matches(t, '{ABSOLUTE}') THEN t WHEN starts_with(t, '//') THEN {part(1)} || ':' || t WHEN starts_with(t, '/') THEN {base} || t
+  WHEN starts_with(t, '?') THEN {base} || {part(3)} || t WHEN starts_with(t, '#') OR t = '' THEN url
+  ELSE {base} || regexp_replace(CASE WHEN {part(3)} = '' THEN '/' ELSE {part(3)} END, '[^/]*$', '') || t END AS u FROM seen)
+SELECT page_id, target, dst FROM full_url LEFT JOIN names ON names.name = {_name_sql('u')}"""
+
+
 _SENTENCES_SQL = r"SELECT doc_id, unnest(range(len(ss))) AS pos, unnest(ss) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents) t"
 
 #: name -> (query, DuckDB SQL or None where SQL can't express it).
@@ -109,15 +182,17 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "outline": (_on(text.outline, "pages"), r"SELECT page_id, pos, regexp_extract(tag, '^<(h[1-6]|li)', 1) AS kind, regexp_extract(tag, '>([^<]*)$', 1) AS text FROM (SELECT page_id, unnest(range(len(t))) AS pos, unnest(t) AS tag FROM (SELECT page_id, regexp_extract_all(html, '<(?:h[1-6]|li)[^>]*>[^<]*') AS t FROM pages) a) b"),
     "normalize_text": (_on(text.normalize_text, "documents"), r"SELECT doc_id, trim(regexp_replace(lower(text), '[\x20\x09-\x0D]+', ' ', 'g')) AS text FROM documents"),
     "link_edges": (_link_edges, "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages"),
+    "resolved_links": (_on(links.resolved_links, "pages"), _links_sql()),
     "backlink_count": (lambda s, d: links.backlink_count(_link_edges(s, d)), "SELECT target, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages) t GROUP BY target"),
     "orphan_notes": (_on(links.orphan_notes, "documents", "labels"), "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
     "tokenize": (_on(text.tokens, "documents"), TOKENS),
-    "inverted_index": (_index, f"SELECT w, count(DISTINCT doc_id) AS df, count(*) AS cf FROM ({TOKENS}) t GROUP BY w"),
+    "inverted_index": (lambda s, d: search.inverted_index(index_of(s, d)), f"WITH {_INDEX_SQL} SELECT tf.w AS w, tf.doc_id AS doc_id, tf, df, dl FROM tf JOIN df ON df.w = tf.w JOIN dl ON dl.doc_id = tf.doc_id"),
     "bm25_search": (_bm25, _BM25_SQL),
     "bm25_topk": (_bm25_topk, _TOPK_SQL),
     "cosine_pairs": (_cosine, f"SELECT q.vec_id AS a, v.vec_id AS b, {_SIM} AS sim FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 AND {_SIM} >= 0.3"),
     "knn_topk": (_knn, _NEAR_SQL % ("q.vec_id % 20 = 0", 10)),
-    "hybrid_rrf": (_hybrid, f"SELECT doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT doc_id, rank FROM ({_TOPK_SQL}) k UNION ALL SELECT b, rank FROM ({_NEAR_SQL % ('q.vec_id = 0', 20)}) n) u GROUP BY doc_id"),
+    "knn_ivf": (_knn_ivf, None),
+    "hybrid_rrf": (_hybrid, _HYBRID_SQL),
     "segment_sessions": (_on(transcripts.segment_sessions, "events"), "SELECT user_id, min(ts) AS start, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total FROM (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 30 MINUTE, true) AS gap FROM events) a) b GROUP BY user_id, s"),
     "segment_tumbling": (_on(transcripts.segment_tumbling, "events"), "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS n FROM events GROUP BY 1"),
     "segment_sliding": (_on(transcripts.segment_sliding, "events"), "SELECT start, count(*) AS n FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) - to_hours(CAST(6 * unnest([0, 1, 2, 3]) AS BIGINT)) AS start FROM events) t GROUP BY start"),
@@ -129,7 +204,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "entity_cooccurrence": (_on(text.entity_cooccurrence, "documents"), rf"WITH m AS (SELECT DISTINCT doc_id, surface FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{text.MENTION}')) AS surface FROM documents) t) SELECT x.surface AS a, y.surface AS b, count(*) AS n FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.surface < y.surface GROUP BY ALL"),
     "pii_flags": (_on(text.pii_flags, "documents"), rf"SELECT doc_id, n_emails FROM (SELECT doc_id, len(regexp_extract_all(text, '{text.EMAIL}')) AS n_emails FROM documents) t WHERE n_emails > 0"),
     "extractive_summary": (
-        _on(text.extractive_summary, "documents"),
+        _summary,
         rf"""WITH t AS ({TOKENS}), tf AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY doc_id, w), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
 wt AS (SELECT doc_id, w, tf * CAST(floor(ln(1 + (SELECT count(*) FROM documents) / df) * 1000000) AS BIGINT) AS x FROM tf JOIN df USING (w)),
 sw AS (SELECT doc_id, pos, unnest(list_distinct(regexp_extract_all(lower(sentence), '\p{{L}}+'))) AS w FROM ({_SENTENCES_SQL}) s WHERE trim(sentence) <> ''),
@@ -137,10 +212,15 @@ sc AS (SELECT doc_id, pos, CAST(sum(x) AS BIGINT) AS score FROM sw JOIN wt USING
 SELECT doc_id, pos, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM sc) r WHERE rank <= 3""",
     ),
     "exact_duplicates": (_on(dedup.exact_duplicates, "documents"), "SELECT md5(text) AS h, min(doc_id) AS keep_id, count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1"),
-    "near_duplicates": (_on(dedup.near_duplicates, "documents"), f"WITH {_SHINGLES_SQL} SELECT x, y, j FROM near WHERE j >= 0.8"),
+    "near_duplicates": (_on(dedup.near_duplicates, "documents"), f"WITH {_SHINGLES_SQL} SELECT x, y, j FROM pairs"),
     "near_duplicates_lsh": (_on(dedup.near_duplicates_lsh, "documents"), None),
-    "duplicate_clusters": (_clusters, f"WITH RECURSIVE {_SHINGLES_SQL}, e AS (SELECT x, y FROM near WHERE j >= 0.8 UNION SELECT y, x FROM near WHERE j >= 0.8), r AS (SELECT x AS doc_id, x AS o FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.o = e.x) SELECT doc_id, min(o) AS cluster FROM r GROUP BY doc_id"),
-    "duplicate_members": (_members, f"WITH RECURSIVE {_SHINGLES_SQL}, e AS (SELECT x, y FROM near WHERE j >= 0.8 UNION SELECT y, x FROM near WHERE j >= 0.8), r AS (SELECT x AS doc_id, x AS o FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.o = e.x), c AS (SELECT doc_id AS x, min(o) AS cluster FROM r GROUP BY doc_id), k AS (SELECT lower(text) AS t, min(doc_id) AS x, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY lower(text)) SELECT d.doc_id, coalesce(c.cluster, k.x) AS cluster FROM documents d JOIN k ON lower(d.text) = k.t LEFT JOIN c ON c.x = k.x WHERE k.n > 1 OR c.cluster IS NOT NULL"),
+    "duplicate_clusters": (
+        _clusters,
+        f"""WITH RECURSIVE {_SHINGLES_SQL}, copies AS (SELECT min(doc_id) AS x, text FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1),
+links AS (SELECT x, y FROM pairs UNION SELECT c.x, d.doc_id FROM copies c JOIN documents d ON d.text = c.text), e AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+r AS (SELECT x AS doc_id, x AS o FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.o = e.x) SELECT doc_id, min(o) AS cluster FROM r GROUP BY doc_id""",
+    ),
+    "duplicate_members": (_members, f"WITH RECURSIVE {_FOLDED_SQL}, e AS (SELECT x, y FROM near WHERE j >= 0.8 UNION SELECT y, x FROM near WHERE j >= 0.8), r AS (SELECT x AS doc_id, x AS o FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.o = e.x), c AS (SELECT doc_id AS x, min(o) AS cluster FROM r GROUP BY doc_id), k AS (SELECT lower(text) AS t, min(doc_id) AS x, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY lower(text)) SELECT d.doc_id, coalesce(c.cluster, k.x) AS cluster FROM documents d JOIN k ON lower(d.text) = k.t LEFT JOIN c ON c.x = k.x WHERE k.n > 1 OR c.cluster IS NOT NULL"),
     "continuity_overlap": (_on(context.continuity_overlap, "documents", "benchmark"), "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"),
     "context_pack": (_on(context.context_pack, "documents", budget=CONTEXT), f"SELECT doc_id, used FROM (SELECT doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents) t WHERE used <= {CONTEXT}"),
     "usage_cube": (_on(usage.usage_cube, "events"), "SELECT event_type, user_id, day, count(*) AS n, CAST(sum(x) AS DECIMAL(38,2)) AS cost, CAST(grouping(event_type, user_id, day) AS BIGINT) AS gid FROM (SELECT event_type, user_id, CAST(ts AS DATE) AS day, CAST(value AS DECIMAL(18,2)) AS x FROM events) t GROUP BY CUBE (event_type, user_id, day)"),
@@ -149,6 +229,13 @@ SELECT doc_id, pos, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY
     "usage_props": (_on(usage.usage_props, "events"), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
     "budget_breach": (_on(usage.budget_breach, "events", budget=BUDGET), f"SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM (SELECT *, sum(CAST(value AS DECIMAL(18,2))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events) a WHERE run > {BUDGET}) b WHERE rn = 1"),
 }
+QUERIES |= {
+    "udf_scalar": (lambda s, d: table(s, d, "documents").select("doc_id", udfs.capital_share("text").alias("share")), "SELECT doc_id, length(regexp_replace(text, '[^A-Z]', '', 'g')) / length(text) AS share FROM documents"),
+    "udaf_partial": (lambda s, d: udfs.geometric_means(table(s, d, "events")).select("event_type", F.round("gmean", 6).alias("gmean")), "SELECT event_type, round(exp(sum(ln(value)) / count(*)), 6) AS gmean FROM events WHERE value > 0 GROUP BY event_type"),
+    "udaf_grouped": (_spread, "SELECT user_id, CAST(ts AS DATE) AS day, max(value) - min(value) AS spread FROM events GROUP BY ALL"),
+    "udtf_words": (_words_of, "SELECT item_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM (SELECT item_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM benchmark) t"),
+    "agg_approx_distinct": (_approx, None),
+}
 for _name, _sql in relational.SQL.items():
     QUERIES[_name] = ((lambda s, d, q=_sql: relational.run_sql(s, d, q)), _sql)
 for _name, (_spark, _duck) in relational.DIALECT.items():

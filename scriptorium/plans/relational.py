@@ -42,6 +42,7 @@ SQL = {
     "func_string": "SELECT p_partkey, upper(p_name) AS u, replace(p_brand, '#', '-') AS b, substring(p_type, 1, 3) AS t, CAST(length(p_name) AS BIGINT) AS n, concat(p_brand, '/', p_type) AS c FROM part",
     "func_math": "SELECT s_suppkey, abs(s_acctbal) AS a, CAST(floor(s_acctbal) AS BIGINT) AS f, CAST(ceil(s_acctbal) AS BIGINT) AS c, sqrt(abs(s_acctbal)) AS r, sign(s_acctbal) AS g FROM supplier",
     "func_date": "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(o_orderdate AS DATE) AS d FROM orders",
+    "func_date_parts": "SELECT o_orderkey, CAST(quarter(o_orderdate) AS BIGINT) AS q, CAST(dayofyear(o_orderdate) AS BIGINT) AS doy, last_day(CAST(o_orderdate AS DATE)) AS month_end, CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start, CAST(CAST(o_orderdate AS DATE) + INTERVAL 30 DAY AS DATE) AS due FROM orders",
     "func_null": "SELECT d.doc_id, coalesce(l.quality, -1) AS q, nullif(l.toxic, 0) AS t FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
 }
 

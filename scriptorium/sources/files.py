@@ -30,3 +30,9 @@ def read_jdbc(spark: SparkSession, url: str, dbtable: str, partition_column: str
     if partition_column:
         reader = reader.option("partitionColumn", partition_column).option("lowerBound", lower).option("upperBound", upper).option("numPartitions", partitions)
     return reader.load()
+
+
+def write_jdbc(df: DataFrame, url: str, dbtable: str, mode: str = "append", partitions: int | None = None, batch: int = 5000, **options) -> None:
+    """Rows into a database table, over at most ``partitions`` connections at a time."""
+    out = df.coalesce(partitions) if partitions else df
+    out.write.format("jdbc").mode(mode).option("url", url).option("dbtable", dbtable).option("batchsize", batch).options(**options).save()

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from scriptorium.operators.transcripts import MONEY
 from scriptorium.sources.tables import SCHEMAS
 
+FINAL = "user_id long, event_type string, ts timestamp, event_id long"
+
 
 def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
     """A stream over a folder's Parquet files."""
@@ -45,22 +47,36 @@ def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def _keep_latest(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    best = state.get if state.exists else None
-    for batch in batches:
-        for ts, event_id in zip(batch["us"], batch["event_id"]):
-            if best is None or (ts, event_id) > best:
-                best = (int(ts), int(event_id))
-    state.update(best)
-    yield pd.DataFrame({"user_id": [key[0]], "event_type": [key[1]], "us": [best[0]], "event_id": [best[1]]})
+def _keep_latest(idle_ms: int | None):
+    def keep(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = state.get if state.exists else None
+        for batch in batches:
+            for ts, event_id in zip(batch["us"], batch["event_id"]):
+                if best is None or (ts, event_id) > best:
+                    best = (int(ts), int(event_id))
+        state.update(best)
+        if idle_ms is not None:
+            state.setTimeoutTimestamp(max(best[0] // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]], "event_type": [key[1]], "us": [best[0]], "event_id": [best[1]]})
+
+    return keep
 
 
-def finalized(events: DataFrame) -> DataFrame:
+def finalized(events: DataFrame, delay: str | None = None, idle_ms: int = 86_400_000) -> DataFrame:
     """The latest version of each (user_id, event_type), in update mode: a row per key that a
     batch touched. State is one (time, id) per key, and batches of a key are folded one
-    after the other."""
-    rows = events.select("user_id", "event_type", F.unix_micros("ts").alias("us"), "event_id")
-    latest = rows.groupBy("user_id", "event_type").applyInPandasWithState(_keep_latest, "user_id long, event_type string, us long, event_id long", "us long, event_id long", "update", "NoTimeout")
+    after the other.
+
+    With ``delay`` there is a watermark: rows later than it are dropped, and a key's state
+    goes when the watermark is ``idle_ms`` past its last row. A later row of the key starts
+    anew and is newer than what was forgotten, so a table that is kept up by
+    :func:`save_finalized` stays right."""
+    rows = watermarked(events, delay).select("user_id", "event_type", "ts", F.unix_micros("ts").alias("us"), "event_id")
+    timeout = "EventTimeTimeout" if delay else "NoTimeout"
+    latest = rows.groupBy("user_id", "event_type").applyInPandasWithState(_keep_latest(idle_ms if delay else None), "user_id long, event_type string, us long, event_id long", "us long, event_id long", "update", timeout)
     return latest.select("user_id", "event_type", F.timestamp_micros("us").alias("ts"), "event_id")
 
 
@@ -72,5 +88,24 @@ def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "co
 
 
 def save_finalized(stream: DataFrame, path: str, checkpoint: str):
-    """Append finalized segments to a Parquet table, exactly once per batch."""
-    return stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Keep :func:`finalized` segments in a Parquet table: each batch is a folder of its own,
+    named by the batch's number and written anew if the batch is run again, so a restart
+    neither loses nor doubles rows. Read it with :func:`read_finalized`."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_finalized(spark: SparkSession, path: str) -> DataFrame:
+    """(user_id, event_type, ts, event_id): the last saved version of each key. The greatest
+    struct combines within tasks."""
+    last = spark.read.schema(FINAL).parquet(path).groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("m"))
+    return last.select("user_id", "event_type", F.col("m.ts").alias("ts"), F.col("m.event_id").alias("event_id"))
+
+
+def compact_finalized(spark: SparkSession, path: str, target: str) -> None:
+    """The table's last versions as one folder at ``target``: a base to read from, written
+    beside the table so that a lost run harms neither."""
+    read_finalized(spark, path).write.mode("overwrite").parquet(f"{target}/batch=-1")

@@ -1,14 +1,23 @@
+import datetime
+import os
 import random
 
+import numpy as np
+import parity
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.functions.columns import cosine, jaccard, ngrams
-from scriptorium.operators import dedup, search, text, transcripts, vectors
+from scriptorium.functions.columns import cosine, jaccard, ngrams, unused
+from scriptorium.operators import context, dedup, links, search, text, transcripts, usage, vectors
 from scriptorium.operators.components import connected_components
+from scriptorium.plans import registry, store
 from scriptorium.sources import files
 
 
+def index_of(spark, docs, scope=("lang",)):
+    return search.build_index(docs, store.fresh_path(spark, "index"), scope)
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 40)] + [(1000, i) for i in range(1001, 1100)] + [(rng.randrange(2000, 2200), rng.randrange(2000, 2200)) for _ in range(150)] + [(7, 7), (5000, 5000), (None, 3)]
@@ -34,9 +43,10 @@ def test_components_of_nothing(spark):
 
 def test_bm25_scores_are_positive_and_scope_comes_first(spark):
     docs = spark.createDataFrame([(1, "red fox", "a"), (2, "red red dog", "b"), (3, "", "a"), (4, None, "a")], "doc_id long, text string, lang string")
-    everywhere = {r.doc_id: r.score for r in search.bm25(docs, ["red"]).collect()}
+    index = index_of(spark, docs)
+    everywhere = {r.doc_id: r.score for r in search.bm25(index, ["red"]).collect()}
     assert set(everywhere) == {1, 2} and min(everywhere.values()) > 0
-    scoped = search.topk(search.bm25(docs, ["red"], F.col("lang") == "a"), 1).collect()
+    scoped = search.topk(search.bm25(index, ["red"], F.col("lang") == "a"), 1).collect()
     assert [(r.doc_id, r["rank"]) for r in scoped] == [(1, 1)] and scoped[0].score == everywhere[1]
 
 
@@ -63,7 +73,7 @@ def test_session_gap_that_equals_the_limit_is_one_session(spark):
 
 def test_texts_without_words(spark):
     docs = spark.createDataFrame([(1, ""), (2, None), (3, "...")], "doc_id long, text string")
-    assert text.tokens(docs).count() == 0 and text.extractive_summary(docs).count() == 0
+    assert text.tokens(docs).count() == 0 and text.extractive_summary(docs, index_of(spark, docs, ())).count() == 0
 
 
 def test_column_functions(spark):
@@ -71,11 +81,12 @@ def test_column_functions(spark):
     assert r.c == 0.0 and r.j == pytest.approx(1 / 3) and r.g == ["x y", "y z"] and r.none == []
 
 
-@pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv", "text"])
 def test_files_round_trip(spark, tmp_path, fmt):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    df = df.select(F.col("v").alias("value")) if fmt == "text" else df
     files.write(df, str(tmp_path / "t"), fmt)
-    assert sorted(files.read(spark, str(tmp_path / "t"), fmt, "k long, v string").collect()) == sorted(df.collect())
+    assert sorted(files.read(spark, str(tmp_path / "t"), fmt, None if fmt == "text" else "k long, v string").collect()) == sorted(df.collect())
 
 
 def test_formats_need_schemas(spark):
@@ -90,5 +101,160 @@ def test_every_copy_gets_its_cluster(spark):
     base, other, alone = " ".join(words), " ".join(reversed(words)), " ".join(w + "x" for w in words)
     rows = [(1, base), (2, base), (3, base.upper()), (4, base + " end"), (5, base + " end"), (6, other), (7, other), (8, "hi"), (9, "Hi"), (10, alone), (11, "ho"), (12, None), (13, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = dedup.duplicate_members(docs, dedup.near_duplicates(docs)).collect()
+    got = dedup.duplicate_clusters(docs, dedup.near_duplicates(docs, 0.8), fold_case=True).collect()
     assert sorted((r.doc_id, r.cluster) for r in got) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 6), (7, 6), (8, 8), (9, 8)]
+    got = dedup.duplicate_clusters(docs, dedup.near_duplicates(docs)).collect()
+    assert sorted((r.doc_id, r.cluster) for r in got) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 6), (7, 6)]
+
+
+def test_lsh_connects_what_the_exact_join_finds(spark):
+    sf = "/root/testdata/sf0.1"
+    exact = registry.queries()["near_duplicates"](spark, sf).collect()
+    root = {r.node: r.component for r in connected_components(registry.queries()["near_duplicates_lsh"](spark, sf), "x", "y").collect()}
+    near = [r for r in exact if r.j < 1]
+    assert len(exact) > 1000 and len(near) > 100
+    assert all(root.get(r.x) is not None and root.get(r.x) == root.get(r.y) for r in exact if r.j == 1)
+    assert sum(root.get(r.x, -1) == root.get(r.y, -2) for r in near) >= 0.98 * len(near)
+
+
+def test_index_of_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "red fox", "a"), (1, "red fox", "a"), (None, "red", None), (2, None, "a")], "doc_id long, text string, lang string")
+    index = index_of(spark, docs)
+    assert sorted((r.w, r.doc_id or 0, r.tf, r.df, r.dl) for r in search.inverted_index(index).collect()) == [("fox", 1, 1, 2, 2), ("fox", 1, 1, 2, 2), ("red", 0, 1, 3, 1), ("red", 1, 1, 3, 2), ("red", 1, 1, 3, 2)]
+    assert len(search.bm25(index, ["red", "red", "cat"]).collect()) == 3
+    assert index.stats.head().N == 4
+    scan = search.bm25(index, ["red"])._jdf.queryExecution().executedPlan().toString()
+    assert "In(w" in scan or "EqualTo(w" in scan
+
+
+def test_index_is_written_again_when_documents_change(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    rows = lambda t: spark.createDataFrame([(1, t, "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows("one").write.parquet(path)
+    first = registry.index_of(spark, str(tmp_path))
+    assert registry.index_of(spark, str(tmp_path)) is first
+    rows("two").write.mode("overwrite").parquet(path)
+    assert [r.w for r in registry.index_of(spark, str(tmp_path)).terms.collect()] == ["two"]
+
+
+@pytest.mark.parametrize("limit", [100, 0])
+def test_overlap_of_repeated_and_null_ids(spark, limit):
+    passage = "known passage of some words"
+    docs = spark.createDataFrame([(1, f"x {passage} y"), (1, f"x {passage} y"), (None, passage), (2, "\U0001f600ab"), (3, None), (4, "a known passage")], "doc_id long, text string")
+    known = spark.createDataFrame([(9, passage), (8, "\U0001f600a"), (7, None), (6, ""), (5, "ab"), (4, "n p"), (3, "n p")], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id) for r in context.continuity_overlap(docs, known, limit).collect())
+    assert got == [(0, 3), (0, 4), (0, 9), (1, 3), (1, 3), (1, 4), (1, 4), (1, 9), (1, 9), (2, 5), (2, 8), (4, 3), (4, 4)]
+    assert context.continuity_overlap(docs, known.where("false"), limit).count() == 0
+    plan = context.continuity_overlap(docs, known, limit)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    """Events of which one user, and one type, has nine tenths; with null times and ties."""
+    rng, rows = random.Random(4), []
+    for i in range(3000):
+        at = datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=rng.randrange(10 * 86400))
+        rows.append((i, None if i % 500 == 499 else at.replace(second=0), 7 if rng.random() < 0.9 else rng.randrange(5), "click" if rng.random() < 0.9 else "purchase", None if i % 97 == 0 else float(rng.randrange(-20, 100)), None))
+    return spark.createDataFrame(rows, EVENTS).repartition(4)
+
+
+@pytest.mark.parametrize("name", ["usage_rolling", "usage_percentiles", "budget_breach", "asof_context"])
+def test_hot_keys_are_cut_into_blocks(spark, hot, name):
+    made = {"usage_rolling": usage.usage_rolling, "usage_percentiles": usage.usage_percentiles, "budget_breach": usage.budget_breach, "asof_context": transcripts.asof_context}[name](hot)
+    con = parity.duck(parity.SF)
+    con.register("hot_rows", hot.toPandas())
+    con.execute("CREATE OR REPLACE TEMP VIEW events AS SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type, CASE WHEN isnan(value) THEN NULL ELSE value END AS value FROM hot_rows")
+    # DuckDB sorts nulls last unless told.
+    con.execute("SET default_null_order = 'nulls_first'")
+    result = con.execute(registry.oracle_sql()[name])
+    names = [c[0] for c in result.description]
+    assert parity.rows(made.columns, made.collect()) == parity.rows(names, result.fetchall())
+    plan = made._jdf.queryExecution().analyzed().toString()
+    for line in plan.split("\n"):
+        if "Window [" in line and "Relation" not in line:
+            assert "block" in line
+
+
+def test_hot_group_is_packed_in_ranges(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a"] * 9 + ["b", None]), None if i % 100 == 7 else rng.randrange(0, 50)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n_chars long").repartition(3)
+    got = {(r.doc_id, r.used) for r in context.context_pack(docs, 400).collect()}
+    expected = set()
+    for group in {s for _, s, _ in rows}:
+        used = None
+        for n, i in sorted(((n if n is not None else -1, i) for i, s, n in rows if s == group)):
+            used = used if n == -1 else (used or 0) + n
+            if used is not None and used <= 400:
+                expected.add((i, used))
+    assert got == expected
+
+
+def test_links_resolve_to_pages(spark):
+    rows = [(1, "http://A.com/x/y", '<a href="../z?q=1#f"><a href="HTTP://b.com"><a href="//a.com/x/./y"><a href="gone"><a href="#top"><a href="">'), (2, "http://a.com/z?q=1", None), (5, "http://b.com/", ""), (4, "http://b.com/", ""), (3, None, '<a href="http://b.com/">')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.target, r.dst) for r in links.resolved_links(pages).collect()), key=repr)
+    assert got == sorted([(1, "../z?q=1#f", 2), (1, "HTTP://b.com", 4), (1, "//a.com/x/./y", 1), (1, "gone", None), (1, "#top", 1), (1, "", 1), (3, "http://b.com/", 4)], key=repr)
+
+
+def test_vector_index_has_recall(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16)) * 2
+    rows = [(i, [float(x) for x in centres[0 if i % 3 == 0 else i % 12] + rng.normal(size=16)]) for i in range(1500)]
+    for v in (spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4), spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")):
+        q = v.where("vec_id % 20 = 0")
+        index = vectors.build_ivf(v, store.fresh_path(spark, "ivf"), block=64)
+        assert sum(len(r.ids) // 8 for r in index.blocks.collect()) == v.count()
+        exact = {(r.a, r.b) for r in vectors.knn_topk(v, q, 10).collect()}
+        found = {(r.a, r.b) for r in vectors.ivf_topk(index, q, 10, block=16).collect()}
+        assert len(exact & found) >= 0.9 * len(exact)
+    assert vectors.ivf_topk(vectors.build_ivf(v.where("false"), store.fresh_path(spark, "ivf")), q, 10).count() == 0
+
+
+def test_approximate_distinct_counts(spark):
+    near = {r.l_returnflag: r.parts for r in registry.queries()["agg_approx_distinct"](spark, parity.SF).collect()}
+    exact = {r.l_returnflag: r.parts for r in registry.queries()["agg_distinct"](spark, parity.SF).collect()}
+    assert all(abs(near[k] - n) <= 0.08 * n for k, n in exact.items())
+
+
+def test_jdbc_round_trip(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(50)], "k long, v string").repartition(3)
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    files.write_jdbc(df, url, "notes", partitions=2, **driver)
+    got = files.read_jdbc(spark, url, "notes", "K", 0, 50, 4, **driver)
+    assert got.rdd.getNumPartitions() == 4 and sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_scopes_leave_only_what_is_read(spark):
+    folder = store.shared_dir(spark).removeprefix("file://") + "/scriptorium"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "a b c d e g")], "doc_id long, text string")
+    got = store.scoped(lambda: dedup.duplicate_clusters(docs, dedup.near_duplicates(docs)))()
+    assert set(os.listdir(folder)) - before == store.folders_read(got)
+    assert got.count() == 2
+
+    @store.scoped
+    def fails():
+        store.materialise(docs, "lost")
+        raise ValueError
+
+    now = set(os.listdir(folder))
+    with pytest.raises(ValueError):
+        fails()
+    assert set(os.listdir(folder)) == now
+
+
+def test_unused_names(spark):
+    assert unused(spark.range(1).selectExpr("1 as KEY", "2 as key_", "3 as x"), "key", "y", "y") == ["key__", "y", "y_"]
+
+
+def test_small_tables_are_dealt_to_all_cores(spark):
+    few = spark.range(100).coalesce(1)
+    assert store.spread(few).rdd.getNumPartitions() == 8
+    many = spark.range(100).repartition(20)
+    assert store.spread(many) is many
