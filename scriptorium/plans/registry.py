@@ -130,11 +130,11 @@ _SIM = "list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DO
 _NEAR_SQL = f"SELECT a, b, rank FROM (SELECT q.vec_id AS a, v.vec_id AS b, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE %s) t WHERE rank <= %d"
 _SHINGLES_SQL = r"""
 words AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents),
-sets AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) AS s FROM words WHERE len(w) >= 5),
-heads AS (SELECT min(doc_id) AS x, s FROM sets GROUP BY s),
+sets AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) AS s, md5(array_to_string(s, '|')) AS h FROM words WHERE len(w) >= 5),
+heads AS (SELECT min(doc_id) AS x, h, any_value(s) AS s FROM sets GROUP BY h),
 flat AS (SELECT x, len(s) AS n, unnest(s) AS g FROM heads),
 near AS (SELECT a.x AS x, b.x AS y, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS j FROM flat a JOIN flat b ON a.g = b.g AND a.x < b.x GROUP BY a.x, b.x),
-pairs AS (SELECT x, y, j FROM near WHERE j >= 0.7 UNION ALL SELECT h.x, s.doc_id, 1.0::DOUBLE FROM sets s JOIN heads h ON s.s = h.s WHERE s.doc_id <> h.x)"""
+pairs AS (SELECT x, y, j FROM near WHERE j >= 0.7 UNION ALL SELECT h.x, s.doc_id, 1.0::DOUBLE FROM sets s JOIN heads h ON s.h = h.h WHERE s.doc_id <> h.x)"""
 _FOLDED_SQL = r"""
 once AS (SELECT min(doc_id) AS x, lower(text) AS t FROM documents GROUP BY lower(text)),
 words AS (SELECT x, regexp_extract_all(t, '\p{L}+') AS w FROM once),
