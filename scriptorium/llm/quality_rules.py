@@ -1,16 +1,12 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
-Lines are normalised and hashed, and documents that hold a line are counted per host. A
-line of too many documents is boilerplate and is removed; a document of which too little
-is left is rejected, as are texts that fail the base rules on their own.
-
-Copies are not boilerplate (removing them is another operator's work), so documents are
-told apart by what they hold besides lines that are frequent on their host. That is a
-document's own text: lines neither frequent nor near copies of a frequent line. Documents
-with enough of it are distinct if their own lines are, whatever else they share, so shared
-lines do not shield each other. Documents with less are copies or near copies (Jaccard
-similarity about 0.8 and more), and are told apart by the rarest frequent line they hold:
-the mirrors of an article have few of these between them, whatever their number.
+Lines are normalised and hashed, and the distinct documents that hold a line are counted
+per host. A line of too many documents is boilerplate and is removed; a document of which
+too little is left is rejected, as are texts that fail the base rules on their own.
+
+Documents are distinct by their whole texts: exact copies count once. Near copies are
+documents of their own, so the lines of an article that one host has in more versions
+than ``Limits.max_docs`` are removed like any other.
 """
 
 from __future__ import annotations
@@ -20,7 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.plans.store import broadcast_if, materialise
+from scriptorium.functions.columns import unused
+from scriptorium.plans.store import counted, materialise, scoped
 
 SPACES = r"[\x20\x09-\x0D]+"
 A_WORD = r"[^\x20\x09-\x0D]"
@@ -31,19 +28,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 @dataclass(frozen=True)
 class Limits:
     """A line is removed if it stands in more than ``max_docs`` distinct documents of a
-    host, whatever the host's size. A document is distinct by its own lines if these hold more than ``min_own_share`` of its words: two that share all else
-    have a Jaccard similarity of (1 - s) / (1 + s), 0.8 at a share s of 1/9. A document is
-    depleted if more than ``max_removed_share`` of its words are removed."""
+    host, whatever the host's size. A document is depleted if more than
+    ``max_removed_share`` of its words are removed."""
 
     max_docs: int = 20
-    min_own_share: float = 1 / 9
     max_removed_share: float = 0.5
     min_words: int = 50
     max_repeat_percent: int = 50
 
 
-#: A line's sketch: its least hashes of windows of so many words. Edits of a word leave most.
-SKETCH, WINDOW = 4, 5
 #: Tables of lines or documents up to this many rows are broadcast (under 100 bytes each).
 SMALL = 50_000
 
@@ -58,16 +51,9 @@ def line_hash(line: Column) -> Column:
     return F.unhex(F.md5(plain.cast("binary")))
 
 
-def sketch(words: Column) -> Column:
-    """The SKETCH least 64-bit hashes of a line's windows; of fewer words it has none."""
-    at = F.sequence(F.lit(0), F.size(words) - WINDOW)
-    hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
-    return F.when(F.size(words) >= WINDOW, F.slice(F.sort_array(hashes), 1, SKETCH)).otherwise(F.array().cast("array<bigint>"))
-
-
 def measured(docs: DataFrame, host: str = "source", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row per row of ``docs``: ``carry``, host, content (MD5 of the text), row_id, the
-    base measures, and lines (h, n words, sketch) of every line with a word.
+    base measures, and lines (h, n words) of every line with a word.
 
     Windows of three words are compared by 64-bit hashes from whose low bits the position
     is cut, as few as the text's length needs."""
@@ -94,46 +80,26 @@ def measured(docs: DataFrame, host: str = "source", carry: tuple[str, ...] = ("d
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("raw") - F.size(F.array_distinct("raw"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-        F.transform(
-            F.transform("raw", lambda x: F.struct(line_hash(x).alias("h"), _words(F.translate(x, UPPER, LOWER)).alias("w"))),
-            lambda x: F.struct(x["h"].alias("h"), F.size(x["w"]).alias("n"), sketch(x["w"]).alias("sketch")),
-        ).alias("lines"),
+        F.transform("raw", lambda x: F.struct(line_hash(x).alias("h"), F.size(_words(x)).alias("n"))).alias("lines"),
     )
 
 
 def frequent_lines(table: DataFrame, limits: Limits) -> DataFrame:
     """(host, h) of the lines to remove, from a written table of :func:`measured` rows.
 
-    Rows are counted first; only lines with enough of them are then counted by distinct
-    contents, and the documents that hold such lines by what tells them apart. Every count
-    combines within tasks before it is exchanged."""
-    held = table.select("row_id", "host", "content", F.explode("lines").alias("x")).select("row_id", "host", "content", "x.*")
-    often = materialise(table.select("host", F.explode(F.array_distinct("lines.h")).alias("h")).groupBy("host", "h").agg(F.count("*").alias("rows")).where(F.col("rows") > limits.max_docs).select("host", "h"), "often-rows")
-    close = held.join(broadcast_if(often, often.count(), SMALL), ["host", "h"])
-    by_content = close.groupBy("host", "h", "content").agg(F.first("sketch").alias("sketch")).groupBy("host", "h")
-    often = materialise(by_content.agg(F.count("*").alias("docs"), F.first("sketch").alias("sketch")).where(F.col("docs") > limits.max_docs), "often-lines")
-    n = often.count()
-    if not n:
-        return often.select("host", "h")
-    # Lines that have half of their sketch in common with frequent ones, and are none.
-    marks = often.select("host", F.explode("sketch").alias("mark")).distinct()
-    other = held.select("host", "h", F.size("sketch").alias("of"), F.explode("sketch").alias("mark"))
-    shared = other.join(broadcast_if(marks, SKETCH * n, SMALL), ["host", "mark"]).groupBy("host", "h", "of", "mark").agg(F.lit(1))
-    near = materialise(shared.groupBy("host", "h", "of").agg(F.count("*").alias("n")).where(2 * F.col("n") >= F.col("of")).select("host", "h").distinct(), "near-lines")
-    kinds = often.select("host", "h", "docs").join(near.withColumn("near", F.lit(True)), ["host", "h"], "full")
-    kinds = materialise(kinds, "line-kinds")
-    told = held.join(broadcast_if(kinds, kinds.count(), SMALL), ["host", "h"], "left").withColumn("own", F.col("docs").isNull() & F.col("near").isNull())
-    own = F.when(F.col("own"), F.xxhash64("h"))
-    rarest = F.min(F.when(F.col("docs").isNotNull(), F.struct("docs", "h")))
-    marked = told.groupBy("row_id").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("own"), F.col("n"))).alias("n_own"), F.sum(own.cast("decimal(38,0)")).alias("own"), rarest.alias("rarest"))
-    alone = F.col("n_own") > limits.min_own_share * F.col("n")
-    identity = F.when(alone, F.col("own").cast("string")).otherwise(F.hex("rarest.h"))
-    marked = materialise(marked.where("rarest is not null").select("row_id", identity.alias("identity")), "told-apart")
-    counted = close.select("row_id", "host", "h").join(often.select("host", "h"), ["host", "h"], "left_semi").join(marked, "row_id")
-    counted = counted.groupBy("host", "h", "identity").agg(F.lit(1)).groupBy("host", "h").agg(F.count("*").alias("docs"))
-    return materialise(counted.where(F.col("docs") > limits.max_docs).select("host", "h"), "frequent-lines")
+    Rows are counted first, as a line in few rows is in few documents; only lines with
+    enough of them are counted by distinct contents. Both counts combine within tasks
+    before they are exchanged, so a line that all documents of a host have is a row a task
+    in the first, and a row a document, dealt by content, in the second."""
+    rows = table.select("host", F.explode(F.array_distinct("lines.h")).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
+    often = materialise(rows.where(F.col("n") > limits.max_docs).select("host", "h"), "often-lines")
+    held = table.select("host", "content", F.explode(F.array_distinct("lines.h")).alias("h"))
+    close = held.join(counted(often, SMALL), ["host", "h"]).groupBy("host", "h", "content").agg(F.lit(1))
+    counts = close.groupBy("host", "h").agg(F.count("*").alias("docs"))
+    return materialise(counts.where(F.col("docs") > limits.max_docs).select("host", "h"), "frequent-lines")
 
 
+@scoped
 def judge(docs: DataFrame, limits: Limits = Limits(), host: str = "source", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:  # noqa: B008
     """A row per row of ``docs`` (text, ``host`` and ``carry`` columns): ``carry``, host,
     content, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -141,31 +107,35 @@ def judge(docs: DataFrame, limits: Limits = Limits(), host: str = "source", carr
 
     Null texts have no words and fail the base rules; a null host is the host ''. Repeated
     rows are one document in counts and each get a row. An empty table gives no rows.
-    Columns not named are ignored. The line table is written once, without the texts."""
+    Columns not named are ignored. The line table is written once, without the texts.
+    Tables of lines and of rows that lose some are broadcast up to SMALL rows, counted;
+    beyond it joins are shuffled, and AQE splits a line or host with very many rows."""
     table = materialise(measured(docs, host, carry), "measured")
     frequent = frequent_lines(table, limits)
-    frequent = broadcast_if(frequent, frequent.count(), SMALL)
-    gone = table.select("row_id", "host", F.explode("lines").alias("x")).select("row_id", "host", "x.h", "x.n").join(frequent, ["host", "h"])
+    gone = table.select("row_id", "host", F.explode("lines").alias("x")).select("row_id", "host", "x.h", "x.n").join(counted(frequent, SMALL), ["host", "h"])
     # A document's removed lines are at most its own lines, so the set is bounded by a text.
     removed = materialise(gone.groupBy("row_id").agg(F.sum("n").alias("n_removed_words"), F.collect_set("h").alias("removed")), "removed-lines")
-    full = table.drop("lines").join(removed, "row_id", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
+    full = table.drop("lines").join(counted(removed, SMALL), "row_id", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
     depleted = F.col("n_removed_words") > limits.max_removed_share * F.col("n_words")
     return full.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).drop("row_id")
 
 
+@scoped
 def clean(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> DataFrame:  # noqa: B008
     """``docs`` with all its columns, without the rejected documents, and without the
     removed lines in ``text`` (and in n_chars, where there is one). Other texts are left as
-    they are. Verdicts depend on host and text alone, and are joined on a digest of both."""
+    they are. Verdicts depend on host and text alone, and are joined on a digest of both.
+    Null texts, repeated rows, empty tables: as in :func:`judge`."""
+    own_key, own_kept, own_gone = unused(docs, "key", "kept", "gone")
     key = lambda h, c: F.unhex(F.md5(F.concat(c, F.coalesce(h.cast("string"), F.lit("")).cast("binary"))))
     told = judge(docs, limits, host, carry=()).where("not kept or n_removed_words > 0")
-    acts = told.select(key(F.col("host"), F.col("content")).alias("_key"), F.col("kept").alias("_kept"), F.when(F.col("kept"), F.col("removed")).alias("_gone"))
-    acts = materialise(acts.dropDuplicates(["_key"]), "line-acts")
+    acts = told.select(key(F.col("host"), F.col("content")).alias(own_key), F.col("kept").alias(own_kept), F.when(F.col("kept"), F.col("removed")).alias(own_gone))
+    acts = materialise(acts.dropDuplicates([own_key]), "line-acts")
     content = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    joined = docs.withColumn("_key", key(F.col(host), content)).join(broadcast_if(acts, acts.count(), SMALL), "_key", "left").where("coalesce(_kept, true)")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(A_WORD) | ~F.array_contains("_gone", line_hash(x))), "\n")
-    out = joined.withColumn("text", F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("text")))
+    joined = docs.withColumn(own_key, key(F.col(host), content)).join(counted(acts, SMALL), own_key, "left").where(F.coalesce(F.col(own_kept), F.lit(True)))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(A_WORD) | ~F.array_contains(own_gone, line_hash(x))), "\n")
+    out = joined.withColumn("text", F.when(F.col(own_gone).isNotNull(), left).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(own_gone).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
