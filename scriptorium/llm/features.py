@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from zlib import crc32
 
-from scriptorium.llm.text import bound_batches
+from scriptorium.llm.text import bounded_batches
 
 BITS = 18
 _tokens = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+").findall
@@ -110,8 +110,10 @@ def sampled(ids: DataFrame, limit: int) -> list:
 def training_vectors(docs: DataFrame, ids: list[int], make_one=features) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """doc_id -> (slots, values) of a bounded sample, ordered by a hash of doc_id. The ids
     are broadcast, as bounded as the sample; of rows that repeat a doc_id one is taken."""
-    bound_batches(docs.sparkSession)
     chosen = docs.sparkSession.createDataFrame([(i,) for i in set(ids)], "doc_id long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    got = {r["carry"]: (np.frombuffer(r["slots"], "<i4").astype(np.int64), np.frombuffer(r["vals"], "<f4").astype(np.float64)) for r in vectors(rows, "doc_id", make_one).toLocalIterator()}
+    # Of rows that repeat a doc_id the one of the least text hash counts, whatever arrives first.
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
+    with bounded_batches(docs.sparkSession):
+        got = {r["carry"]: (np.frombuffer(r["slots"], "<i4").astype(np.int64), np.frombuffer(r["vals"], "<f4").astype(np.float64)) for r in vectors(rows, "doc_id", make_one).collect()}  # as bounded as the sample
     return dict(sorted(got.items(), key=lambda x: (crc32(str(x[0]).encode()) * 0x9E3779B1 & 0xFFFFFFFF, x[0])))

@@ -18,9 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.text import bound_batches
+from scriptorium.llm.text import bounded_batches
 from scriptorium.llm.tokens import TokenizerFile, encoder
-from scriptorium.plans.store import materialise
+from scriptorium.plans.store import materialise, scoped
 
 #: Ranks of a length that share a join key.
 BLOCK = 4096
@@ -122,6 +122,7 @@ def cut_documents(docs: DataFrame, tokenizer: TokenizerFile, capacity: int = 102
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_cutter(tokenizer, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+@scoped
 def pack_documents(docs: DataFrame, tokenizer: TokenizerFile, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Pieces of all documents with their sequence_id and offset: best-fit decreasing.
 
@@ -129,6 +130,6 @@ def pack_documents(docs: DataFrame, tokenizer: TokenizerFile, capacity: int = 10
     are packed like any other; the order among equal pieces is by their columns. An
     empty table gives no pieces. Columns other than doc_id and text are ignored.
     """
-    bound_batches(docs.sparkSession)
-    pieces = materialise(cut_documents(docs, tokenizer, capacity, end_id), "pieces")
+    with bounded_batches(docs.sparkSession):
+        pieces = materialise(cut_documents(docs, tokenizer, capacity, end_id), "pieces")
     return place(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -13,11 +15,16 @@ BATCH = 1000
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's rows of an Arrow batch to BATCH, as rows are whole texts here. It
-    stays lowered: plans that are returned run later."""
-    if not 0 < int(spark.conf.get(ROWS)) <= BATCH:
-        spark.conf.set(ROWS, BATCH)
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH rows for the plans that run inside, as rows are whole
+    texts here. The session's setting is as before afterwards."""
+    before = spark.conf.get(ROWS)
+    spark.conf.set(ROWS, min(BATCH, int(before)) if int(before) > 0 else BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS, before)
 
 
 #: A-Z lower-cased, then maximal runs of digits, a-z and any non-ASCII character. Bytes
@@ -45,16 +52,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of ``n`` words, in order, from the words' hashes."""
+    total = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            total = mix(total * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(total)])
+    return total
+
+
 def shingles(text: bytes | None, size: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of ``size`` words. A text of fewer words,
     but not none, is one shingle."""
     found = words(text)
-    if not found:
-        return np.empty(0, np.uint64)
-    h = word_hashes(found)
-    n = max(1, len(h) - size + 1)
-    total = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(min(size, len(h))):
-            total = mix(total * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-    return np.unique(total)
+    return np.unique(run_hashes(word_hashes(found), min(size, len(found)))) if found else np.empty(0, np.uint64)
