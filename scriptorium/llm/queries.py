@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import decontaminate, ngram_join, packing, quality_classifier, quality_rules, token_counts, token_files, toxicity, url_filter, warc
 from scriptorium.llm.tokens import PIECES, TokenizerFile
-from scriptorium.plans.store import fresh_path
+from scriptorium.plans.store import fresh_path, scoped
 from scriptorium.sources.tables import table
 
 
@@ -32,7 +32,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _held_out(df: DataFrame, folds: int, fold: int) -> DataFrame:
-    return df.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold).alias("held_out"), "score", "predicted")
+    """A null doc_id is in no fold."""
+    own = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold
+    return df.select("doc_id", F.coalesce(own, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op3_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_toxicity_nnpu, op4_quality_ftrl, op5_warc_archive, op6_best_fit_packing, op7_ngram_jaccard_join, op8_decontamination, op9_url_filter, op10_token_counts)}
+    return {f.__name__: scoped(f) for f in (op1_token_files, op2_quality_rules, op3_toxicity_nnpu, op4_quality_ftrl, op5_warc_archive, op6_best_fit_packing, op7_ngram_jaccard_join, op8_decontamination, op9_url_filter, op10_token_counts)}
 
 
 _WS = r"[\x20\x09-\x0D]+"

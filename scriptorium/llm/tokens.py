@@ -170,9 +170,3 @@ def encoder(file: TokenizerFile) -> Encoder:
         _encoders.clear()
         _encoders[key] = Encoder(file)
     return _encoders[key]
-
-
-def packed_texts(file: TokenizerFile, texts: Iterable[str | None]) -> Iterator[bytes]:
-    own = encoder(file)
-    for text in texts:
-        yield own.packed(text)

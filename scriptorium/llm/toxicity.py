@@ -46,6 +46,21 @@ def telling(positive: list, unlabelled: list, least: float = 6.0) -> np.ndarray:
     return (p >= min(3, n)) & (p / n >= 3 * u / m) & ((p / n - u / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m)) >= least)
 
 
+def risk_gradient(positive: list, unlabelled: list, prior: float, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+    """The gradient of a step for weights and bias: of the whole risk, or, where the risk of
+    the negative class is estimated below zero, of its opposite. Losses are log(1 + e^-g)
+    for a positive and log(1 + e^g) for a negative."""
+    pos, unl = _Rows(positive), _Rows(unlabelled)
+    sp, su = _sigmoid(pos.dot(w, b)), _sigmoid(unl.dot(w, b))
+    negative = -np.log1p(-np.clip(su, 0, 1 - 1e-12)).mean() + prior * np.log1p(-np.clip(sp, 0, 1 - 1e-12)).mean()
+    of_p, of_u = -prior * sp / len(sp), su / len(su)
+    if negative < 0:
+        of_p, of_u = -of_p, -of_u
+    else:
+        of_p = of_p + prior * (sp - 1) / len(sp)
+    return pos.gradient(of_p) + unl.gradient(of_u), float(of_p.sum() + of_u.sum())
+
+
 def fit_nnpu(positive: list, unlabelled: list, prior: float, epochs: int = 40, batch: int = 500, rate: float = 0.02, l2: float = 1e-6, seed: int = 7) -> tuple[np.ndarray, float]:
     """(weights, bias) minimising prior * R+(positive) + max(0, R-(unlabelled) - prior *
     R-(positive)) with the logistic loss, by Adam over mini-batches."""
@@ -61,16 +76,8 @@ def fit_nnpu(positive: list, unlabelled: list, prior: float, epochs: int = 40, b
         for u_at, p_at in zip(u_parts, p_parts):
             if not len(u_at) or not len(p_at):
                 continue
-            pos, unl = _Rows([positive[i] for i in p_at]), _Rows([unlabelled[i] for i in u_at])
-            sp, su = _sigmoid(pos.dot(w, b)), _sigmoid(unl.dot(w, b))
-            # losses: log(1 + e^-g) for a positive, log(1 + e^g) for a negative
-            negative = -np.log1p(-np.clip(su, 0, 1 - 1e-12)).mean() + prior * np.log1p(-np.clip(sp, 0, 1 - 1e-12)).mean()
-            dn_p, dn_u = -prior * sp / len(sp), su / len(su)
-            if negative < 0:
-                g_p, g_u = -dn_p, -dn_u
-            else:
-                g_p, g_u = dn_p + prior * (sp - 1) / len(sp), dn_u
-            grad, gb, t = pos.gradient(g_p) + unl.gradient(g_u) + l2 * w, g_p.sum() + g_u.sum(), t + 1
+            grad, gb = risk_gradient([positive[i] for i in p_at], [unlabelled[i] for i in u_at], prior, w, b)
+            grad, t = grad + l2 * w, t + 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             up = rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
@@ -92,7 +99,8 @@ def calibrated(unlabelled: list, w: np.ndarray, b: float, prior: float) -> float
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_out: int = 2, positives: int = 4000, unlabelled: int = 8000) -> tuple[np.ndarray, float]:
     """(weights, bias) from at most ``positives`` rows confirmed toxic and ``unlabelled``
-    rows of any kind, both outside the held-out fold. The class prior is the share of
+    rows of any kind, both outside the held-out fold; what is telling, and the calibration,
+    come from these samples too. The class prior is the share of
     toxic rows among labelled ones there."""
     known = labelled(labels, label, folds, held_out)
     prior = known.agg(F.avg("y")).head()[0] or 0.0
