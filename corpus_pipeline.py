@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm import decontaminate, ngram_join, packing, quality_classifier, quality_rules
 from scriptorium.llm.queries import vocabulary
-from scriptorium.plans.store import materialise
+from scriptorium.plans.store import materialise, scoped
 from scriptorium.sources.tables import table
 
 
@@ -48,10 +48,12 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: A trained classifier and a tokenizer are no SQL; tests hold run() against a brute-force version.
+#: A trained classifier and a tokenizer are no SQL; tests/llm/test_pipeline.py holds run()
+#: against a brute-force version of every stage.
 ORACLE_SQL = None
 
 
+@scoped
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
