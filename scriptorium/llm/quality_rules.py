@@ -133,7 +133,8 @@ def clean(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> D
     acts = told.select(key(F.col("host"), F.col("content")).alias(own_key), F.col("kept").alias(own_kept), F.when(F.col("kept"), F.col("removed")).alias(own_gone))
     acts = materialise(acts.dropDuplicates([own_key]), "line-acts")
     content = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    joined = docs.withColumn(own_key, key(F.col(host), content)).join(counted(acts, SMALL), own_key, "left").where(F.coalesce(F.col(own_kept), F.lit(True)))
+    # The acts grow with the corpus, so they are never broadcast, however few.
+    joined = docs.withColumn(own_key, key(F.col(host), content)).join(acts.hint("merge"), own_key, "left").where(F.coalesce(F.col(own_kept), F.lit(True)))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(A_WORD) | ~F.array_contains(own_gone, line_hash(x))), "\n")
     out = joined.withColumn("text", F.when(F.col(own_gone).isNotNull(), left).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
