@@ -163,15 +163,14 @@ def candidate_links(records: DataFrame, threshold: float, target: float) -> Data
     links: list[DataFrame] = []
     for level in range(1, LEVELS + 1):
         sizes = materialise(nodes.groupBy("path").agg(F.count("*").alias("n"), F.min("rec").alias("centre")).where("n > 1"), f"sizes-{level}")
-        # Tables that grow with the corpus are never broadcast, however small.
-        live = nodes.join(sizes.hint("merge"), "path")
-        few = live.where(F.col("n") <= BUCKET).join(records.hint("merge"), "rec").select("path", "rec", "sample")
+        live = nodes.join(sizes, "path")
+        few = live.where(F.col("n") <= BUCKET).join(records, "rec").select("path", "rec", "sample")
         few = few.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path").sortWithinPartitions("path", "rec")
         links.append(materialise(few.mapInPandas(_bucket_links(least), "src long, dst long").distinct(), f"links-{level}"))
         if sizes.where(F.col("n") > BUCKET).isEmpty():
             break
         centres = records.select(F.col("rec").alias("centre"), F.col("sample").alias("centre_sample"))
-        many = live.where((F.col("n") > BUCKET) & (F.col("rec") != F.col("centre"))).join(records.hint("merge"), "rec").join(centres, "centre")
+        many = live.where((F.col("n") > BUCKET) & (F.col("rec") != F.col("centre"))).join(records, "rec").join(centres, "centre")
         same = F.size(F.filter(F.zip_with("sample", "centre_sample", lambda a, b: a == b), lambda x: x)) / PLACES
         many = materialise(many.select("path", "rec", "sample", "centre", same.alias("same")), f"large-{level}")
         # In a node that is large at the last level all are linked: verification is exact.
@@ -255,7 +254,7 @@ def verified_links(docs: DataFrame, records: DataFrame, candidates: DataFrame, t
     is held as differences from the set of its least record, and compared block by block,
     each pair of blocks a group of its own."""
     components = materialise(connected_components(candidates), "candidates")
-    held = components.join(records.select(F.col("rec").alias("node"), "content", "n").hint("merge"), "node")
+    held = components.join(records.select(F.col("rec").alias("node"), "content", "n"), "node")
     sizes = held.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
     large = (F.col("m") > BLOCK) | (F.col("shingles") > SHINGLES)
     wanted = materialise(held.join(sizes.select("component", large.alias("large")), "component").select(F.col("node").alias("rec"), "component", "content", "n", "large"), "wanted")
