@@ -531,6 +531,30 @@ def test_url_aliases(spark):
     assert url_filter.filter_urls(pages.where("false"), llm.RULES).count() == 0
 
 
+def test_every_tag_of_a_page_names_it(spark):
+    bad, link = "http://shop.com/en/q", '<link rel="{}" href="{}">'
+    rows = [
+        (1, "http://a.io/1", link.format("canonical", "/fine") + link.format("canonical", bad)),  # the second tag
+        (2, "http://a.io/2", f"<LINK href={bad} rel=canonical>"),
+        (3, "http://a.io/3", link.format("alternate Canonical", bad)),  # a word of rel
+        (4, "http://a.io/4", link.format("canonical-not", bad) + f'<link data-rel="canonical" href="{bad}">'),
+        (5, "http://a.io/5", f"""<meta http-equiv=refresh content="0;url=/fine"><meta http-equiv="refresh" content="0; URL='{bad}'">"""),
+        (6, "http://b.io/d/p", link.format("canonical", bad)),
+        (7, "http://b.io/d/e/f", link.format("canonical", "../p")),
+        (8, "http://b.io/d/./e/../p", ""),  # what page 6 is, written otherwise
+        (9, "http://c.io", link.format("canonical", bad)),
+        (10, "http://c.io/", ""),
+        (11, "http://shop.com/x/../en/z", link.format("canonical", "/own")),  # its name is blocked, and so its class
+        (12, "http://shop.com/own", ""),
+        (13, "http://shop.com/x/../en/alone", ""),  # no class, and no rule fits it as written
+        (14, "http://a.io/14", f"<link rel=canonical {'x' * 100_000}"),  # no end of tag
+        (15, "http://a.io/fine", ""),  # what pages 1 and 5 also call themselves
+    ]
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), llm.RULES).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {1, 2, 3, 5, 6, 7, 8, 9, 10, 11, 12, 15}
+    assert set(got) == set(range(1, 16))
+
+
 def web(seed=3, n=240):
     """Pages of which many redirect to, or name as canonical, one another."""
     rng = random.Random(seed)
