@@ -77,7 +77,10 @@ def runs_for(threshold: float, target: float) -> int:
             total += math.comb(PLACES, n) * threshold**n * (1 - threshold) ** (PLACES - n) * (1 - p) ** runs
         return total
 
-    return next((runs for runs in range(1, 64) if missed(runs) <= 1 - target), 64)
+    for runs in range(1, 65):
+        if missed(runs) <= 1 - target:
+            return runs
+    raise ValueError(f"64 runs miss more than {1 - target:.2g} of the pairs at {threshold}: lower the target or raise the threshold")
 
 
 def _sketcher(size: int):
@@ -88,18 +91,19 @@ def _sketcher(size: int):
                 found = shingles(body, size)
                 n = len(found)
                 rows.append((doc_id, content, hashlib.md5(found.tobytes()).digest() if n else None, n, minima(found) if n else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "content", "copy", "n", "sample"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "content", "copy", "n", "sample"])
 
     return sketch
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
     """A written row per row of ``docs``: row_id, doc_id, content (MD5 of the text), copy
-    (digest of the shingle set, null without words), n shingles, sample."""
+    (digest of the shingle set, null without words), n shingles, sample. Ids pass Python as
+    text: pandas holds a long column with nulls in doubles, which end at 2**53."""
     body = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(body).alias("content"), body.alias("body"))
-    made = spread(rows).mapInPandas(_sketcher(size), "doc_id long, content string, copy binary, n int, sample array<int>")
-    return materialise(made.withColumn("row_id", F.monotonically_increasing_id()), "sketches")
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.md5(body).alias("content"), body.alias("body"))
+    made = spread(rows).mapInPandas(_sketcher(size), "doc_id string, content string, copy binary, n int, sample array<int>")
+    return materialise(made.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row_id", F.monotonically_increasing_id()), "sketches")
 
 
 def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:

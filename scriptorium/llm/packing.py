@@ -77,7 +77,8 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
 
     Ranks: rows of a length are dealt over buckets by a hash of the tie columns, numbered
     within the bucket, and shifted by the counts of the buckets before; so a length that
-    a third of all rows share makes no large task.
+    a third of all rows share makes no large task. One of the tie columns should number the
+    rows, or equal rows share a bucket.
     """
     spark = pieces.sparkSession
     ties = [c for c in pieces.columns if c != "length"]
@@ -111,15 +112,17 @@ def _cutter(file: TokenizerFile, end_id: int, capacity: int):
                 head = len(ids) % capacity or capacity
                 edges = [0, *range(head, len(ids) + 1, capacity)]
                 rows += [(doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return cut
 
 
 def cut_documents(docs: DataFrame, tokenizer: TokenizerFile, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32. Documents longer than
-    ``capacity`` are cut into whole pieces, what is left over going first."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_cutter(tokenizer, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    ``capacity`` are cut into whole pieces, what is left over going first. Ids pass Python
+    as text, as pandas holds a long column with nulls in doubles."""
+    cut = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(_cutter(tokenizer, end_id, capacity), "doc_id string, piece int, start long, length long, ids_crc32 long")
+    return cut.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 @scoped
@@ -131,5 +134,5 @@ def pack_documents(docs: DataFrame, tokenizer: TokenizerFile, capacity: int = 10
     empty table gives no pieces. Columns other than doc_id and text are ignored.
     """
     with bounded_batches(docs.sparkSession):
-        pieces = materialise(cut_documents(docs, tokenizer, capacity, end_id), "pieces")
+        pieces = materialise(cut_documents(docs, tokenizer, capacity, end_id).withColumn("number", F.monotonically_increasing_id()), "pieces")
     return place(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -50,7 +50,7 @@ def header_block(page_id, url, digest: str, sha1: str, size: int, leader) -> byt
 
 
 def _none(x):
-    return None if x is None or x is pd.NA or x != x else int(x)
+    return None if x is None or x != x else x
 
 
 def _writer(folder: str):
@@ -85,6 +85,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000) -> Data
     revisited; rows that repeat the largest page_id are all responses. Other columns are
     ignored. Payloads stay where they are read unless repeated digests are too many to
     broadcast; then they are dealt by digest, and AQE splits a digest with many rows.
+    Page ids pass Python as text, as pandas holds a long column with nulls in doubles.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     skinny = pages.select(F.sha2(payload, 256).alias("digest"), F.col("page_id").cast("long").alias("page_id"), F.length(payload).alias("size")).where(F.col("size") >= min_bytes)
@@ -92,7 +93,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000) -> Data
     leaders = broadcast_if(leaders, leaders.count(), LEADERS)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("sha1", F.sha1("payload"))
     told = rows.join(leaders, "digest", "left").withColumn("leader", F.when(~F.col("page_id").eqNullSafe(F.col("leader")), F.col("leader")))
-    return materialise(told.select("page_id", "url", "digest", "sha1", "leader", "payload").mapInPandas(_writer(folder), SHARD), "warc-manifest")
+    return materialise(told.select(F.col("page_id").cast("string"), "url", "digest", "sha1", F.col("leader").cast("string"), "payload").mapInPandas(_writer(folder), SHARD), "warc-manifest")
 
 
 def records(stream) -> Iterator[tuple[bytes, bytes]]:

@@ -631,3 +631,42 @@ def test_recall_by_similarity_band(spark):
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_same_rows_as_duckdb(spark, name):
     assert parity.same(spark, llm.queries()[name], llm.oracle_sql()[name]) > 0
+
+
+#: Ids that doubles can't hold, each beside nulls in one Arrow batch.
+LARGE = [2**60 + 2 * i + 1 for i in range(30)]
+
+
+def large_ids(spark):
+    rows = [(i, f"text number {k} of its own, with words {k * 7} {k * 11} and nothing else in common") for k, i in enumerate([*LARGE, *[None] * 10])]
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).coalesce(1)
+
+
+def test_large_ids_beside_nulls_stay_as_they_are(spark, bpe):
+    docs, all_ids = large_ids(spark), sorted([*LARGE, *[None] * 10], key=str)
+    of = lambda df: sorted((r.doc_id for r in df.select("doc_id").collect()), key=str)
+    folder = fresh_path(spark, "t")
+    assert of(token_files.read_token_files(token_files.write_token_files(docs, bpe, folder, shards=1), folder)) == all_ids
+    assert of(packing.pack_documents(docs, bpe, capacity=1024)) == all_ids
+    assert of(ngram_join.join_classes(docs)) == all_ids
+    assert of(ngram_join.keep_one(docs)) == all_ids
+    assert of(token_counts.count_tokens(docs, bpe, fresh_path(spark, "cache"))) == all_ids
+    assert of(quality_rules.judge(docs)) == all_ids
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert of(decontaminate.find_contamination(docs, none)) == all_ids and of(decontaminate.keep_clean(docs, none)) == all_ids
+    labels = spark.createDataFrame([(i, k % 2, k % 3 == 0) for k, i in enumerate(LARGE)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    assert of(toxicity.score_toxicity(docs, labels, folds=4, held_out=2)) == all_ids
+    assert of(quality_classifier.score_quality(docs, labels, folds=5, held_out=0)) == all_ids
+
+
+def test_revisits_name_large_pages_beside_nulls(spark):
+    body = "x" * 2000
+    rows = [(2**60 + 3, "http://a.b/1", body), (2**60 + 1, "http://a.b/2", body), (None, "http://a.b/3", body), (2**60 + 7, None, "short"), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    headers, payloads = warc.store_archives(warc.write_archives(pages, fresh_path(spark, "warc"), 1000))
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.describe(headers, payloads).collect()), key=str)
+    top = 2**60 + 3
+    assert got == sorted([(top, "response", None), (2**60 + 1, "revisit", top), (None, "revisit", top), (2**60 + 7, "response", None), (None, "response", None)], key=str)
+    named = [r.header.decode() for r in headers.collect()]
+    ids = {h.split("WARC-Record-ID: ")[1].split("\r")[0] for h in named}
+    assert {h.split("WARC-Refers-To: ")[1].split("\r")[0] for h in named if "WARC-Refers-To: " in h} <= ids
