@@ -41,3 +41,13 @@ def with_carried(rows: DataFrame, carried: DataFrame, keys: tuple[str, ...]) ->
     for c in (*keys, "block"):
         same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))
     return rows.join(counted(named, CARRIED), same).drop(*[f"{c}_of" for c in (*keys, "block")])
+
+
+def numbered(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], name: str) -> DataFrame:
+    """``df`` with ``place``, from 0, of a row among those of its keys, and ``n``, their number.
+    ``order`` should tell rows apart; windows over rows see one range of them each."""
+    rows = ranged(df, keys, order, name)
+    sizes = rows.groupBy(*keys, "block").agg(F.count("*").alias("size"))
+    carried = sizes.select(*keys, "block", F.coalesce(before(keys, "size"), F.lit(0)).alias("start"), F.sum("size").over(Window.partitionBy(*keys)).alias("n"))
+    own = F.row_number().over(Window.partitionBy(*keys, "block").orderBy(*order))
+    return with_carried(rows, carried, keys).withColumn("place", F.col("start") + own - 1).drop("block", "start")
