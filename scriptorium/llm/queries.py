@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, ngram_join, packing, quality_classifier, quality_rules, token_counts, token_files, toxicity, url_filter, warc
+from scriptorium.functions.urls import LOWER, UPPER
+from scriptorium.llm import decontaminate, merkle, ngram_join, packing, quality_classifier, quality_rules, token_counts, token_files, toxicity, url_filter, warc
 from scriptorium.llm.tokens import PIECES, TokenizerFile
 from scriptorium.plans.store import fresh_path, scoped
 from scriptorium.sources.tables import table
@@ -73,8 +74,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(), fresh_path(spark, "token-cache"), max_tokens=1024)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = {"text": F.when(told, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))}
+    return merkle.verify(table(spark, sf_dir, "documents"), found).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: scoped(f) for f in (op1_token_files, op2_quality_rules, op3_toxicity_nnpu, op4_quality_ftrl, op5_warc_archive, op6_best_fit_packing, op7_ngram_jaccard_join, op8_decontamination, op9_url_filter, op10_token_counts)}
+    return {f.__name__: scoped(f) for f in (op1_token_files, op2_quality_rules, op3_toxicity_nnpu, op4_quality_ftrl, op5_warc_archive, op6_best_fit_packing, op7_ngram_jaccard_join, op8_decontamination, op9_url_filter, op10_token_counts, op11_merkle_manifest)}
 
 
 _WS = r"[\x20\x09-\x0D]+"
@@ -154,7 +161,45 @@ k AS (SELECT page_id, host, path, {_rule_sql('host', 'path', 0)} AS rule, {_rule
 SELECT page_id, host, path, rule, coalesce(act, CASE WHEN c.node IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM k LEFT JOIN c ON c.node = k.node"""
 
 
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text: a bit at a time, over list_reduce."""
+    bits = "list_reduce(CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]), lambda t, y: xor(t >> 1, 3988292384 * (t & 1)), xor(c, x))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, x: {bits}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """CTEs {name}_r1.. of runs (grp, i, s, c) over {name}_n0 (grp, i, h, c): ``c`` nodes are in
+    the level below, and a single one goes up as it is."""
+    out = []
+    for k in range(1, levels + 1):
+        out.append(f"{name}_r{k} AS MATERIALIZED (SELECT grp, i // 16 AS i, string_agg(h, '' ORDER BY i) AS s, any_value(c) AS c FROM {name}_n{k - 1} GROUP BY grp, i // 16)")
+        out.append(f"{name}_n{k} AS (SELECT grp, i, CASE WHEN c > 1 THEN sha256(s) ELSE s END AS h, count(*) OVER (PARTITION BY grp) AS c FROM {name}_r{k})")
+    return ",\n".join(out)
+
+
+def _op11_sql(levels: int = 6, top: int = 4) -> str:
+    """Groups of up to 16 ** levels rows, and up to 16 ** top groups."""
+    enc = lambda v: f"coalesce(octet_length(encode(CAST({v} AS VARCHAR))) || ':' || CAST({v} AS VARCHAR), '-')"
+    rest = " || ".join(enc(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    told = f"CASE WHEN {_crc32_sql('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN translate(text, {_ABC}) ELSE text END"
+    steps = [(f"g_r{k}", f"l.i // {16 ** (k - 1)} % 16", f"g_r{k}.grp = l.grp AND g_r{k}.i = l.i // {16**k}") for k in range(1, levels + 1)]
+    steps += [(f"t_r{k}", f"t.i // {16 ** (k - 1)} % 16", f"t_r{k}.i = t.i // {16**k}") for k in range(1, top + 1)]
+    sides = ", ".join(f"substr({r}.s, 1, 64 * ({at})) AS a{n}, substr({r}.s, 64 * ({at}) + 65) AS b{n}, {r}.c AS c{n}" for n, (r, at, _) in enumerate(steps, 1))
+    folds = ",\n".join(f"f{n} AS (SELECT * REPLACE (CASE WHEN c{n} > 1 THEN sha256(a{n} || f || b{n}) ELSE f END AS f) FROM f{n - 1})" for n in range(1, len(steps) + 1))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('s' || source, '-') AS grp, sha256({rest} || {enc('text')}) AS leaf, sha256({rest} || {enc(told)}) AS found FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i FROM d),
+g_n0 AS (SELECT grp, i, leaf AS h, count(*) OVER (PARTITION BY grp) AS c FROM l),
+{_tree_sql('g', levels)},
+t AS (SELECT grp, h, row_number() OVER (ORDER BY grp) - 1 AS i FROM g_n{levels}),
+t_n0 AS (SELECT '' AS grp, i, h, count(*) OVER () AS c FROM t),
+{_tree_sql('t', top)},
+f0 AS (SELECT l.doc_id, l.leaf, l.found AS f, t.h AS subroot, {sides} FROM l JOIN t ON t.grp = l.grp {" ".join(f"JOIN {r} ON {on}" for r, _, on in steps)}),
+{folds}
+SELECT doc_id, leaf, subroot, root.h AS root, sha256({" || ".join(f"a{n} || b{n}" for n in range(1, len(steps) + 1))}) AS proof_sha256, f AS folded_root, f = root.h AS verified FROM f{len(steps)}, t_n{top} root"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Tokenizers, trained classifiers and similarity classes at scale are no SQL; tests
     hold those queries against brute force."""
-    return {"op2_quality_rules": OP2_SQL, "op5_warc_archive": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_url_filter": _op9_sql()}
+    return {"op2_quality_rules": OP2_SQL, "op5_warc_archive": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_url_filter": _op9_sql(), "op11_merkle_manifest": _op11_sql()}

@@ -16,11 +16,11 @@ ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextlib.contextmanager
-def bounded_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of at most BATCH rows for the plans that run inside, as rows are whole
+def bounded_batches(spark: SparkSession, rows: int = BATCH) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the plans that run inside, as rows are whole
     texts here. The session's setting is as before afterwards."""
     before = spark.conf.get(ROWS)
-    spark.conf.set(ROWS, min(BATCH, int(before)) if int(before) > 0 else BATCH)
+    spark.conf.set(ROWS, min(rows, int(before)) if int(before) > 0 else rows)
     try:
         yield
     finally:
