@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.urls import LOWER, UPPER
-from scriptorium.llm import decontaminate, merkle, ngram_join, packing, quality_classifier, quality_rules, token_counts, token_files, toxicity, url_filter, warc
+from scriptorium.llm import decontaminate, merkle, ngram_join, packing, quality_classifier, quality_rules, repair, token_counts, token_files, toxicity, url_filter, warc
 from scriptorium.llm.tokens import PIECES, TokenizerFile
 from scriptorium.plans.store import fresh_path, scoped
 from scriptorium.sources.tables import table
@@ -80,8 +80,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"), found).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_log(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: scoped(f) for f in (op1_token_files, op2_quality_rules, op3_toxicity_nnpu, op4_quality_ftrl, op5_warc_archive, op6_best_fit_packing, op7_ngram_jaccard_join, op8_decontamination, op9_url_filter, op10_token_counts, op11_merkle_manifest)}
+    return {f.__name__: scoped(f) for f in (op1_token_files, op2_quality_rules, op3_toxicity_nnpu, op4_quality_ftrl, op5_warc_archive, op6_best_fit_packing, op7_ngram_jaccard_join, op8_decontamination, op9_url_filter, op10_token_counts, op11_merkle_manifest, op13_conversation_repair)}
 
 
 _WS = r"[\x20\x09-\x0D]+"
@@ -199,7 +203,38 @@ f0 AS (SELECT l.doc_id, l.leaf, l.found AS f, t.h AS subroot, {sides} FROM l JOI
 SELECT doc_id, leaf, subroot, root.h AS root, sha256({" || ".join(f"a{n} || b{n}" for n in range(1, len(steps) + 1))}) AS proof_sha256, f AS folded_root, f = root.h AS verified FROM f{len(steps)}, t_n{top} root"""
 
 
+def _op13_sql() -> str:
+    """The cheapest way to each of four states (nothing, s, u, a written last) as nine digits of
+    cost and the edits, ``~`` where there is none, turn by turn in list_reduce."""
+    add = lambda e, w, x: f"CASE WHEN {e} = '~' THEN '~' ELSE lpad(CAST(CAST({e}[1:9] AS BIGINT) + {w} AS VARCHAR), 9, '0') || {e}[10:] || '{x}' END"
+    own = "CASE WHEN x.fault = 't' THEN 5 ELSE 0 END"
+    stay = lambda e, initial: f"CASE WHEN x.fault IN ('b', 'd') THEN '~' ELSE least({add(e, f'{own} + 1', 'R')}, CASE WHEN x.initial = '{initial}' THEN {add(e, own, 'K')} ELSE '~' END) END"
+    only_s = f"CASE WHEN x.fault IN ('b', 'd') OR x.initial <> 's' THEN '~' ELSE {add('e[1]', own, 'K')} END"
+    inserted = f"[e[1], e[2], least(e[3], {', '.join(add(f'e[{q}]', 5, 'I') for q in (1, 2, 4))}), least(e[4], {add('e[3]', 5, 'I')}, {', '.join(add(f'e[{q}]', 10, 'II') for q in (1, 2))})]"
+    move = lambda c: c.replace("e[", "c[")
+    step = f"[{add('c[1]', 2, 'D')}, least({add('c[2]', 2, 'D')}, {move(only_s)}), least({add('c[3]', 2, 'D')}, {', '.join(stay(f'c[{q}]', 'u') for q in (1, 2, 4))}), least({add('c[4]', 2, 'D')}, {stay('c[3]', 'a')})]"
+    spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    key = "coalesce(CAST(conv_id AS VARCHAR), '-')"
+    return f"""
+WITH d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations),
+x AS (SELECT {key} AS ck, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM d WHERE k <> 0),
+o AS (SELECT ck, turn, role, text, role[1:1] AS initial, row_number() OVER (PARTITION BY ck ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM x),
+j AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY ck, role, text ORDER BY i) > 1 THEN 'd' WHEN right(rtrim(text, {spaces}), 1) IN ('.', '!', '?') THEN 'o' ELSE 't' END AS fault,
+  lag(initial) OVER (PARTITION BY ck ORDER BY i) || initial AS pair FROM o),
+g AS (SELECT ck, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+  count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, list({{'initial': initial, 'fault': fault}} ORDER BY i) AS held FROM j GROUP BY ck),
+w AS (SELECT * EXCLUDE held, list_reduce(held, lambda e, x: list_transform([{inserted}], lambda c: {step})[1], ['000000000', '~', '~', '~']) AS e FROM g),
+b AS (SELECT * EXCLUDE e, list_transform([{inserted}], lambda c: least(c[1], c[4]))[1] AS best FROM w),
+l AS (SELECT ck, unnest(range(1, len(best) - 8)) AS k, substr(best, CAST(9 + k AS BIGINT), 1) AS letter FROM b),
+n AS (SELECT *, count(*) FILTER (WHERE letter <> 'I') OVER (PARTITION BY ck ORDER BY k) AS i, count(*) FILTER (WHERE letter <> 'D') OVER (PARTITION BY ck ORDER BY k) AS place FROM l),
+p AS (SELECT n.ck, n.k, n.letter, n.place, CASE WHEN letter <> 'I' THEN j.role END AS role, CASE WHEN letter <> 'I' THEN j.text ELSE '' END AS text, max(CASE WHEN letter = 'K' AND n.place = 1 AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY n.ck) AS s FROM n LEFT JOIN j ON j.ck = n.ck AND j.i = n.i),
+r AS (SELECT ck, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k)) AS h FROM p WHERE letter <> 'D' GROUP BY ck)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(best[1:9] AS BIGINT), 0) AS cost, coalesce(best[10:], '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, {key} AS ck FROM conversations) a LEFT JOIN b USING (ck) LEFT JOIN r USING (ck)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Tokenizers, trained classifiers and similarity classes at scale are no SQL; tests
     hold those queries against brute force."""
-    return {"op2_quality_rules": OP2_SQL, "op5_warc_archive": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_url_filter": _op9_sql(), "op11_merkle_manifest": _op11_sql()}
+    return {"op2_quality_rules": OP2_SQL, "op5_warc_archive": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_url_filter": _op9_sql(), "op11_merkle_manifest": _op11_sql(), "op13_conversation_repair": _op13_sql()}
