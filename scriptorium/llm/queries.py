@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.urls import LOWER, UPPER
-from scriptorium.llm import decontaminate, merkle, ngram_join, packing, quality_classifier, quality_rules, repair, token_counts, token_files, toxicity, url_filter, warc
+from scriptorium.llm import decontaminate, merkle, ngram_join, packing, pii, quality_classifier, quality_rules, repair, token_counts, token_files, toxicity, url_filter, warc
 from scriptorium.llm.tokens import PIECES, TokenizerFile
 from scriptorium.plans.store import fresh_path, scoped
 from scriptorium.sources.tables import table
@@ -80,12 +80,20 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"), found).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] < pii.TOKEN)
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_log(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: scoped(f) for f in (op1_token_files, op2_quality_rules, op3_toxicity_nnpu, op4_quality_ftrl, op5_warc_archive, op6_best_fit_packing, op7_ngram_jaccard_join, op8_decontamination, op9_url_filter, op10_token_counts, op11_merkle_manifest, op13_conversation_repair)}
+    return {f.__name__: scoped(f) for f in (op1_token_files, op2_quality_rules, op3_toxicity_nnpu, op4_quality_ftrl, op5_warc_archive, op6_best_fit_packing, op7_ngram_jaccard_join, op8_decontamination, op9_url_filter, op10_token_counts, op11_merkle_manifest, op12_contextual_pii, op13_conversation_repair)}
 
 
 _WS = r"[\x20\x09-\x0D]+"
@@ -203,6 +211,48 @@ f0 AS (SELECT l.doc_id, l.leaf, l.found AS f, t.h AS subroot, {sides} FROM l JOI
 SELECT doc_id, leaf, subroot, root.h AS root, sha256({" || ".join(f"a{n} || b{n}" for n in range(1, len(steps) + 1))}) AS proof_sha256, f AS folded_root, f = root.h AS verified FROM f{len(steps)}, t_n{top} root"""
 
 
+def _op12_sql() -> str:
+    """The base patterns as the contract has them; tokens as runs that are filtered afterwards."""
+    sources = {pii.EMAIL: ("t", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), pii.IP: ("t", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), pii.CARD: ("t", r"[0-9](?:[\x20-]?[0-9])+"), pii.PHONE: ("t", r"\+[0-9][\x20().0-9-]+[0-9]"), pii.TOKEN: ("j", f"[{pii.TOKENS}]+")}
+    found = " UNION ALL ".join(f"SELECT r, {k} AS kind, regexp_extract_all({s}, '{p}') AS hits, string_split_regex({s}, '{p}') AS gaps FROM m" for k, (s, p) in sources.items())
+    pair = rf"'([0-9])[\x20-]([0-9])', '\1{pii.JOINT}\2', 'g'"
+    digits = "regexp_replace(hit, '[^0-9]', '', 'g')"
+    luhn = "list_sum(list_transform(range(length(dg)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(dg[length(dg) - i] AS INTEGER) WHEN CAST(dg[length(dg) - i] AS INTEGER) > 4 THEN 2 * CAST(dg[length(dg) - i] AS INTEGER) - 9 ELSE 2 * CAST(dg[length(dg) - i] AS INTEGER) END)) % 10 = 0"
+    words = lambda c: f"regexp_extract_all(translate({c}, {_ABC}), '{pii.WORD}')"
+    letter = lambda c: f"regexp_matches({c}, '\\p{{L}}')"
+    last = lambda k: f"array_to_string(b[len(b) - {k - 1}:], ' ')"
+    rounds, worth = [], "NULL"
+    for n in range(pii.ROUNDS):
+        if n:
+            rounds.append(f"t{n} AS (SELECT value, sum(coalesce(worth, 0)) // (2 * count(*)) AS own FROM live LEFT JOIN w{n - 1} USING (context) WHERE NOT seed GROUP BY value)")
+        own = f"(SELECT live.*, own FROM live LEFT JOIN t{n} USING (value))" if n else "(SELECT *, NULL AS own FROM live)"
+        rounds.append(f"w{n} AS (SELECT context, total // (n + 1) AS worth FROM (SELECT context, n, sum(CASE WHEN seed THEN {pii.ONE} ELSE coalesce(own, 0) END) AS total FROM {own} h GROUP BY context, n) x WHERE total >= {pii.SUPPORT * pii.ONE})")
+        worth = f"w{n}"
+    names = "[" + ", ".join(f"'{k}'" for k in pii.KINDS) + "]"
+    listed = lambda only: f"coalesce(string_agg({names}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e) FILTER (WHERE {only}), '')"
+    return f"""
+WITH m AS MATERIALIZED (SELECT r, doc_id, t, regexp_replace(regexp_replace(translate(t, '{pii.JOINT}', '{pii.OTHER}'), {pair}), {pair}) AS j FROM (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents) d),
+x AS ({found}),
+u AS (SELECT r, kind, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, unnest(gaps[2:]) AS nxt, generate_subscripts(hits, 1) AS k FROM x WHERE len(hits) > 0),
+p AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY r, kind ORDER BY k) AS BIGINT) AS e, {digits} AS dg, translate(hit, '{pii.JOINT}', ' ') AS plain FROM u),
+q AS (SELECT *, ltrim(plain, '{pii.MARKS}') AS bare, rtrim(ltrim(plain, '{pii.MARKS}'), '{pii.MARKS}') AS inside FROM p),
+g AS (SELECT r, kind, CASE WHEN kind = 4 THEN e - length(bare) ELSE e - length(hit) END AS s, CASE WHEN kind = 4 THEN e - (length(bare) - length(inside)) ELSE e END AS e, translate(CASE WHEN kind = 4 THEN inside ELSE plain END, {_ABC}) AS value,
+  CASE WHEN kind = 4 THEN right(gap, {pii.BEFORE}) || left(hit, length(hit) - length(bare)) ELSE right(gap, {pii.BEFORE}) END AS lft, CASE WHEN kind = 4 THEN right(hit, length(bare) - length(inside)) || left(nxt, {pii.AFTER}) ELSE left(nxt, {pii.AFTER}) END AS rgt
+  FROM q WHERE CASE kind WHEN 1 THEN regexp_full_match(hit, '{pii.PART}(?:\\.{pii.PART}){{3}}') WHEN 2 THEN length(dg) BETWEEN 14 AND 19 AND {luhn} WHEN 3 THEN length(dg) BETWEEN 10 AND 15
+    WHEN 4 THEN length(hit) >= 5 AND length(inside) >= 4 AND (contains(hit, '@') OR length(dg) >= 2) ELSE true END),
+f AS (SELECT *, coalesce(max(e) FILTER (WHERE kind < 4) OVER (PARTITION BY r ORDER BY s, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached,
+  min(s) FILTER (WHERE kind < 4) OVER (PARTITION BY r ORDER BY s, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ahead FROM g),
+h AS MATERIALIZED (SELECT r, kind, s, e, value, {words('lft')} AS b, {words('rgt')} AS a FROM f WHERE kind < 4 OR (reached <= s AND (ahead IS NULL OR ahead >= e))),
+c AS MATERIALIZED (SELECT r, kind, s, e, value, unnest(list_filter([CASE WHEN len(b) >= 2 AND {letter(last(2))} THEN {last(2)} || ' _' END, CASE WHEN len(b) >= 3 AND {letter(last(3))} THEN {last(3)} || ' _' END, CASE WHEN len(b) >= 1 AND len(a) >= 1 AND {letter('b[len(b)]')} THEN b[len(b)] || ' _ ' || a[1] END], lambda y: y IS NOT NULL)) AS context FROM h),
+edge AS (SELECT context, value, bool_or(kind < 4) AS seed FROM c GROUP BY context, value),
+live AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY context) AS n FROM edge) y WHERE n >= {pii.SUPPORT}),
+{", ".join(rounds)},
+fresh AS (SELECT DISTINCT r, kind, s, e FROM c WHERE kind = 4 AND context IN (SELECT context FROM {worth} WHERE worth >= {pii.ENOUGH})),
+every AS (SELECT r, kind, s, e FROM h WHERE kind < 4 UNION ALL SELECT * FROM fresh),
+told AS (SELECT r, {", ".join(f"count(*) FILTER (WHERE kind = {k}) AS n_{name}" for k, name in enumerate(pii.KINDS[:4]))}, {listed('kind < 4')} AS base, {listed('true')} AS spans FROM every GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name in pii.KINDS[:4])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM m LEFT JOIN told USING (r)"""
+
+
 def _op13_sql() -> str:
     """The cheapest way to each of four states (nothing, s, u, a written last) as nine digits of
     cost and the edits, ``~`` where there is none, turn by turn in list_reduce."""
@@ -237,4 +287,4 @@ FROM (SELECT DISTINCT conv_id, {key} AS ck FROM conversations) a LEFT JOIN b USI
 def oracle_sql() -> dict[str, str]:
     """Tokenizers, trained classifiers and similarity classes at scale are no SQL; tests
     hold those queries against brute force."""
-    return {"op2_quality_rules": OP2_SQL, "op5_warc_archive": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_url_filter": _op9_sql(), "op11_merkle_manifest": _op11_sql(), "op13_conversation_repair": _op13_sql()}
+    return {"op2_quality_rules": OP2_SQL, "op5_warc_archive": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_url_filter": _op9_sql(), "op11_merkle_manifest": _op11_sql(), "op12_contextual_pii": _op12_sql(), "op13_conversation_repair": _op13_sql()}
