@@ -10,4 +10,4 @@ sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.
 def spark():
     from scriptorium.session import session
 
-    return session("local[8]", 8, "tests", **{"spark.driver.memory": "6g"})
+    return session(f"local[{os.environ.get('TEST_CPUS', '8')}]", 8, "tests", **{"spark.driver.memory": "6g"})

@@ -35,10 +35,14 @@ def test_components_against_union_find(spark):
             parent[max(a, b)] = min(a, b)
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {x: find(x) for x in list(parent)}
+    assert got == {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), small=1000).collect()}
+    names = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in edges if a is not None and b is not None], "src string, dst string")
+    assert sorted(connected_components(names).collect()) == sorted(connected_components(names, small=1000).collect())
 
 
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src string, dst string")).count() == 0
+    assert connected_components(spark.createDataFrame([], "src string, dst string"), small=9).count() == 0
 
 
 def test_bm25_scores_are_positive_and_scope_comes_first(spark):
