@@ -42,6 +42,8 @@ LEVELS = 4
 BLOCK, SHINGLES = 1024, 2_000_000
 #: Candidate records up to this number are broadcast to fetch their texts (40 bytes each).
 SMALL = 100_000
+#: Links up to this number are united in one task (100 MB), more of them by rounds.
+LINKS = 500_000
 
 _SEEDS = mix(np.arange(1, PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -257,7 +259,7 @@ def verified_links(docs: DataFrame, records: DataFrame, candidates: DataFrame, t
     record each was joined to. A component of more than BLOCK records or SHINGLES shingles
     is held as differences from the set of its least record, and compared block by block,
     each pair of blocks a group of its own."""
-    components = materialise(connected_components(candidates), "candidates")
+    components = materialise(connected_components(candidates, small=LINKS), "candidates")
     held = components.join(records.select(F.col("rec").alias("node"), "content", "n"), "node")
     sizes = held.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
     large = (F.col("m") > BLOCK) | (F.col("shingles") > SHINGLES)
@@ -317,7 +319,7 @@ def _join_classes(docs: DataFrame, threshold: float, size: int, target: float) -
     records = rows.where("copy is not null").groupBy("copy").agg(F.min("row_id").alias("rec"), F.min("content").alias("content"), F.first("n").alias("n"), F.first("sample").alias("sample"))
     records = materialise(records, "records")
     found = verified_links(docs, records, candidate_links(records.select("rec", "sample"), threshold, target), threshold, size)
-    roots = materialise(connected_components(found.select(F.col("rec").alias("src"), F.col("root").alias("dst"))), "link-classes")
+    roots = materialise(connected_components(found.select(F.col("rec").alias("src"), F.col("root").alias("dst")), small=LINKS), "link-classes")
     linked = materialise(found.groupBy("rec").agg(F.sum("n").alias("n_links")).join(roots, F.col("rec") == F.col("node"), "left").select("rec", "n_links", F.coalesce("component", "rec").alias("root")), "linked")
     told = records.select("copy", "rec").join(linked, "rec", "left").select("copy", F.coalesce("root", "rec").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     told = materialise(told, "record-classes")
