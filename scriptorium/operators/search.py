@@ -113,16 +113,18 @@ def keywords(index: Index, queries: DataFrame, n: int, least: int = 2) -> DataFr
     """(q, w): for each query document (``queries``: q, its doc_id) its ``n`` rarest words that
     stand in at least ``least`` documents, ties by w."""
     terms = index.terms.where(F.col("df") >= least).select("w", "df")
-    own = index.postings.join(F.broadcast(queries.select(F.col("q").alias("doc_id"), "q")), "doc_id").select("q", "w")
+    asked = queries.select(F.col("q").alias("doc_id"), "q")
+    own = index.postings.join(broadcast_if(asked, asked.count(), TERMS), "doc_id").select("q", "w")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("df", "w"))
     return own.join(terms, "w").distinct().withColumn("k", rank).where(F.col("k") <= n).select("q", "w", "df")
 
 
-def bm25_many(index: Index, queries: DataFrame, k: int) -> DataFrame:
+def bm25_many(index: Index, queries: DataFrame, k: int, scope: str | None = None) -> DataFrame:
     """(q, doc_id, rank): the ``k`` best documents of each query (``queries``: q, w, df), ties by
     doc_id. Weights are summed in whole millionths, so that ranks do not hang on the order
-    of addition. Queries are joined to the postings on the word."""
-    hits = index.postings.join(queries, "w").crossJoin(F.broadcast(index.stats))
+    of addition. Queries are joined to the postings on the word; with ``scope``, a scope
+    column of the index that ``queries`` has too, on that as well."""
+    hits = index.postings.join(queries, ["w", scope] if scope else "w").crossJoin(F.broadcast(index.stats))
     weight = F.floor(_weight(F.col("tf").cast("double"), F.col("df").cast("double")) * 1000000)
     scored = hits.groupBy("q", "row").agg(F.first("doc_id").alias("doc_id"), F.sum(weight).alias("score"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc_id"))

@@ -6,17 +6,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.operators.blocks import hours
+from scriptorium.operators.blocks import hours, ranged, with_carried
+from scriptorium.plans.store import materialise, scoped
 
 MONEY = "decimal(18,2)"
 
 
+@scoped
 def segment_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """(user_id, start, n, total): gap sessions per speaker. Events exactly a gap apart are
-    one session."""
-    rows = events.select("user_id", "ts", F.col("value").cast(MONEY).alias("x"))
-    grouped = rows.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"), F.sum("x").cast("decimal(38,2)").alias("total"))
-    return grouped.select("user_id", F.col("s.start").cast("timestamp_ntz").alias("start"), "n", "total")
+    one session; events without a time are in none.
+
+    Events lie in ranges of (user, time) and sessions are told within each; where the first
+    of a range starts within a gap of the last of the range before, they are one. That is
+    decided over ranges, a row each, so no task holds all of a user."""
+    limit = F.expr(f"interval {gap}")
+    rows = events.where("ts is not null").select("user_id", "ts", F.col("value").cast(MONEY).alias("x"), F.monotonically_increasing_id().alias("row"))
+    rows = ranged(rows, ("user_id",), ("ts", "row"), "sessions")
+    order = Window.partitionBy("user_id", "block").orderBy("ts", "row")
+    opens = F.coalesce(F.col("ts") - F.lag("ts").over(order) > limit, F.lit(True)).cast("int")
+    told = rows.withColumn("opens", opens).withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = told.groupBy("user_id", "block", "part").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n"), F.sum("x").alias("x"))
+    parts = materialise(parts, "session-parts")
+    ends = parts.groupBy("user_id", "block").agg(F.min("start").alias("first"), F.max("end").alias("last"), F.max("part").alias("parts"))
+    of_user = Window.partitionBy("user_id").orderBy("block")
+    joins = F.coalesce(F.col("first") - F.lag("last").over(of_user) <= limit, F.lit(False))
+    # The range in which the session began that is open at a range's end.
+    ends = ends.withColumn("joins", joins).withColumn("began", F.last(F.when(~F.col("joins") | (F.col("parts") > 1), F.col("block")), ignorenulls=True).over(of_user.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("from", F.when(F.col("joins"), F.lag("began").over(of_user)))
+    # A session that joins goes by the last part of the range it began in.
+    heads = ends.select("user_id", "block", "from", "parts")
+    whole = with_carried(parts, heads, ("user_id",))
+    mine = F.col("part") == 1
+    own = F.when(mine & F.col("from").isNotNull(), F.col("from")).otherwise(F.col("block"))
+    open_end = (F.col("part") == F.col("parts")) | (mine & F.col("from").isNotNull())
+    number = F.when(open_end, F.lit(0)).otherwise(F.col("part"))
+    done = whole.groupBy("user_id", own.alias("of"), number.alias("number")).agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.sum("x").cast("decimal(38,2)").alias("total"))
+    return done.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "total")
 
 
 def segment_tumbling(events: DataFrame, width: str = "1 day") -> DataFrame:

@@ -20,18 +20,28 @@ def usage_cube(events: DataFrame) -> DataFrame:
     return fine.cube("event_type", "user_id", "day").agg(F.sum("n").cast("long").alias("n"), F.sum("cost").cast(TOTAL).alias("cost"), F.grouping_id().cast("long").alias("gid"))
 
 
+@scoped
 def usage_rolling(events: DataFrame) -> DataFrame:
     """(event_id, s): the user's spend over the trailing day, the event's own time included.
 
-    A trailing day lies within the event's date and the one before, so each event goes to
-    its own date's block, and as history to the next one's: a window holds two days of a
-    user. Events without a time see each other."""
-    day = F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date"))
-    rows = events.select("event_id", "user_id", "ts", F.col("value").cast(MONEY).alias("x"), day.alias("day"))
-    copies = F.when(F.col("day").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-    dealt = rows.withColumn("later", F.explode(copies)).withColumn("block", F.col("day") + F.col("later"))
-    summed = dealt.selectExpr("event_id", "later", "cast(sum(x) over (partition by user_id, block order by ts range between interval '1' day preceding and current row) as decimal(38,2)) as s")
-    return summed.where("later = 0").select("event_id", "s")
+    It is the sum up to the event's time less the sum before a day earlier: an event asks for
+    both by a row of its own, sorted in among the events. Sums run on in ranges of (user,
+    time), each from the sum of those before it, so work grows with the rows alone and a
+    user's day may be of any size. Events without a time see each other; null if nothing in
+    the day has a value."""
+    x, day = F.col("value").cast(MONEY), F.expr("interval 1 day")
+    rows = events.select("event_id", "user_id", "ts", x.alias("x"), F.monotonically_increasing_id().alias("row"))
+    # 0 asks for what is before a time, 1 is an event, 2 asks for what is up to a time.
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), at.alias("at"), amount.alias("x"), n.alias("n")) for kind, at, amount, n in ((0, F.col("ts") - day, F.lit(None).cast(MONEY), F.lit(0)), (1, F.col("ts"), F.col("x"), F.col("x").isNotNull().cast("int")), (2, F.col("ts"), F.lit(None).cast(MONEY), F.lit(0)))])
+    asked = ranged(rows.select("event_id", "user_id", "row", F.explode(kinds).alias("k")).select("event_id", "user_id", "row", "k.*"), ("user_id",), ("at", "kind", "row"), "rolling")
+    totals = asked.groupBy("user_id", "block").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    carried = totals.select("user_id", "block", before(("user_id",), "x").cast(TOTAL).alias("x_before"), before(("user_id",), "n").alias("n_before"))
+    order = Window.partitionBy("user_id", "block").orderBy("at", "kind", "row").rowsBetween(Window.unboundedPreceding, 0)
+    run = lambda c: F.coalesce(F.sum(c).over(order), F.lit(0)) + F.coalesce(f"{c}_before", F.lit(0))
+    told = with_carried(asked, carried, ("user_id",)).select("row", "event_id", "kind", run("x").cast(TOTAL).alias("x"), run("n").alias("n")).where("kind <> 1")
+    up_to, less = F.max(F.when(F.col("kind") == 2, F.struct("x", "n"))), F.max(F.when(F.col("kind") == 0, F.struct("x", "n")))
+    both = told.groupBy("row").agg(F.max("event_id").alias("event_id"), up_to.alias("a"), less.alias("b"))
+    return both.select("event_id", F.when(F.col("a.n") > F.col("b.n"), F.col("a.x") - F.col("b.x")).cast(TOTAL).alias("s"))
 
 
 @scoped

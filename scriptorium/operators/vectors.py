@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.plans.store import broadcast_if
+from scriptorium.plans.store import broadcast_if, counted, hashed_sample, materialise
 
 #: Vectors of a block (256 KB at 64 dimensions), and queries that are broadcast at most.
 BLOCK, QUERIES = 1024, 50_000
@@ -176,7 +176,7 @@ def build_ivf(vectors: DataFrame, path: str, lists: int | None = None, sample: i
     lists queries look through is fitted to the sample too, for a recall of ``target`` of
     the ``k`` nearest there: few where vectors cluster, many where they don't. Lists lie in ranges of (list, id): a list with a third of all rows fills many blocks."""
     spark, rows = vectors.sparkSession, _plain(vectors)
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()  # bounded by `sample`
+    drawn = hashed_sample(rows, "vec_id", sample)
     lists = min(lists or int(np.sqrt(rows.count())) or 1, 4096, max(1, len(drawn)))
     held = np.array([r["embedding"] for r in drawn], np.float64)
     centres = _centres(held, lists) if drawn else np.zeros((0, 0))
@@ -197,3 +197,111 @@ def ivf_topk(index: Ivf, queries: DataFrame, k: int = 10, probes: int | None = N
     asked = asked.select("list", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
     pairs = index.blocks.join(broadcast_if(asked, queries.count() * probes, QUERIES), "list")
     return _ranked(pairs.select("ids", "matrix", "q_ids", "q_matrix").mapInPandas(_nearest(k, None), "a long, b long, sim double"), k)
+
+
+def _scoped_rows(vectors: DataFrame, scope: str) -> DataFrame:
+    return vectors.where(f"vec_id is not null and embedding is not null and {scope} is not null").select(F.col(scope).cast("string").alias("scope"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+
+
+KEYED = PACKED.replace("list int", "list string")
+
+
+def _keyed_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Blocks of rows (list, vec_id, embedding) that lie in ranges of (list, id): a list with a
+    third of all rows fills many blocks, of as many tasks."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, "list", "vec_id").sortWithinPartitions("list", "vec_id").mapInPandas(_packer(block), KEYED)
+
+
+def knn_scoped(vectors: DataFrame, queries: DataFrame, scope: str, k: int = 10, block: int = BLOCK) -> DataFrame:
+    """(a, b, rank, sim): :func:`knn_topk` among the vectors of the query's own ``scope``, a
+    column of both. Exact; a vector or query without a scope is in none."""
+    own = materialise(_keyed_blocks(_scoped_rows(vectors, scope).withColumnRenamed("scope", "list"), block), "scope-blocks")
+    asked = materialise(_keyed_blocks(_scoped_rows(queries, scope).withColumnRenamed("scope", "list"), block), "scope-queries")
+    asked = counted(asked.select("list", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")), QUERIES // block + 1)
+    pairs = own.join(asked, "list").select("ids", "matrix", "q_ids", "q_matrix")
+    return _ranked(pairs.mapInPandas(_nearest(k, None), "a long, b long, sim double"), k)
+
+
+@dataclass(frozen=True)
+class ScopedIvf:
+    """An inverted-file index of which each (scope, list) is a cell of its own. ``cells`` has
+    what each holds, ``widths`` the lists that a search must look through, by how many
+    of the sample's nearest vectors it must reach: (reach, lists), ascending."""
+
+    spark: SparkSession
+    path: str
+    centres: np.ndarray
+    widths: list[tuple[int, int]]
+    sample: int
+
+    @property
+    def blocks(self) -> DataFrame:
+        return self.spark.read.schema(KEYED).parquet(f"{self.path}/blocks")
+
+    @property
+    def cells(self) -> DataFrame:
+        return self.spark.read.schema("scope string, list int, n long").parquet(f"{self.path}/cells")
+
+
+def _cell(scope: str, number: str):
+    """Cells of a scope are neighbours in the order of names, so its files are told by statistics."""
+    return F.concat(F.col(scope), F.lit("|"), F.lpad(F.col(number).cast("string"), 5, "0"))
+
+
+def build_scoped_ivf(vectors: DataFrame, path: str, scope: str, lists: int | None = None, sample: int = 20_000, block: int = BLOCK, k: int = 10, target: float = 0.97) -> ScopedIvf:
+    """Write every vector that has a ``scope`` to the cell of its scope and nearest centre.
+
+    Centres are fitted as in :func:`build_ivf`. A scope that holds a hundredth of all vectors
+    has its k-th neighbour where the whole has its hundred times k-th: so the sample is also
+    asked how many lists hold its nearest 2k, 4k, ... vectors."""
+    spark, rows = vectors.sparkSession, _scoped_rows(vectors, scope)
+    drawn = hashed_sample(rows.select("vec_id", "embedding"), "vec_id", sample)
+    lists = min(lists or int(np.sqrt(rows.count())) or 1, 4096, max(1, len(drawn)))
+    held = np.array([r["embedding"] for r in drawn], np.float64)
+    centres = _centres(held, lists) if drawn else np.zeros((0, 0))
+    reaches = [k * 2**n for n in range(32) if n == 0 or k * 2 ** (n - 1) < len(drawn)]
+    widths = [(r, _probes(held, centres, r, target)) for r in reaches] if drawn else [(k, 1)]
+    listed = materialise(rows.select("scope", _lists_of(centres, 1)("embedding")[0].alias("number"), "vec_id", "embedding"), "ivf-lists") if drawn else rows.select("scope", F.lit(0).alias("number"), "vec_id", "embedding")
+    listed.groupBy("scope", F.col("number").alias("list")).agg(F.count("*").alias("n")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "scope", "list").write.parquet(f"{path}/cells")
+    _keyed_blocks(listed.select(_cell("scope", "number").alias("list"), "vec_id", "embedding"), block).write.parquet(f"{path}/blocks")
+    return ScopedIvf(spark, path, centres, widths, len(drawn))
+
+
+def _probed(centres: np.ndarray, widths: list[tuple[int, int]], sample: int, k: int):
+    """Which lists of its scope a query looks through, nearest first: all those among the lists
+    that the scope's size asks for, and on until they hold k vectors besides the query."""
+    reach = np.array([r for r, _ in widths])
+
+    @F.pandas_udf("array<int>")
+    def probed(vectors: pd.Series, numbers: pd.Series, counts: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        sims = np.stack(vectors.to_numpy()).astype(np.float64) @ centres.T
+        out = []
+        for row, own, n in zip(sims, numbers, counts):
+            own, n = np.asarray(own), np.asarray(n)
+            place = np.argsort(np.argsort(-row, kind="stable"), kind="stable")[own]
+            order = np.argsort(place, kind="stable")
+            wanted = widths[min(np.searchsorted(reach, k * sample / n.sum()), len(widths) - 1)][1]
+            enough = np.cumsum(n[order]) - n[order] >= k + 1  # the lists before hold k and the query
+            out.append(own[order][(place[order] < wanted) | ~enough].astype(np.int32))
+        return pd.Series(out)
+
+    return probed
+
+
+def ivf_topk_scoped(index: ScopedIvf, queries: DataFrame, scope: str, k: int = 10, block: int = BLOCK) -> DataFrame:
+    """(a, b, rank, sim): approximate :func:`knn_scoped`. A query with k neighbours in its scope
+    gets k: probing widens until they are certain. Only cells of the queries' scopes are
+    read and compared."""
+    if not len(index.centres):
+        return index.spark.createDataFrame([], "a long, b long, rank long, sim double")
+    asked = _scoped_rows(queries, scope)
+    cells = index.cells.groupBy("scope").agg(F.collect_list("list").alias("numbers"), F.collect_list("n").alias("counts"))  # 4,096 at most
+    n_scopes = index.cells.select("scope").distinct().count()
+    told = asked.join(broadcast_if(cells, n_scopes, 2_000), "scope").select("scope", "vec_id", "embedding", F.explode(_probed(index.centres, index.widths, index.sample, k)("embedding", "numbers", "counts")).alias("number"))
+    blocks = materialise(_keyed_blocks(told.select(_cell("scope", "number").alias("list"), "vec_id", "embedding"), block), "scoped-queries")
+    blocks = counted(blocks.select("list", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")), QUERIES // block + 1)
+    pairs = index.blocks.join(blocks, "list").select("ids", "matrix", "q_ids", "q_matrix")
+    return _ranked(pairs.mapInPandas(_nearest(k, None), "a long, b long, sim double"), k)

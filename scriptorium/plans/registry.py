@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import udfs
 from scriptorium.functions.urls import ABSOLUTE, LOWER, UPPER, URL
-from scriptorium.operators import context, dedup, hierarchy, links, search, text, transcripts, usage, vectors
+from scriptorium.operators import context, dedup, hierarchy, intervals, links, phrases, search, text, transcripts, usage, vectors
 from scriptorium.plans import relational
 from scriptorium.plans.store import fingerprint, fresh_path, scoped
 from scriptorium.sources.tables import table
@@ -77,6 +77,58 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank_fusion([search.bm25_many(index, asked, 20), near], query=("q",))
 
 
+def _knn_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return vectors.knn_scoped(v, _queries_of(v), "label", 10).select("a", "b", "rank")
+
+
+def _knn_ivf_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return vectors.ivf_topk_scoped(vectors.build_scoped_ivf(v, fresh_path(spark, "ivf"), "label"), _queries_of(v), "label", 10).select("a", "b", "rank")
+
+
+def _hybrid_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``hybrid_rrf``, with both rankings inside the language of the query's document."""
+    v, index = table(spark, sf_dir, "embeddings"), index_of(spark, sf_dir)
+    v = v.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "lang"), "vec_id")
+    queries = _queries_of(v)
+    asked = search.keywords(index, queries.select(F.col("vec_id").alias("q")), KEYWORDS).join(queries.select(F.col("vec_id").alias("q"), "lang"), "q")
+    near = vectors.knn_scoped(v, queries, "lang", 20).select(F.col("a").alias("q"), F.col("b").alias("doc_id"), "rank")
+    return search.rank_fusion([search.bm25_many(index, asked, 20, "lang"), near], query=("q",))
+
+
+_positions: dict[tuple[str, str], phrases.Positions] = {}
+
+
+def positions_of(spark: SparkSession, sf_dir: str) -> phrases.Positions:
+    """The positional postings of a folder's documents, kept as :func:`index_of` keeps its index."""
+    key = (spark.sparkContext.applicationId, fingerprint(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _positions:
+        _positions[key] = phrases.build_positions(table(spark, sf_dir, "documents"), fresh_path(spark, "positions"), ("lang",))
+    return _positions[key]
+
+
+PHRASE, CLOSE, WITHIN = ["released", "under", "the", "mit", "license"], ["the", "license", "under"], 6
+
+
+def _purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event that any user had in the minutes (as many as its value) before a purchase."""
+    events = table(spark, sf_dir, "events")
+    minutes = F.floor(F.greatest(F.col("value"), F.lit(0.0))).cast("long")
+    spans = events.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), (F.col("ts") - F.make_dt_interval(mins=minutes.cast("int"))).alias("from"), "ts")
+    return intervals.interval_join(spans, events.select("event_id", "ts"), ("from", "ts"), ("ts", "ts")).select("left.purchase_id", "right.event_id")
+
+
+def _open_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a customer's items that were under way at once: between order and shipment,
+    whichever came first, of different orders."""
+    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    spans = items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).select("o_custkey", "l_orderkey", F.least("o_orderdate", "l_shipdate").alias("from"), F.greatest("o_orderdate", "l_shipdate").alias("to"))
+    late = spans.where(F.datediff("to", "from") <= 120)
+    pairs = intervals.interval_join(late, late, ("from", "to"), ("from", "to"), ("o_custkey",)).where("left.l_orderkey < right.l_orderkey")
+    return pairs.groupBy(F.col("left.o_custkey").alias("o_custkey")).agg(F.count("*").alias("n"))
+
+
 def _link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.link_edges(table(spark, sf_dir, "pages"))
 
@@ -148,7 +200,20 @@ asked AS (SELECT q, w, df FROM (SELECT v.vec_id AS q, tf.w AS w, df.df AS df, ro
 sc AS (SELECT q, tf.doc_id AS doc_id, sum(CAST(floor(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) * 1000000) AS BIGINT)) AS score FROM asked JOIN tf ON tf.w = asked.w JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY q, tf.doc_id),
 ranked AS (SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM sc)
 SELECT q, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT q, doc_id, rank FROM ranked WHERE rank <= 20 UNION ALL SELECT a, b, rank FROM ({_NEAR_SQL % ('q.vec_id % 20 = 0', 20)}) n) u GROUP BY q, doc_id"""
+_SCOPED_SQL = _HYBRID_SQL.replace("asked AS (SELECT q, w, df FROM", "lg AS (SELECT doc_id, lang FROM documents),\nasked AS (SELECT q, w, df, lang FROM lg JOIN").replace(f"WHERE k <= {KEYWORDS})", f"ON lg.doc_id = q WHERE k <= {KEYWORDS})", 1).replace("JOIN tf ON tf.w = asked.w JOIN dl", "JOIN tf ON tf.w = asked.w JOIN lg ON lg.doc_id = tf.doc_id AND lg.lang = asked.lang JOIN dl", 1).replace(_NEAR_SQL % ("q.vec_id % 20 = 0", 20), _NEAR_SQL.replace("JOIN embeddings v ON", "JOIN lg lq ON lq.doc_id = q.vec_id JOIN lg lv ON lv.lang = lq.lang JOIN embeddings v ON v.vec_id = lv.doc_id AND") % ("q.vec_id % 20 = 0", 20))
 _ABC = f"'{UPPER}', '{LOWER}'"
+_WORDS_SQL = r"SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS place FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM documents) d"
+
+
+def _phrase_sql(words: list[str]) -> str:
+    joins = " ".join(f"JOIN t t{i} ON t{i}.doc_id = t0.doc_id AND t{i}.place = t0.place + {i} AND t{i}.w = '{w}'" for i, w in enumerate(words) if i)
+    return f"WITH t AS ({_WORDS_SQL}) SELECT t0.doc_id AS doc_id, count(*) AS n, min(t0.place) AS first FROM t t0 {joins} WHERE t0.w = '{words[0]}' GROUP BY t0.doc_id"
+
+
+def _near_sql(words: list[str], within: int) -> str:
+    lasts = ", ".join(f"last_value(CASE WHEN w = '{w}' THEN place END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS l{i}" for i, w in enumerate(words))
+    names = [f"l{i}" for i in range(len(words))]
+    return f"WITH t AS ({_WORDS_SQL}), s AS (SELECT doc_id, place, {lasts} FROM t WHERE w IN ({', '.join(repr(w) for w in words)})) SELECT doc_id, min(place - least({', '.join(names)}) + 1) AS span FROM s WHERE {' AND '.join(f'{n} IS NOT NULL' for n in names)} AND place - least({', '.join(names)}) + 1 <= {within} GROUP BY doc_id"
 
 
 def _name_sql(url: str) -> str:
@@ -193,6 +258,13 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "knn_topk": (_knn, _NEAR_SQL % ("q.vec_id % 20 = 0", 10)),
     "knn_ivf": (_knn_ivf, None),
     "hybrid_rrf": (_hybrid, _HYBRID_SQL),
+    "knn_scoped": (scoped(_knn_scoped), _NEAR_SQL % ("v.label = q.label AND q.vec_id % 20 = 0", 10)),
+    "knn_ivf_scoped": (scoped(_knn_ivf_scoped), None),
+    "hybrid_rrf_scoped": (scoped(_hybrid_scoped), _SCOPED_SQL),
+    "phrase_search": (lambda s, d: phrases.phrase(positions_of(s, d), PHRASE), _phrase_sql(PHRASE)),
+    "proximity_search": (lambda s, d: phrases.near(positions_of(s, d), CLOSE, WITHIN), _near_sql(CLOSE, WITHIN)),
+    "interval_join": (_purchases, "SELECT p.event_id AS purchase_id, e.event_id AS event_id FROM (SELECT event_id, ts, ts - to_minutes(CAST(floor(greatest(value, 0)) AS BIGINT)) AS f FROM events WHERE event_type = 'purchase') p JOIN events e ON e.ts BETWEEN p.f AND p.ts"),
+    "interval_join_keyed": (_open_items, "WITH s AS (SELECT o_custkey, l_orderkey, least(o_orderdate, l_shipdate) AS f, greatest(o_orderdate, l_shipdate) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey), x AS (SELECT * FROM s WHERE date_diff('day', f, t) <= 120) SELECT a.o_custkey AS o_custkey, count(*) AS n FROM x a JOIN x b ON a.o_custkey = b.o_custkey AND a.l_orderkey < b.l_orderkey AND a.f <= b.t AND b.f <= a.t GROUP BY a.o_custkey"),
     "segment_sessions": (_on(transcripts.segment_sessions, "events"), "SELECT user_id, min(ts) AS start, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total FROM (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 30 MINUTE, true) AS gap FROM events) a) b GROUP BY user_id, s"),
     "segment_tumbling": (_on(transcripts.segment_tumbling, "events"), "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS n FROM events GROUP BY 1"),
     "segment_sliding": (_on(transcripts.segment_sliding, "events"), "SELECT start, count(*) AS n FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) - to_hours(CAST(6 * unnest([0, 1, 2, 3]) AS BIGINT)) AS start FROM events) t GROUP BY start"),

@@ -125,3 +125,19 @@ def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
 def counted(df: DataFrame, limit: int) -> DataFrame:
     """:func:`broadcast_if` for a written table: its rows are counted here."""
     return broadcast_if(df, df.count(), limit)
+
+
+def hashed_sample(df: DataFrame, key: str, limit: int) -> list:
+    """Up to ``limit`` distinct rows of ``df``, those of the least hash of ``key``, in that order.
+    Rows under a cut-off that the row count gives are sent to the driver, some tenths more
+    than asked for, whatever the number of tasks; an ordered limit would send ``limit`` rows
+    of each task."""
+    ordered = df.withColumn("hash_of", F.xxhash64(key))
+    n = df.count()
+    share = min(1.0, (limit + 6 * limit**0.5 + 6) / max(1, n))
+    while True:
+        rows = (ordered if share >= 1 else ordered.where(F.col("hash_of") <= int(-(2**63) + share * 2**64))).distinct().collect()
+        if share >= 1 or len(rows) >= limit:
+            best = sorted(rows, key=lambda r: (r["hash_of"], r[key]))[:limit]
+            return best
+        share = min(1.0, 4 * share)  # rows that repeat a key are one

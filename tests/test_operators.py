@@ -1,6 +1,7 @@
 import datetime
 import os
 import random
+import time
 
 import numpy as np
 import parity
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions.columns import cosine, jaccard, ngrams, unused
-from scriptorium.operators import context, dedup, links, search, text, transcripts, usage, vectors
+from scriptorium.operators import context, dedup, intervals, links, phrases, search, text, transcripts, usage, vectors
 from scriptorium.operators.components import connected_components
 from scriptorium.plans import registry, store
 from scriptorium.sources import files
@@ -183,6 +184,140 @@ def test_hot_keys_are_cut_into_blocks(spark, hot, name):
             assert "block" in line
 
 
+def test_sessions_of_a_hot_user(spark, hot):
+    """Sessions cross ranges, and one may span some: a user's events lie close together here."""
+    rows = hot.union(spark.sql("select id as event_id, timestamp_ntz'2024-02-01 00:00:00' + make_dt_interval(0, 0, 0, id * 600) as ts, 7L as user_id, 'e' as event_type, 1.5D as value, cast(null as string) as props from range(900)"))
+    rows = rows.where("ts is not null")
+    made = transcripts.segment_sessions(rows.union(hot.where("ts is null")))
+    con = parity.duck(parity.SF)
+    con.register("hot_rows", rows.toPandas())
+    con.execute("CREATE OR REPLACE TEMP VIEW events AS SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, CASE WHEN isnan(value) THEN NULL ELSE value END AS value FROM hot_rows")
+    result = con.execute(registry.oracle_sql()["segment_sessions"])
+    names = [c[0] for c in result.description]
+    assert parity.rows(made.columns, made.collect()) == parity.rows(names, result.fetchall())
+    assert max(r.n for r in made.collect()) >= 900
+
+
+def test_rolling_sums_grow_with_the_rows_alone(spark):
+    """A user's day of some tens of thousands of events: no frame is summed again."""
+    day = lambda n: spark.sql(f"select id as event_id, timestamp_ntz'2024-02-01 00:00:00' + make_dt_interval(0, 0, 0, id * 86000.0 / {n}) as ts, 1L as user_id, 'e' as event_type, 1.0D as value, '' as props from range({n})")
+    took = {}
+    for n in (100, 10_000, 40_000):
+        start = time.time()
+        top = usage.usage_rolling(day(n)).agg(F.max("s")).head()[0]
+        took[n] = time.time() - start
+        assert top == n
+    assert took[40_000] < 3 * took[10_000] + 1
+
+
+def overlapping(a, b, key=False):
+    ok = lambda r: None not in r[1 : 4 if key else 3] and r[1] <= r[2]
+    return sorted((x[0], y[0]) for x in a for y in b if ok(x) and ok(y) and x[1] <= y[2] and y[1] <= x[2] and (not key or x[3] == y[3]))
+
+
+@pytest.mark.parametrize("block", [30, intervals.BLOCK])
+def test_intervals_against_brute_force(spark, block):
+    """Points, short and very long intervals, negative times, nulls, ends before starts, and a
+    bin with nine tenths of the points."""
+    rng = random.Random(11)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            lo = rng.randrange(500, 520) if i % 10 else rng.randrange(-3000, 9000)
+            out.append((i, lo, lo + rng.choice([0, 0, 3, 10, 15, 200, 9000, -1]), rng.choice([1, 1, 1, 2, None])))
+        return out + [(n, None, 5, 1), (n + 1, 5, None, 1), (n + 2, 7, 7, 2), (n + 2, 7, 7, 2)]
+
+    a, b = some(300), some(260)
+    x, y = (spark.createDataFrame(rows, "id long, lo long, hi long, k int").repartition(3) for rows in (a, b))
+    pairs = lambda df: sorted((r[0], r[1]) for r in df.select("left.id", "right.id").collect())
+    made = intervals.interval_join(x, y, ("lo", "hi"), ("lo", "hi"), block=block)
+    assert pairs(made) == overlapping(a, b)
+    assert pairs(intervals.interval_join(x, y, ("lo", "hi"), ("lo", "hi"), ("k",), block=block)) == overlapping(a, b, True)
+    assert pairs(intervals.interval_join(x, y, ("lo", "lo"), ("hi", "hi"), block=block)) == overlapping([(i, lo, lo, k) for i, lo, _, k in a], [(i, hi, hi, k) for i, _, hi, k in b])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "SortMergeJoin" in plan
+    assert intervals.interval_join(x.where("false"), y, ("lo", "hi"), ("lo", "hi")).count() == 0
+
+
+def test_intervals_of_times_and_dates(spark):
+    rows = spark.sql("select 1 as id, timestamp'2024-01-01 00:00:00' as t, timestamp_ntz'2024-01-01 00:00:00' as n, date'2024-01-01' as d union all select 2, timestamp'2024-01-01 00:00:00.000001', timestamp_ntz'1950-01-01 00:00:00.000001', date'1950-01-02'")
+    for c in "tnd":
+        assert sorted((r[0], r[1]) for r in intervals.interval_join(rows, rows, (c, c), (c, c)).select("left.id", "right.id").collect()) == [(1, 1), (2, 2)]
+
+
+def test_phrases_against_brute_force(spark):
+    rng = random.Random(14)
+    texts = [" ".join(rng.choices(["red", "Fox", "a", "the", "é"], k=rng.randrange(0, 30))) for _ in range(200)] + [None, "", "fox fox fox fox", "red, fox! the", "a " * 20_000 + "red fox the"]
+    docs = spark.createDataFrame([(None if i == 5 else i, t, f"s{i % 2}") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    index = phrases.build_positions(docs, store.fresh_path(spark, "positions"), ("lang",))
+    words = [(t or "").lower().replace(",", "").replace("!", "").split() for t in texts]
+    of = lambda i: None if i == 5 else i
+    for asked in (["red", "fox"], ["fox", "fox"], ["red", "fox", "the"], ["é"], ["gone", "red"]):
+        at = {i: [p for p in range(len(w)) if w[p : p + len(asked)] == asked] for i, w in enumerate(words)}
+        assert sorted(((r.doc_id, r.n, r.first) for r in phrases.phrase(index, asked).collect()), key=repr) == sorted(((of(i), len(p), p[0]) for i, p in at.items() if p), key=repr)
+        expected = {}
+        for i, w in enumerate(words):
+            spans = [n for n in range(1, 6) if any(set(asked) <= set(w[p : p + n]) for p in range(min(len(w), 60)))] if len(w) < 100 else []
+            if spans:
+                expected[of(i)] = min(spans)
+        assert {r.doc_id: r.span for r in phrases.near(index, asked, 5).collect() if r.doc_id != 204} == {k: v for k, v in expected.items() if k != 204}
+    assert {r.doc_id for r in phrases.phrase(index, ["red"], F.col("lang") == "s0").collect()} == {of(i) for i, w in enumerate(words) if "red" in w and i % 2 == 0}
+    assert phrases.phrase(index, []).count() == 0 and phrases.near(index, [], 3).count() == 0
+    plan = phrases.phrase(index, ["red", "fox"])._jdf.queryExecution().executedPlan().toString()
+    assert "In(w, [fox,red])" in plan or "PushedFilters: [In(w" in plan
+
+
+def test_places_are_stored_as_differences(spark):
+    import pyarrow.parquet as pq
+
+    path = store.fresh_path(spark, "positions")
+    phrases.build_positions(spark.createDataFrame([(1, "a b " * 5000)], "doc_id long, text string"), path)
+    folder = path.removeprefix("file://")
+    columns = [pq.ParquetFile(f"{folder}/{f}").metadata.row_group(0).column(3) for f in os.listdir(folder) if f.endswith(".parquet") and pq.ParquetFile(f"{folder}/{f}").metadata.num_rows]
+    assert columns and all(c.path_in_schema.startswith("places") and "DELTA_BINARY_PACKED" in c.encodings for c in columns)
+    assert sum(c.total_compressed_size for c in columns) < 10_000 * 2
+
+
+def test_scoped_vector_index_has_recall(spark):
+    """Scopes of one and of fifty hundredths, one of fewer vectors than asked for, and none."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 16)) * 2
+    rows = []
+    for i in range(3000):
+        scope = None if i % 300 == 7 else "one" if i % 100 == 0 else "few" if i in (20, 1041, 2082) else "half" if i % 2 else "rest"
+        rows.append((i, [float(x) for x in centres[i % 20] + rng.normal(size=16)], scope))
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, scope string").repartition(4)
+    q = v.where("vec_id % 20 in (0, 1)")
+    index = vectors.build_scoped_ivf(v, store.fresh_path(spark, "ivf"), "scope", block=64)
+    exact = [(r.a, r.b) for r in vectors.knn_scoped(v, q, "scope", 10, block=32).collect()]
+    found = [(r.a, r.b) for r in vectors.ivf_topk_scoped(index, q, "scope", 10, block=16).collect()]
+    scope = {i: s for i, _, s in rows}
+    assert all(scope[a] == scope[b] is not None for a, b in found)
+    asked = {r.vec_id for r in q.where("scope is not null").collect()}
+    for name, size in (("one", 30), ("half", 1500), ("few", 3), ("rest", 1400)):
+        own = {a for a in asked if scope[a] == name}
+        hits, all_of = {x for x in found if x[0] in own}, {x for x in exact if x[0] in own}
+        assert len(hits & all_of) >= 0.9 * len(all_of) > 0, name
+        assert len(hits) == len(all_of) == len(own) * min(10, sum(s == name for s in scope.values()) - 1)
+    one = spark.createDataFrame([(0, rows[0][1], "one")], v.schema)
+    plan = vectors.ivf_topk_scoped(index, one, "scope", 5)
+    assert plan.count() == 5
+    empty = vectors.build_scoped_ivf(v.where("false"), store.fresh_path(spark, "ivf"), "scope")
+    assert vectors.ivf_topk_scoped(empty, q, "scope", 10).count() == 0
+
+
+def test_samples_send_little_to_the_driver(spark):
+    """400 tasks, of which each would send its own 2,000 rows under an ordered limit."""
+    df = spark.range(0, 400_000, 1, 400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 100).alias("pad"))
+    got = store.hashed_sample(df, "doc_id", 2000)
+    assert len(got) == 2000
+    expected = [r.doc_id for r in df.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2000).collect()]
+    assert [r.doc_id for r in got] == expected
+    hot = df.select((F.col("doc_id") % 7 * F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1)).alias("doc_id"))
+    assert sorted(r.doc_id for r in store.hashed_sample(hot, "doc_id", 100)) == list(range(7))
+
+
 def test_hot_group_is_packed_in_ranges(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice(["a"] * 9 + ["b", None]), None if i % 100 == 7 else rng.randrange(0, 50)) for i in range(2000)]
