@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from zlib import crc32
 
 from scriptorium.llm.text import bounded_batches
+from scriptorium.plans.store import hashed_sample
 
 BITS = 18
 _tokens = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+").findall
@@ -104,7 +105,7 @@ def labelled(labels: DataFrame, label: str, folds: int, held_out: int) -> DataFr
 
 def sampled(ids: DataFrame, limit: int) -> list:
     """Up to ``limit`` rows by the order of a hash of doc_id: a bounded sample."""
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
+    return hashed_sample(ids, "doc_id", limit)
 
 
 def training_vectors(docs: DataFrame, ids: list[int], make_one=features) -> dict[int, tuple[np.ndarray, np.ndarray]]:
