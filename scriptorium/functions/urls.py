@@ -22,7 +22,7 @@ def path_of(url: Column) -> Column:
 def without_dots(path: Column) -> Column:
     """A path without its ``.`` and ``..`` segments (RFC 3986, 5.2.4)."""
     step = lambda seen, x: F.when(x == "..", F.regexp_replace(seen, "/[^/]*$", "")).when(x == ".", seen).otherwise(F.concat(seen, F.lit("/"), x))
-    walked = F.aggregate(F.slice(F.split(path, "/"), 2, 1_000_000), F.lit(""), step)
+    walked = F.aggregate(F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/"))), F.lit(""), step)
     return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(walked, F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))).otherwise(path)
 
 

@@ -11,7 +11,7 @@ from scriptorium.functions import udfs
 from scriptorium.functions.urls import ABSOLUTE, LOWER, UPPER, URL
 from scriptorium.operators import context, dedup, hierarchy, intervals, links, phrases, search, text, transcripts, usage, vectors
 from scriptorium.plans import relational
-from scriptorium.plans.store import fingerprint, fresh_path, scoped
+from scriptorium.plans.store import drop_path, fingerprint, fresh_path, scoped
 from scriptorium.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,16 +28,28 @@ def _on(function, *names: str, **options) -> Query:
     return lambda spark, sf_dir: function(*[table(spark, sf_dir, n) for n in names], **options)
 
 
-_indexes: dict[tuple[str, str], search.Index] = {}
+_kept: dict[tuple[str, str, str], tuple[str, search.Index | phrases.Positions]] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, kind: str, build: Callable) -> search.Index | phrases.Positions:
+    """An index of a folder's documents: written on first use in a session, and anew when the
+    documents' files have changed; the one before is then deleted."""
+    key, now = (spark.sparkContext.applicationId, sf_dir, kind), fingerprint(spark, f"{sf_dir}/documents.parquet")
+    was, index = _kept.get(key, (None, None))
+    if was != now:
+        if index:
+            drop_path(spark, index.path)
+        index = build(table(spark, sf_dir, "documents"), fresh_path(spark, kind), ("lang",))
+        _kept[key] = (now, index)
+    return index
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> search.Index:
-    """The inverted index of a folder's documents: written on first use in a session, and
-    anew when the documents' files have changed."""
-    key = (spark.sparkContext.applicationId, fingerprint(spark, f"{sf_dir}/documents.parquet"))
-    if key not in _indexes:
-        _indexes[key] = search.build_index(table(spark, sf_dir, "documents"), fresh_path(spark, "index"), ("lang",))
-    return _indexes[key]
+    return _index(spark, sf_dir, "index", search.build_index)
+
+
+def positions_of(spark: SparkSession, sf_dir: str) -> phrases.Positions:
+    return _index(spark, sf_dir, "positions", phrases.build_positions)
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,17 +109,6 @@ def _hybrid_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank_fusion([search.bm25_many(index, asked, 20, "lang"), near], query=("q",))
 
 
-_positions: dict[tuple[str, str], phrases.Positions] = {}
-
-
-def positions_of(spark: SparkSession, sf_dir: str) -> phrases.Positions:
-    """The positional postings of a folder's documents, kept as :func:`index_of` keeps its index."""
-    key = (spark.sparkContext.applicationId, fingerprint(spark, f"{sf_dir}/documents.parquet"))
-    if key not in _positions:
-        _positions[key] = phrases.build_positions(table(spark, sf_dir, "documents"), fresh_path(spark, "positions"), ("lang",))
-    return _positions[key]
-
-
 PHRASE, CLOSE, WITHIN = ["released", "under", "the", "mit", "license"], ["the", "license", "under"], 6
 
 

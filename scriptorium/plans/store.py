@@ -110,8 +110,11 @@ def fingerprint(spark: SparkSession, path: str) -> str:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` itself, or, where its files give fewer partitions than there are cores, its rows
-    dealt to one a core: one row group is one task, however much there is to compute."""
+    dealt to one a core: one row group is one task, however much there is to compute. A plan
+    with an exchange is left as it is: counting its partitions would run it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 

@@ -394,6 +394,6 @@ def test_unused_names(spark):
 
 def test_small_tables_are_dealt_to_all_cores(spark):
     few = spark.range(100).coalesce(1)
-    assert store.spread(few).rdd.getNumPartitions() == 8
+    assert store.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(100).repartition(20)
     assert store.spread(many) is many
