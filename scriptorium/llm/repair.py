@@ -329,7 +329,8 @@ def _long(rows: DataFrame, with_turns: bool) -> tuple[DataFrame, DataFrame]:
     back = blocks.repartition(parts, "conv").sortWithinPartitions("conv", *[c.desc() for c in order]).mapInArrow(_backward, BLOCK + ", after array<long>, last boolean")
     chosen = materialise(materialise(back, "repair-back").repartition(parts, "conv").sortWithinPartitions("conv", *order).mapInArrow(_forward, CHOSEN), "repair-chosen")
     keys = ["conv", "part", "sub"]
-    edited = judged.select(*keys, "seq", "role", "text").join(chosen, keys).repartition(parts, *keys).sortWithinPartitions(*keys, "seq")
+    # Written first: Spark would leave out the exchange after a join on its keys, and may split the join's partitions.
+    edited = materialise(judged.select(*keys, "seq", "role", "text").join(chosen, keys), "repair-edited").repartition(parts, *keys).sortWithinPartitions(*keys, "seq")
     bodies = materialise(edited.mapInArrow(_rewritten(with_turns), PART), "repair-bodies")
     whole = bodies.select(*keys, "piece", "cost", "illegal", "body").repartition(parts, "conv").sortWithinPartitions(*keys)
     whole = whole.mapInArrow(_joined, "conv string, illegal long, cost long, audit string, repaired_sha256 string")

@@ -144,6 +144,22 @@ def test_one_conversation_over_many_blocks(spark):
     assert got == expected(rows)
 
 
+def test_split_joins_leave_blocks_whole(spark):
+    """With joins whose skewed partitions are split wherever Spark may."""
+    confs = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1"}
+    rng = random.Random(15)
+    rows = [(3, t, rng.choice(["user", "assistant"]), f"{t} " * 200 + rng.choice([".", ""])) for t in range(1500)] + made(rng, range(100, 300), 9)
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        got = told(repair.repaired_log(spark.createDataFrame(rows, TABLE).repartition(8)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == expected(rows)
+
+
 def test_search_over_blocks_is_search_over_all():
     rng = random.Random(10)
     for _ in range(300):
