@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from scriptorium.functions import udfs
 from scriptorium.functions.urls import ABSOLUTE, LOWER, UPPER, URL
 from scriptorium.operators import context, dedup, hierarchy, intervals, links, phrases, search, text, transcripts, usage, vectors
+from scriptorium.operators.usage_store import UsageStore
 from scriptorium.plans import relational
-from scriptorium.plans.store import drop_path, fingerprint, fresh_path, scoped
+from scriptorium.plans.store import drop_path, fingerprint, fresh_path, materialise, scoped
 from scriptorium.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +131,31 @@ def _open_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(F.col("left.o_custkey").alias("o_custkey")).agg(F.count("*").alias("n"))
 
 
+@scoped
+def _kept_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cube from states that three batches, one of them run twice, and a correction that was
+    taken back have added to."""
+    store, events = UsageStore(spark, fresh_path(spark, "usage")), table(spark, sf_dir, "events")
+    for i in (0, 1, 2, 1):
+        store.append(events.where(F.col("event_id") % 3 == i), f"batch-{i}")
+    wrong = events.where("event_type = 'error'")
+    store.append(wrong, "wrong")
+    store.append(wrong, "taken-back", retract=True)
+    told = materialise(store.cube(), "usage-cube")
+    drop_path(spark, store.path)
+    return told
+
+
+@scoped
+def _usage_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, events = UsageStore(spark, fresh_path(spark, "usage")), table(spark, sf_dir, "events")
+    for i in range(3):
+        store.append(events.where(F.col("event_id") % 3 == i), f"batch-{i}")
+    told = materialise(store.rollup("event_type", "day"), "usage-rollup")
+    drop_path(spark, store.path)
+    return told
+
+
 def _link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.link_edges(table(spark, sf_dir, "pages"))
 
@@ -297,11 +323,13 @@ r AS (SELECT x AS doc_id, x AS o FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e
     "continuity_overlap": (_on(context.continuity_overlap, "documents", "benchmark"), "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"),
     "context_pack": (_on(context.context_pack, "documents", budget=CONTEXT), f"SELECT doc_id, used FROM (SELECT doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents) t WHERE used <= {CONTEXT}"),
     "usage_cube": (_on(usage.usage_cube, "events"), "SELECT event_type, user_id, day, count(*) AS n, CAST(sum(x) AS DECIMAL(38,2)) AS cost, CAST(grouping(event_type, user_id, day) AS BIGINT) AS gid FROM (SELECT event_type, user_id, CAST(ts AS DATE) AS day, CAST(value AS DECIMAL(18,2)) AS x FROM events) t GROUP BY CUBE (event_type, user_id, day)"),
+    "usage_estimates": (_usage_estimates, None),
     "usage_rolling": (_on(usage.usage_rolling, "events"), "SELECT event_id, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS DECIMAL(38,2)) AS s FROM events"),
     "usage_percentiles": (_on(usage.usage_percentiles, "events"), "SELECT event_type, quantile_cont(value, 0.9) AS p90, median(value) AS p50 FROM events GROUP BY event_type"),
     "usage_props": (_on(usage.usage_props, "events"), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
     "budget_breach": (_on(usage.budget_breach, "events", budget=BUDGET), f"SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM (SELECT *, sum(CAST(value AS DECIMAL(18,2))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events) a WHERE run > {BUDGET}) b WHERE rn = 1"),
 }
+QUERIES["usage_incremental"] = (_kept_usage, QUERIES["usage_cube"][1])
 QUERIES |= {
     "udf_scalar": (lambda s, d: table(s, d, "documents").select("doc_id", udfs.capital_share("text").alias("share")), "SELECT doc_id, length(regexp_replace(text, '[^A-Z]', '', 'g')) / length(text) AS share FROM documents"),
     "udaf_partial": (lambda s, d: udfs.geometric_means(table(s, d, "events")).select("event_type", F.round("gmean", 6).alias("gmean")), "SELECT event_type, round(exp(sum(ln(value)) / count(*)), 6) AS gmean FROM events WHERE value > 0 GROUP BY event_type"),

@@ -55,11 +55,35 @@ def materialise_to(df: DataFrame, name: str, **options) -> tuple[DataFrame, str]
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _place(spark, path)
+    return files.exists(place)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all: written under a hidden name beside it, and renamed."""
+    folder, _, name = path.rpartition("/")
+    files, place = _place(spark, path)
+    _, hidden = _place(spark, f"{folder}/_{name}-{uuid.uuid4().hex}")
+    out = files.create(hidden, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not files.rename(hidden, place):
+        files.delete(hidden, False)
+        raise OSError(f"could not write {path}")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path through Spark's own file systems."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    files, place = _place(spark, path)
+    files.delete(place, True)
 
 
 def folders_read(df: DataFrame) -> set[str]:
