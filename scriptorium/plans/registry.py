@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import udfs
 from scriptorium.functions.urls import ABSOLUTE, LOWER, UPPER, URL
-from scriptorium.operators import context, dedup, hierarchy, intervals, links, phrases, search, text, transcripts, usage, vectors
+from scriptorium.operators import context, dedup, gazetteer, hierarchy, intervals, links, phrases, search, text, transcripts, usage, vectors
 from scriptorium.operators.usage_store import UsageStore
 from scriptorium.plans import relational
 from scriptorium.plans.store import drop_path, fingerprint, fresh_path, materialise, scoped
@@ -131,6 +131,15 @@ def _open_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(F.col("left.o_custkey").alias("o_custkey")).agg(F.count("*").alias("n"))
 
 
+def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as entities, known by their first three words, their first six, or the
+    two after the first."""
+    words = F.col("ws")
+    items = table(spark, sf_dir, "benchmark").select("item_id", text.letters("text").alias("ws"))
+    aliases = F.array(*[F.array_join(F.slice(words, a, n), " ") for a, n in ((1, 3), (1, 6), (2, 2))])
+    return gazetteer.dictionary_mentions(table(spark, sf_dir, "documents"), items.select(F.col("item_id").alias("entity"), F.explode(aliases).alias("alias")))
+
+
 @scoped
 def _kept_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cube from states that three batches, one of them run twice, and a correction that was
@@ -232,6 +241,17 @@ _ABC = f"'{UPPER}', '{LOWER}'"
 _WORDS_SQL = r"SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS place FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM documents) d"
 
 
+_DICTIONARY_SQL = r"""
+WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM benchmark),
+n AS (SELECT name, min(item_id) AS entity FROM (SELECT item_id, unnest([ws[1:3], ws[1:6], ws[2:3]]) AS name FROM i) a WHERE len(name) > 0 GROUP BY name),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM documents),
+t AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM d),
+m AS (SELECT doc_id, p, max({'n': len(name), 'entity': entity}) AS x FROM t JOIN n ON t.ws[p] = n.name[1] AND t.ws[p:p + len(name) - 1] = n.name GROUP BY doc_id, p),
+l AS (SELECT doc_id, list({'p': p, 'n': x.n, 'entity': x.entity} ORDER BY p) AS ms FROM m GROUP BY doc_id),
+c AS (SELECT doc_id, list_reduce(ms, lambda s, y: CASE WHEN y.p >= s.e THEN {'e': y.p + y.n, 'picked': list_append(s.picked, y)} ELSE s END, {'e': 0::BIGINT, 'picked': CAST([] AS STRUCT(p BIGINT, n BIGINT, entity BIGINT)[])}) AS s FROM l)
+SELECT doc_id, x.p - 1 AS place, x.n AS n, x.entity AS entity FROM (SELECT doc_id, unnest(s.picked) AS x FROM c) u"""
+
+
 def _phrase_sql(words: list[str]) -> str:
     joins = " ".join(f"JOIN t t{i} ON t{i}.doc_id = t0.doc_id AND t{i}.place = t0.place + {i} AND t{i}.w = '{w}'" for i, w in enumerate(words) if i)
     return f"WITH t AS ({_WORDS_SQL}) SELECT t0.doc_id AS doc_id, count(*) AS n, min(t0.place) AS first FROM t t0 {joins} WHERE t0.w = '{words[0]}' GROUP BY t0.doc_id"
@@ -300,6 +320,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "turn_pairs": (_on(transcripts.turn_pairs, "conversations"), "SELECT conv_id, turn, prompt, reply FROM (SELECT conv_id, turn, role, text AS prompt, lead(role) OVER w AS r, lead(text) OVER w AS reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) t WHERE role = 'user' AND r = 'assistant'"),
     "asof_context": (_on(transcripts.asof_context, "events"), "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_id FROM events"),
     "entity_mentions": (_on(text.entity_mentions, "documents"), rf"SELECT surface, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{text.MENTION}')) AS surface FROM documents) t GROUP BY surface"),
+    "dictionary_mentions": (_dictionary, _DICTIONARY_SQL),
     "entity_cooccurrence": (_on(text.entity_cooccurrence, "documents"), rf"WITH m AS (SELECT DISTINCT doc_id, surface FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{text.MENTION}')) AS surface FROM documents) t) SELECT x.surface AS a, y.surface AS b, count(*) AS n FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.surface < y.surface GROUP BY ALL"),
     "pii_flags": (_on(text.pii_flags, "documents"), rf"SELECT doc_id, n_emails FROM (SELECT doc_id, len(regexp_extract_all(text, '{text.EMAIL}')) AS n_emails FROM documents) t WHERE n_emails > 0"),
     "extractive_summary": (

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions.columns import cosine, jaccard, ngrams, unused
-from scriptorium.operators import context, dedup, intervals, links, phrases, search, text, transcripts, usage, vectors
+from scriptorium.operators import context, dedup, gazetteer, intervals, links, phrases, search, text, transcripts, usage, vectors
 from scriptorium.operators.components import connected_components
 from scriptorium.plans import registry, store
 from scriptorium.sources import files
@@ -268,6 +268,31 @@ def test_phrases_against_brute_force(spark):
     assert "In(w, [fox,red])" in plan or "PushedFilters: [In(w" in plan
 
 
+@pytest.mark.parametrize("limit", [gazetteer.NAMES, 0])
+def test_dictionary_against_brute_force(spark, limit):
+    rng = random.Random(17)
+    words = ["lord", "of", "ash", "vale", "the", "Iron", "é"]
+    names = [(rng.randrange(20), " ".join(rng.choices(words, k=rng.choice([1, 2, 2, 3, 5])))) for _ in range(25)] + [(3, None), (4, " .. "), (None, "lord of"), (50, "the"), (51, "Lord, of ash")]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 25))) for _ in range(150)] + [None, "", "lord of ash", "lord of ash vale " * 5000]
+    docs = spark.createDataFrame([(None if i == 3 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    known = {}
+    for entity, alias in names:
+        name = tuple((alias or "").lower().replace(",", "").replace("..", "").split())
+        if entity is not None and name:
+            known[name] = min(entity, known.get(name, 99))
+    expected = []
+    for i, t in enumerate(texts):
+        at, own = 0, (t or "").lower().split()
+        while at < len(own):
+            best = max((n for n in range(1, 6) if tuple(own[at : at + n]) in known and at + n <= len(own)), default=0)
+            if best:
+                expected.append((None if i == 3 else i, at, best, known[tuple(own[at : at + best])]))
+            at += best or 1
+    made = gazetteer.dictionary_mentions(docs, spark.createDataFrame(names, "entity long, alias string"), limit=limit)
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted(expected, key=repr) and len(expected) > 1000
+    assert gazetteer.dictionary_mentions(docs, spark.createDataFrame([], "entity long, alias string")).count() == 0
+
+
 def test_places_are_stored_as_differences(spark):
     import pyarrow.parquet as pq
 
