@@ -14,6 +14,7 @@ from scriptorium.operators.usage_store import UsageStore
 from scriptorium.plans import relational
 from scriptorium.plans.store import drop_path, fingerprint, fresh_path, materialise, scoped
 from scriptorium.sources.tables import table
+from scriptorium.sources.turnlog import TurnLog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -140,6 +141,17 @@ def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gazetteer.dictionary_mentions(table(spark, sf_dir, "documents"), items.select(F.col("item_id").alias("entity"), F.explode(aliases).alias("alias")))
 
 
+@scoped
+def _turnlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as a log of turns, written and read back for a range of them."""
+    spark.dataSource.register(TurnLog)
+    path = fresh_path(spark, "turnlog")
+    table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").write.format("turnlog").mode("append").save(path)
+    told = materialise(spark.read.format("turnlog").load(path).where("conv_id >= 3 and conv_id < 60"), "turns")
+    drop_path(spark, path)
+    return told
+
+
 @scoped
 def _kept_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cube from states that three batches, one of them run twice, and a correction that was
@@ -316,6 +328,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "segment_tumbling": (_on(transcripts.segment_tumbling, "events"), "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS n FROM events GROUP BY 1"),
     "segment_sliding": (_on(transcripts.segment_sliding, "events"), "SELECT start, count(*) AS n FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) - to_hours(CAST(6 * unnest([0, 1, 2, 3]) AS BIGINT)) AS start FROM events) t GROUP BY start"),
     "finalized_segments": (_on(transcripts.finalized_segments, "events"), "SELECT user_id, event_type, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) t WHERE rn = 1"),
+    "source_turnlog": (_turnlog, "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id >= 3 AND conv_id < 60"),
     "turn_stitch": (_on(transcripts.turn_stitch, "conversations"), "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"),
     "turn_pairs": (_on(transcripts.turn_pairs, "conversations"), "SELECT conv_id, turn, prompt, reply FROM (SELECT conv_id, turn, role, text AS prompt, lead(role) OVER w AS r, lead(text) OVER w AS reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) t WHERE role = 'user' AND r = 'assistant'"),
     "asof_context": (_on(transcripts.asof_context, "events"), "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_id FROM events"),
