@@ -13,8 +13,8 @@ from scriptorium.operators import context, dedup, gazetteer, hierarchy, interval
 from scriptorium.operators.usage_store import UsageStore
 from scriptorium.plans import relational
 from scriptorium.plans.store import drop_path, fingerprint, fresh_path, materialise, scoped
+from scriptorium.sources import turnlog
 from scriptorium.sources.tables import table
-from scriptorium.sources.turnlog import TurnLog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -144,7 +144,7 @@ def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @scoped
 def _turnlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations as a log of turns, written and read back for a range of them."""
-    spark.dataSource.register(TurnLog)
+    turnlog.register(spark)
     path = fresh_path(spark, "turnlog")
     table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").write.format("turnlog").mode("append").save(path)
     told = materialise(spark.read.format("turnlog").load(path).where("conv_id >= 3 and conv_id < 60"), "turns")
@@ -275,24 +275,29 @@ def _near_sql(words: list[str], within: int) -> str:
     return f"WITH t AS ({_WORDS_SQL}), s AS (SELECT doc_id, place, {lasts} FROM t WHERE w IN ({', '.join(repr(w) for w in words)})) SELECT doc_id, min(place - least({', '.join(names)}) + 1) AS span FROM s WHERE {' AND '.join(f'{n} IS NOT NULL' for n in names)} AND place - least({', '.join(names)}) + 1 <= {within} GROUP BY doc_id"
 
 
-def _name_sql(url: str) -> str:
+def name_sql(url: str) -> str:
     part = lambda i: f"regexp_extract({url}, '{URL}', {i})"
     walked = f"list_reduce(list_concat([''], string_split({part(3)}, '/')[2:]), lambda seen, x: CASE WHEN x = '..' THEN regexp_replace(seen, '/[^/]*$', '') WHEN x = '.' THEN seen ELSE seen || '/' || x END)"
     path = rf"CASE WHEN {part(3)} = '' THEN '/' WHEN regexp_matches({part(3)}, '/\.\.?(/|$)') THEN {walked} || CASE WHEN regexp_matches({part(3)}, '/\.\.?$') THEN '/' ELSE '' END ELSE {part(3)} END"
     return f"CASE WHEN contains({url}, '://') THEN translate({part(1)}, {_ABC}) || '://' || translate({part(2)}, {_ABC}) || {path} || {part(4)} END"
 
 
-def _links_sql() -> str:
-    part = lambda i: f"regexp_extract(url, '{URL}', {i})"
+def resolved_sql(target: str, url: str) -> str:
+    """A link target as an absolute url, seen from ``url``; ``&amp;`` is already read."""
+    part = lambda i: f"regexp_extract({url}, '{URL}', {i})"
     base = f"({part(1)} || '://' || translate({part(2)}, {_ABC}))"
+    return f"""CASE WHEN regexp_matches({target}, '{ABSOLUTE}') THEN {target} WHEN starts_with({target}, '//') THEN {part(1)} || ':' || {target} WHEN starts_with({target}, '/') THEN {base} || {target}
+  WHEN starts_with({target}, '?') THEN {base} || {part(3)} || {target} WHEN starts_with({target}, '#') OR {target} = '' THEN {url}
+  ELSE {base} || regexp_replace(CASE WHEN {part(3)} = '' THEN '/' ELSE {part(3)} END, '[^/]*$', '') || {target} END"""
+
+
+def _links_sql() -> str:
     return f"""
-WITH names AS (SELECT {_name_sql('url')} AS name, min(page_id) AS dst FROM pages WHERE url IS NOT NULL GROUP BY 1),
+WITH names AS (SELECT {name_sql('url')} AS name, min(page_id) AS dst FROM pages WHERE url IS NOT NULL GROUP BY 1),
 edges AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages),
 seen AS (SELECT *, replace(target, '&amp;', '&') AS t FROM edges),
-full_url AS (SELECT page_id, target, CASE WHEN regexp_matches(t, '{ABSOLUTE}') THEN t WHEN starts_with(t, '//') THEN {part(1)} || ':' || t WHEN starts_with(t, '/') THEN {base} || t
-  WHEN starts_with(t, '?') THEN {base} || {part(3)} || t WHEN starts_with(t, '#') OR t = '' THEN url
-  ELSE {base} || regexp_replace(CASE WHEN {part(3)} = '' THEN '/' ELSE {part(3)} END, '[^/]*$', '') || t END AS u FROM seen)
-SELECT page_id, target, dst FROM full_url LEFT JOIN names ON names.name = {_name_sql('u')}"""
+full_url AS (SELECT page_id, target, {resolved_sql('t', 'url')} AS u FROM seen)
+SELECT page_id, target, dst FROM full_url LEFT JOIN names ON names.name = {name_sql('u')}"""
 
 
 _SENTENCES_SQL = r"SELECT doc_id, unnest(range(len(ss))) AS pos, unnest(ss) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents) t"

@@ -6,7 +6,7 @@ append is there once its commit is, whole; what a lost one wrote is never read.
 reads plan a partition for some files and leave out those whose range no filter on
 conv_id can meet; stream reads take commit numbers as offsets.
 
-    spark.dataSource.register(TurnLog)
+    register(spark)
     df.write.format("turnlog").mode("append").save(path)
     spark.read.format("turnlog").load(path).where("conv_id = 7")
     spark.readStream.format("turnlog").load(path)
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -202,3 +203,9 @@ class TurnLog(DataSource):
         if overwrite:
             raise ValueError("a turn log is appended to")
         return TurnWriter(self.options["path"])
+
+
+def register(spark: SparkSession) -> None:
+    """Make the format known to a session, and let filters reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(TurnLog)

@@ -12,8 +12,7 @@ from scriptorium.sources.tables import table
 
 @pytest.fixture(scope="module")
 def log(spark, tmp_path_factory):
-    spark.dataSource.register(turnlog.TurnLog)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    turnlog.register(spark)
     path = f"file://{tmp_path_factory.mktemp('log')}/turns"
     extra = spark.createDataFrame([(2**60 + 1, 0, "user", "l'été\n\"x\" \U0001f600"), (None, None, None, None)], turnlog.SCHEMA)
     rows = table(spark, parity.SF, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra).cache()
