@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions.urls import LOWER, UPPER
+from scriptorium.functions.urls import LOWER, UPPER, URL
 from scriptorium.llm import decontaminate, merkle, ngram_join, packing, pii, quality_classifier, quality_rules, repair, token_counts, token_files, toxicity, url_filter, warc
 from scriptorium.llm.tokens import PIECES, TokenizerFile
+from scriptorium.plans.registry import name_sql, resolved_sql
 from scriptorium.plans.store import fresh_path, scoped
 from scriptorium.sources.tables import table
 
@@ -139,37 +140,28 @@ def _rule_sql(host: str, path: str, what: int) -> str:
     return f"CASE {cases} END"
 
 
-#: The tags and url parts that the SQL of op9 knows. It takes the first tag of a
-#: kind alone, and leaves dot segments; the operator goes further on both.
-_URL = r"(?s)^(.*?)://([^/?#]*)([^?#]*)(\??[^#]*)"
-_CANONICAL = r"(?is)<link\s[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_REFRESH = r"(?is)<meta\s[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
-
-
-def _node_sql(url: str) -> str:
-    part = lambda i: f"regexp_extract({url}, '{_URL}', {i})"
-    return f"CASE WHEN contains({url}, '://') THEN translate({part(1)}, {_ABC}) || '://' || translate({part(2)}, {_ABC}) || {part(3)} || {part(4)} END"
+#: The tags that declare a page's names, as patterns without a look behind.
+_BEFORE = r"(?:[^>]*[^\w>-])?"
+_CANONICAL = rf"""(?is)<link\s{_BEFORE}rel\s*=\s*(?:(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?')[^>]*|canonical(?:[\s/][^>]*)?)>"""
+_REFRESH = rf"""(?is)<meta\s{_BEFORE}http-equiv\s*=\s*["']?refresh\b[^>]*>"""
+_HREF = r"""(?is)[^\w-]href\s*=\s*["']?\s*([^"'\s>]+)"""
+_TARGET = r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
 def _op9_sql() -> str:
     quoted = lambda r: r.replace("'", "''")
-    part = lambda i: f"regexp_extract(url, '{_URL}', {i})"
-    base = f"({part(1)} || '://' || translate({part(2)}, {_ABC}))"
+    part = lambda url, i: f"regexp_extract({url}, '{URL}', {i})"
+    every = lambda tag, attribute: f"list_transform(regexp_extract_all(html, '{quoted(tag)}'), lambda x: replace(regexp_extract(x, '{quoted(attribute)}', 1), '&amp;', '&'))"
     return f"""
-WITH RECURSIVE tag AS (SELECT url, replace(regexp_extract(regexp_extract(html, '{quoted(_CANONICAL)}'), '{quoted(_HREF)}', 1), '&amp;', '&') AS t FROM pages
-  UNION ALL SELECT url, replace(regexp_extract(regexp_extract(html, '{quoted(_REFRESH)}'), '{quoted(_TARGET)}', 1), '&amp;', '&') FROM pages),
-abs AS (SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN {part(1)} || ':' || t WHEN starts_with(t, '/') THEN {base} || t
-  WHEN starts_with(t, '?') THEN {base} || {part(3)} || t WHEN starts_with(t, '#') THEN url
-  ELSE {base} || regexp_replace(CASE WHEN {part(3)} = '' THEN '/' ELSE {part(3)} END, '[^/]*$', '') || t END AS target FROM tag WHERE t <> '' AND url IS NOT NULL),
-e AS (SELECT DISTINCT {_node_sql('url')} AS a, {_node_sql('target')} AS b FROM abs WHERE {_node_sql('url')} <> {_node_sql('target')}),
-both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+WITH RECURSIVE tag AS (SELECT url, unnest(list_concat({every(_CANONICAL, _HREF)}, {every(_REFRESH, _TARGET)})) AS t FROM pages WHERE html IS NOT NULL AND url IS NOT NULL),
+target AS (SELECT url, {resolved_sql('t', 'url')} AS u FROM tag WHERE t <> ''),
+named AS (SELECT {name_sql('url')} AS a, {name_sql('u')} AS b FROM target),
+both_ways AS (SELECT a, b FROM named WHERE a <> b UNION SELECT b, a FROM named WHERE a <> b),
 r AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, x.b FROM r JOIN both_ways x ON r.other = x.a),
-n AS (SELECT node, other, {_rule_sql('h', 'p', 1)} AS act FROM (SELECT node, other, translate(regexp_extract(other, '{_URL}', 2), {_ABC}) AS h, regexp_extract(other, '{_URL}', 3) AS p FROM r) y),
+n AS (SELECT node, other, {_rule_sql('h', 'p', 1)} AS act FROM (SELECT node, other, translate({part('other', 2)}, {_ABC}) AS h, {part('other', 3)} AS p FROM r) y),
 c AS (SELECT node FROM n GROUP BY node HAVING coalesce(bool_or(act = 'block'), false) AND NOT coalesce(bool_or(act = 'allow'), false)),
-j AS (SELECT page_id, url, coalesce(translate({part(2)}, {_ABC}), '') AS host, coalesce({part(3)}, '') AS path FROM pages),
-k AS (SELECT page_id, host, path, {_rule_sql('host', 'path', 0)} AS rule, {_rule_sql('host', 'path', 1)} AS act, {_node_sql('url')} AS node FROM j)
+j AS (SELECT page_id, url, coalesce(translate({part('url', 2)}, {_ABC}), '') AS host, coalesce({part('url', 3)}, '') AS path FROM pages),
+k AS (SELECT page_id, host, path, {_rule_sql('host', 'path', 0)} AS rule, {_rule_sql('host', 'path', 1)} AS act, {name_sql('url')} AS node FROM j)
 SELECT page_id, host, path, rule, coalesce(act, CASE WHEN c.node IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM k LEFT JOIN c ON c.node = k.node"""
 
 

@@ -525,6 +525,7 @@ def test_url_aliases(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", F.lit("x")).withColumn("node", F.lit(1))
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, llm.RULES).collect()}
     assert {k: v[3] for k, v in got.items()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "allow", 9: "allow", 10: "block", None: "allow"}
+    assert by_sql(rows) == got
     assert got[1][:3] == ("shop.com", "/en/x", "com/en/") and got[8][:3] == ("", "", None) and got[9][:2] == ("", "") and got[None][:2] == ("x.de", "")
     redirects = spark.createDataFrame([("http://ok.io/", "http://shop.com/en/x")], "src_url string, dst_url string")
     assert {r.page_id: r.verdict for r in url_filter.filter_urls(pages, llm.RULES, redirects).collect()}[4] == "block"
@@ -553,6 +554,17 @@ def test_every_tag_of_a_page_names_it(spark):
     got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), llm.RULES).collect()}
     assert {k for k, v in got.items() if v == "block"} == {1, 2, 3, 5, 6, 7, 8, 9, 10, 11, 12, 15}
     assert set(got) == set(range(1, 16))
+    assert {k: v[3] for k, v in by_sql(rows).items()} == got
+
+
+def by_sql(rows):
+    """page_id -> (host, path, rule, verdict) by the registered SQL."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    result = con.execute(llm.oracle_sql()["op9_url_filter"])
+    at = [[c[0] for c in result.description].index(x) for x in ("page_id", "host", "path", "rule", "verdict")]
+    return {r[at[0]]: tuple(r[i] for i in at[1:]) for r in result.fetchall()}
 
 
 def web(seed=3, n=240):
