@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from scriptorium.llm.tokens import TokenizerFile, encoder
 from scriptorium.plans.store import materialise
 
+#: Bytes of stored texts that a shard takes.
+SHARD_BYTES = 256_000_000
 SHARD = "shard long, n_docs long, n_tokens long, dtype string"
 
 
@@ -51,7 +54,7 @@ def _writer(file: TokenizerFile, folder: str, end_id: int):
         files, place = filesystem(folder)
         files.create_dir(place, recursive=True)
         end = np.array([end_id], dtype=own.dtype).tobytes()
-        width, ids, nulls, sizes = len(end), [], [], []
+        width, ids, nulls, sizes = len(end), array("q"), array("b"), array("q")  # 17 bytes a document
 
         def blocks():
             for batch in batches:
@@ -78,10 +81,13 @@ def write_token_files(docs: DataFrame, tokenizer: TokenizerFile, folder: str, en
     Rows of one doc_id are ordered by a hash of the text, then the text: repeated rows
     are all written. An empty table gives no documents. Other columns are ignored.
     Texts are dealt to shards by ranges of (doc_id, hash), so that neither one id nor
-    one text makes a shard large.
+    one text makes a shard large. Their number is that of the session's shuffle partitions,
+    or as many as keep shards at SHARD_BYTES of the input, by the plan's own estimate.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = size if size < 2**55 else 0  # Spark's word for not known
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().cast("int").alias("no_id"), F.coalesce("text", F.lit("")).alias("text"))
     keys = [F.col("no_id").desc(), F.col("doc_id"), F.col("tie")]
     ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards, *keys).sortWithinPartitions(*keys, "text")
@@ -93,12 +99,15 @@ def write_token_files(docs: DataFrame, tokenizer: TokenizerFile, folder: str, en
     return spark.createDataFrame(bases, SHARD + ", base long")
 
 
-def open_array(files, path: str, dtype: str, uri: str) -> np.ndarray:
-    """The file as an array: a memory map on a local path, else its bytes."""
+def reader_of(files, path: str, dtype: str) -> tuple[Callable[[int, int], np.ndarray], int]:
+    """(what gives the values from one place to another, how many there are): of a memory map on
+    a local path, else of the bytes in between alone."""
+    n = files.get_file_info(path).size // np.dtype(dtype).itemsize
     if files.type_name == "local":
-        return np.memmap(path, dtype=dtype, mode="r") if files.get_file_info(path).size else np.empty(0, dtype)
-    with files.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=dtype)
+        held = np.memmap(path, dtype=dtype, mode="r") if n else np.empty(0, dtype)
+        return lambda a, b: held[a:b], n
+    f, width = files.open_input_file(path), np.dtype(dtype).itemsize
+    return lambda a, b: np.frombuffer(f.read_at((b - a) * width, a * width), dtype), n
 
 
 def _reader(folder: str, step: int = 1000):
@@ -106,15 +115,16 @@ def _reader(folder: str, step: int = 1000):
         files, place = filesystem(folder)
         for batch in batches:
             for shard, dtype, base in zip(batch["shard"], batch["dtype"], batch["base"]):
-                ids = open_array(files, f"{place}/{shard:06d}.ids", dtype, folder)
-                index = open_array(files, f"{place}/{shard:06d}.idx", "<i8", folder)
-                n = int(index[0])
-                doc_ids, nulls, offsets = index[1 : n + 1], index[n + 1 : 2 * n + 1], index[2 * n + 1 :]
+                ids, _ = reader_of(files, f"{place}/{shard:06d}.ids", dtype)
+                index, _ = reader_of(files, f"{place}/{shard:06d}.idx", "<i8")
+                n = int(index(0, 1)[0])
                 for at in range(0, n, step):
                     to = min(n, at + step)
-                    crcs = [zlib.crc32(ids[offsets[i] : offsets[i + 1]].astype("<u4").tobytes()) for i in range(at, to)]
-                    own_ids = pd.arrays.IntegerArray(np.array(doc_ids[at:to], dtype="int64"), np.array(nulls[at:to], dtype=bool))
-                    yield pd.DataFrame({"doc_id": own_ids, "start": base + np.array(offsets[at:to]), "n_tokens": np.diff(offsets[at : to + 1]), "ids_crc32": np.array(crcs, dtype="int64")})
+                    offsets = np.array(index(2 * n + 1 + at, 2 * n + 2 + to))
+                    held = ids(int(offsets[0]), int(offsets[-1])).astype("<u4")
+                    crcs = [zlib.crc32(held[a:b].tobytes()) for a, b in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0])]
+                    own_ids = pd.arrays.IntegerArray(np.array(index(1 + at, 1 + to), dtype="int64"), np.array(index(n + 1 + at, n + 1 + to), dtype=bool))
+                    yield pd.DataFrame({"doc_id": own_ids, "start": base + offsets[:-1], "n_tokens": np.diff(offsets), "ids_crc32": np.array(crcs, dtype="int64")})
 
     return read
 
@@ -132,6 +142,6 @@ def token_ids(spark: SparkSession, manifest: DataFrame, folder: str, start: int,
     files, place = filesystem(folder)
     parts = []
     for r in manifest.where((F.col("base") < start + length) & (F.col("base") + F.col("n_tokens") > start)).orderBy("base").collect():
-        ids = open_array(files, f"{place}/{r['shard']:06d}.ids", r["dtype"], folder)
-        parts.append(ids[max(0, start - r["base"]) : start + length - r["base"]].astype("<u4"))
+        ids, n = reader_of(files, f"{place}/{r['shard']:06d}.ids", r["dtype"])
+        parts.append(ids(max(0, start - r["base"]), min(n, start + length - r["base"])).astype("<u4"))
     return np.concatenate(parts) if parts else np.empty(0, "<u4")
