@@ -62,8 +62,15 @@ def packed(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
     return _plain(vectors).select(F.lit(0).alias("list"), "vec_id", "embedding").mapInPandas(_packer(size), PACKED)
 
 
-def _nearest(k: int | None, least: float | None):
-    """Best k (or all of at least ``least``) per query over pairs of blocks."""
+def _products(q_ids: bytes, q_matrix: bytes, ids: bytes, matrix: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    asked, left = _unpacked(q_ids, q_matrix)
+    own, right = _unpacked(ids, matrix)
+    return asked, own, left @ right.T
+
+
+def _nearest(k: int | None, least: float | None, compare=_products):
+    """Best k (or all of at least ``least``) per query over pairs of blocks, of which ``compare``
+    gives both sides' ids and their similarities."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
@@ -76,9 +83,8 @@ def _nearest(k: int | None, least: float | None):
 
         for batch in batches:
             for q_ids, q_matrix, c_ids, c_matrix in zip(batch["q_ids"], batch["q_matrix"], batch["ids"], batch["matrix"]):
-                asked, left = _unpacked(q_ids, q_matrix)
-                own, right = _unpacked(c_ids, c_matrix)
-                sims = np.where(asked[:, None] == own[None, :], -np.inf, left @ right.T)
+                asked, own, sims = compare(q_ids, q_matrix, c_ids, c_matrix)
+                sims = np.where(asked[:, None] == own[None, :], -np.inf, sims)
                 if k is None:
                     q, c = np.nonzero(sims >= least)
                     yield pd.DataFrame({"a": asked[q], "b": own[c], "sim": sims[q, c]})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import udfs
 from scriptorium.functions.urls import ABSOLUTE, LOWER, UPPER, URL
-from scriptorium.operators import context, dedup, gazetteer, hierarchy, intervals, links, phrases, search, text, transcripts, usage, vectors
+from scriptorium.operators import context, dedup, gazetteer, hierarchy, intervals, links, phrases, pq, search, text, transcripts, usage, vectors
 from scriptorium.operators.usage_store import UsageStore
 from scriptorium.plans import relational
 from scriptorium.plans.store import drop_path, fingerprint, fresh_path, materialise, scoped
@@ -101,6 +101,11 @@ def _knn_ivf_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.ivf_topk_scoped(vectors.build_scoped_ivf(v, fresh_path(spark, "ivf"), "label"), _queries_of(v), "label", 10).select("a", "b", "rank")
 
 
+def _knn_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return pq.pq_topk(pq.build_pq(v, fresh_path(spark, "pq")), _queries_of(v), 10).select("a", "b", "rank")
+
+
 def _hybrid_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``hybrid_rrf``, with both rankings inside the language of the query's document."""
     v, index = table(spark, sf_dir, "embeddings"), index_of(spark, sf_dir)
@@ -324,6 +329,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "hybrid_rrf": (_hybrid, _HYBRID_SQL),
     "knn_scoped": (scoped(_knn_scoped), _NEAR_SQL % ("v.label = q.label AND q.vec_id % 20 = 0", 10)),
     "knn_ivf_scoped": (scoped(_knn_ivf_scoped), None),
+    "knn_pq": (scoped(_knn_pq), None),
     "hybrid_rrf_scoped": (scoped(_hybrid_scoped), _SCOPED_SQL),
     "phrase_search": (lambda s, d: phrases.phrase(positions_of(s, d), PHRASE), _phrase_sql(PHRASE)),
     "proximity_search": (lambda s, d: phrases.near(positions_of(s, d), CLOSE, WITHIN), _near_sql(CLOSE, WITHIN)),

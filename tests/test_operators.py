@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions.columns import cosine, jaccard, ngrams, unused
-from scriptorium.operators import context, dedup, gazetteer, intervals, links, phrases, search, text, transcripts, usage, vectors
+from scriptorium.operators import context, dedup, gazetteer, intervals, links, phrases, pq, search, text, transcripts, usage, vectors
 from scriptorium.operators.components import connected_components
 from scriptorium.plans import registry, store
 from scriptorium.sources import files
@@ -304,6 +304,24 @@ def test_places_are_stored_as_differences(spark):
     assert sum(c.total_compressed_size for c in columns) < 10_000 * 2
 
 
+def test_quantised_vectors_have_recall(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 18)) * 2
+    rows = [(2**60 + i, [float(x) for x in centres[0 if i % 3 == 0 else i % 12] + rng.normal(size=18)]) for i in range(1500)] + [(None, [0.0] * 18), (5, None)]
+    for v in (spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4), spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")):
+        q = v.where("vec_id % 20 = 0")
+        index = pq.build_pq(v, store.fresh_path(spark, "pq"), block=256)
+        held = index.codes.select(F.sum(F.length("ids")), F.sum(F.length("matrix"))).head()
+        n = v.where("vec_id is not null and embedding is not null").count()
+        assert tuple(held) == (8 * n, 8 * n)  # 8 bytes a vector, beside its id
+        exact = {(r.a, r.b) for r in vectors.knn_topk(v, q, 10).collect()}
+        got = pq.pq_topk(index, q, 10, block=16).collect()
+        assert len(exact & {(r.a, r.b) for r in got}) >= 0.9 * len(exact) and len(got) == len(exact)
+        assert pq.pq_topk(index, q, 3, rerank=10).count() == 3 * q.count() and index.share < 0.5
+    empty = pq.build_pq(v.where("false"), store.fresh_path(spark, "pq"))
+    assert pq.pq_topk(empty, q, 10).count() == 0
+
+
 def test_scoped_vector_index_has_recall(spark):
     """Scopes of one and of fifty hundredths, one of fewer vectors than asked for, and none."""
     rng = np.random.default_rng(7)
