@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import udfs
@@ -13,7 +13,7 @@ from scriptorium.operators import context, dedup, gazetteer, hierarchy, interval
 from scriptorium.operators.usage_store import UsageStore
 from scriptorium.plans import relational
 from scriptorium.plans.store import drop_path, fingerprint, fresh_path, materialise, scoped
-from scriptorium.sources import turnlog
+from scriptorium.sources import layout, turnlog
 from scriptorium.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,6 +146,20 @@ def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gazetteer.dictionary_mentions(table(spark, sf_dir, "documents"), items.select(F.col("item_id").alias("entity"), F.explode(aliases).alias("alias")))
 
 
+@scoped
+def _laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and items laid out in the same buckets, joined, grouped and ranked as they lie."""
+    paths = {n: fresh_path(spark, n) for n in ("orders", "lineitem")}
+    names = {n: p.rpartition("/")[2].replace("-", "_") for n, p in paths.items()}
+    keys = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
+    orders, items = (layout.lay_out(table(spark, sf_dir, n), names[n], paths[n], (keys[n],)) for n in paths)
+    late = items.withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_shipdate"), "l_linenumber", "l_partkey", "l_suppkey"))).where("k = 1")
+    told = materialise(orders.join(late, orders["o_orderkey"] == late["l_orderkey"]).select("o_orderkey", "o_custkey", "l_shipdate"), "last-items")
+    for n in paths:
+        layout.drop(spark, names[n], paths[n])
+    return told
+
+
 @scoped
 def _turnlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations as a log of turns, written and read back for a range of them."""
@@ -339,6 +353,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "segment_tumbling": (_on(transcripts.segment_tumbling, "events"), "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS n FROM events GROUP BY 1"),
     "segment_sliding": (_on(transcripts.segment_sliding, "events"), "SELECT start, count(*) AS n FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) - to_hours(CAST(6 * unnest([0, 1, 2, 3]) AS BIGINT)) AS start FROM events) t GROUP BY start"),
     "finalized_segments": (_on(transcripts.finalized_segments, "events"), "SELECT user_id, event_type, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) t WHERE rn = 1"),
+    "layout_buckets": (_laid_out, "SELECT o_orderkey, o_custkey, max(l_shipdate) AS l_shipdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey"),
     "source_turnlog": (_turnlog, "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id >= 3 AND conv_id < 60"),
     "turn_stitch": (_on(transcripts.turn_stitch, "conversations"), "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"),
     "turn_pairs": (_on(transcripts.turn_pairs, "conversations"), "SELECT conv_id, turn, prompt, reply FROM (SELECT conv_id, turn, role, text AS prompt, lead(role) OVER w AS r, lead(text) OVER w AS reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) t WHERE role = 'user' AND r = 'assistant'"),
