@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from scriptorium.functions.columns import unused
-from scriptorium.llm.text import bounded_batches, mix, shingles
+from scriptorium.llm.text import bounded_batches, mix, shingles, trimmed
 from scriptorium.operators.components import connected_components
 from scriptorium.plans.store import broadcast_if, counted, drop_path, materialise, materialise_to, scoped, spread
 
@@ -37,9 +37,9 @@ PLACES = 64
 #: Records of a node that are compared all with all.
 BUCKET = 48
 LEVELS = 4
-#: Records of a verification block, and shingles of one (16 MB): few records if they differ
-#: in much.
-BLOCK, SHINGLES = 1024, 2_000_000
+#: Records of a verification block, and shingles of one (8 MB, of which a comparison of two
+#: takes some times as much): few records if they differ in much.
+BLOCK, SHINGLES = 1024, 1_000_000
 #: Candidate records up to this number are broadcast to fetch their texts (40 bytes each).
 SMALL = 100_000
 #: Links up to this number are united in one task (100 MB), more of them by rounds.
@@ -95,7 +95,7 @@ def _sketcher(size: int):
                 rows.append((doc_id, content, hashlib.md5(found.tobytes()).digest() if n else None, n, minima(found) if n else None))
             yield pd.DataFrame(rows, columns=["doc_id", "content", "copy", "n", "sample"])
 
-    return sketch
+    return trimmed(sketch)
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
@@ -149,7 +149,7 @@ def _bucket_links(least: float):
             root = spanning((samples[:, None, :] == samples[None, :, :]).mean(axis=2) >= least, ids)
             yield pd.DataFrame({"src": ids[ids != root], "dst": root[ids != root]})
 
-    return link
+    return trimmed(link)
 
 
 def _children(rows: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def _verifier(threshold: float):
                 near, of = crossed(close, ids[left], ids[right]), np.concatenate([ids[left], ids[right]])
             yield pd.DataFrame({"rec": of, "n": links.astype(np.int64), "root": near})
 
-    return verify
+    return trimmed(verify)
 
 
 @F.pandas_udf(BinaryType())
@@ -273,7 +273,7 @@ def verified_links(docs: DataFrame, records: DataFrame, candidates: DataFrame, t
         for batch in batches:
             yield pd.DataFrame({"content": batch["content"], "tokens": [shingles(b, size).tobytes() for b in batch["body"]]})
 
-    sets, path = materialise_to(texts.mapInPandas(to_sets, "content string, tokens binary"), "sets")
+    sets, path = materialise_to(texts.mapInPandas(trimmed(to_sets), "content string, tokens binary"), "sets")
     of_large = wanted.where("large")
     heads = of_large.where("rec = component")
     total = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.text import bounded_batches
+from scriptorium.llm.text import bounded_batches, trimmed
 from scriptorium.llm.tokens import TokenizerFile, encoder
 from scriptorium.plans.store import materialise, scoped
 
@@ -114,7 +114,7 @@ def _cutter(file: TokenizerFile, end_id: int, capacity: int):
                 rows += [(doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return cut
+    return trimmed(cut)
 
 
 def cut_documents(docs: DataFrame, tokenizer: TokenizerFile, capacity: int = 1024, end_id: int = 2) -> DataFrame:

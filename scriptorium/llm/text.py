@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
+import gc
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from xxhash import xxh3_64_intdigest
 
@@ -27,6 +31,23 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH) -> Iterator[None]:
         spark.conf.set(ROWS, before)
 
 
+def trimmed(function: Callable) -> Callable:
+    """A function over batches that, at its end, hands memory it no longer needs back to the
+    system: a reused worker would else keep the most that any of its tasks took."""
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # no such call in other C libraries
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 #: A-Z lower-cased, then maximal runs of digits, a-z and any non-ASCII character. Bytes
 #: from 0x80 occur in UTF-8 only within non-ASCII characters, so runs never split one.
 find_words = re.compile(rb"[0-9a-z\x80-\xff]+").findall
