@@ -125,6 +125,16 @@ def calibrated(margins: np.ndarray, counts: np.ndarray, prior: float) -> float:
     return b
 
 
+def packed(places: np.ndarray, n: int) -> bytes:
+    """Ascending places below ``n`` as their differences, in two bytes each where that will do:
+    most are small, so that what is written compresses."""
+    return np.diff(places, prepend=0).astype("<u2" if n <= 1 << 16 else "<u4").tobytes()
+
+
+def unpacked(data: bytes | None, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data or b"", "<u2" if n <= 1 << 16 else "<u4"), dtype=np.int64)
+
+
 def _held(candidates: np.ndarray):
     """Of a text the places, among the candidates, of the features it has; null of no token."""
 
@@ -133,19 +143,22 @@ def _held(candidates: np.ndarray):
         out = []
         for body in bodies:
             slots, _ = presence(body)
-            out.append(np.flatnonzero(np.isin(candidates, slots, assume_unique=True)).astype("<i4").tobytes() if len(slots) else None)
+            out.append(packed(np.flatnonzero(np.isin(candidates, slots, assume_unique=True)), len(candidates)) if len(slots) else None)
         return pd.Series(out, dtype=object)
 
     return held
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total: dict[int, int] = {}
-    for batch in batches:
-        found = np.concatenate([np.frombuffer(x, "<i4") for x in batch["slots"]] or [np.empty(0, "<i4")])
-        for slot, n in zip(*np.unique(found, return_counts=True)):
-            total[int(slot)] = total.get(int(slot), 0) + int(n)
-    yield pd.DataFrame({"slot": list(total.keys()), "n": list(total.values())}, columns=["slot", "n"]).astype("int64")
+def _counted(n_candidates: int):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(n_candidates, np.int64)
+        for batch in batches:
+            for x in batch["slots"]:
+                total[unpacked(x, n_candidates)] += 1  # a text has each once
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": some, "n": total[some]})
+
+    return count
 
 
 def _kept(keep: np.ndarray):
@@ -156,7 +169,7 @@ def _kept(keep: np.ndarray):
     def kept(slots: pd.Series) -> pd.Series:
         out = []
         for x in slots:
-            own = np.frombuffer(x or b"", "<i4")
+            own = unpacked(x, len(keep))
             out.append(place[own[keep[own]]].astype("<i4").tobytes())
         return pd.Series(out, dtype=object)
 
@@ -209,7 +222,7 @@ def train(texts: DataFrame, positive: list[np.ndarray], n_candidates: int, prior
     slots) and the candidates that each positive has."""
     known = texts.where("unlabelled").select(F.coalesce("slots", F.lit(b"")).alias("slots"))
     u = np.zeros(n_candidates)
-    for r in known.mapInPandas(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # a row a candidate
+    for r in known.mapInPandas(_counted(n_candidates), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # a row a candidate
         u[r["slot"]] = r["n"]
     p = np.bincount(np.concatenate(positive or [np.empty(0, np.int64)]), minlength=n_candidates)
     m = known.count()
@@ -247,13 +260,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, c
     free = F.coalesce(outside_fold(folds, held_out), F.lit(False))
     with bounded_batches(docs.sparkSession):
         texts = spread(docs).select(F.struct(*[F.col(c) for c in carry]).alias("of"), free.alias("unlabelled"), _held(candidates)(F.col("text").cast("binary")).alias("slots"))
-        texts = materialise(texts, "toxicity-features")
+        texts = materialise(texts, "toxicity-features", compression="zstd")
     keep, w, b = train(texts, positive, len(candidates), prior)
     full = np.zeros(len(candidates))
     full[keep] = w
 
     @F.pandas_udf("double")
     def score(held: pd.Series) -> pd.Series:
-        return pd.Series([0.0 if x is None else float(_sigmoid(full[np.frombuffer(x, "<i4")].sum() + b)) for x in held], dtype="float64")
+        return pd.Series([0.0 if x is None else float(_sigmoid(full[unpacked(x, len(full))].sum() + b)) for x in held], dtype="float64")
 
     return texts.select("of.*", score("slots").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -73,6 +73,14 @@ def test_against_a_dense_version(spark):
     assert any(r.predicted for r in got) and not all(r.predicted for r in got)
 
 
+@pytest.mark.parametrize("n", [1, 300, 1 << 16, 1 << 18])
+def test_places_are_packed(n):
+    places = np.sort(np.random.default_rng(1).choice(n, min(n, 200), replace=False))
+    assert toxicity.unpacked(toxicity.packed(places, n), n).tolist() == places.tolist()
+    assert toxicity.unpacked(toxicity.packed(places[-1:], n), n).tolist() == places[-1:].tolist()
+    assert toxicity.unpacked(None, n).tolist() == toxicity.unpacked(toxicity.packed(places[:0], n), n).tolist() == []
+
+
 def test_sums_over_tasks_are_sums_over_all(spark):
     rng = np.random.default_rng(2)
     rows = [(np.sort(rng.choice(50, rng.integers(0, 9), replace=False)).astype("<i4"), int(rng.integers(1, 9))) for _ in range(500)]
