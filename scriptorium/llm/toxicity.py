@@ -137,13 +137,16 @@ def unpacked(data: bytes | None, n: int) -> np.ndarray:
 
 def _held(candidates: np.ndarray):
     """Of a text the places, among the candidates, of the features it has; null of no token."""
+    place = np.full(1 << BITS, -1, np.int32)
+    place[candidates] = np.arange(len(candidates))
 
     @F.pandas_udf("binary")
     def held(bodies: pd.Series) -> pd.Series:
         out = []
         for body in bodies:
             slots, _ = presence(body)
-            out.append(packed(np.flatnonzero(np.isin(candidates, slots, assume_unique=True)), len(candidates)) if len(slots) else None)
+            own = place[slots]  # slots ascend, and so do places
+            out.append(packed(own[own >= 0], len(candidates)) if len(slots) else None)
         return pd.Series(out, dtype=object)
 
     return held
