@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -55,34 +55,83 @@ def _heads(sets: DataFrame) -> DataFrame:
     return sets.where("s is not null").dropDuplicates(["x"]).select("x", "s")
 
 
-@scoped
-def near_duplicates(documents: DataFrame, threshold: float = 0.7, size: int = 5) -> DataFrame:
-    """(x, y, j): pairs of documents of Jaccard similarity of at least ``threshold``, exact:
-    all pairs x < y of different sets, each set by its least doc_id, and every other
-    document of a set beside that one (j = 1), so that copies cost a row and not a pair
-    each. Null doc_ids take no part; repeated ones are one document.
-
-    A set of n shingles shares one of its n - ceil(threshold * n) + 1 rarest with any set
-    that similar, so only these prefixes are joined, rarest first by document frequency;
-    a length bound cuts pairs before the sets are compared."""
-    rows = shingle_sets(documents.where("doc_id is not null"), size)
-    sets = materialise(_heads(rows).withColumn("n", F.size("s")), "shingle-sets")
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(x, n, at, g) as a written table: the shingles of each set (x, s, n) that any set as
+    similar as ``threshold`` shares one of, with their place in the set's order, rarest first
+    by document frequency: n - ceil(threshold * n) + 1 of n."""
     flat = sets.select("x", "n", F.explode("s").alias("g"))
     rare = flat.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     ranked = flat.join(rare, "g").groupBy("x", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"), F.count("*").alias("m"))
     # Shingles of one set alone come first in the order and take up the prefix unseen.
     length = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1 - (F.col("n") - F.col("m"))
     prefix = ranked.withColumn("p", length.cast("int")).where("p > 0").select("x", "n", "m", F.posexplode(F.slice("o", F.lit(1), F.col("p"))).alias("i", "t"))
-    prefix = materialise(prefix.select("x", "n", (F.col("n") - F.col("m") + F.col("i")).alias("at"), "t.g"), "prefixes")
-    other = prefix.select(F.col("x").alias("y"), F.col("n").alias("ny"), F.col("at").alias("aty"), "g")
-    near = (F.col("x") < F.col("y")) & (F.col("n") >= threshold * F.col("ny") - 1e-9) & (F.col("ny") >= threshold * F.col("n") - 1e-9)
+    return materialise(prefix.select("x", "n", (F.col("n") - F.col("m") + F.col("i")).alias("at"), "t.g"), "prefixes")
+
+
+def _other(prefix: DataFrame) -> DataFrame:
+    return prefix.withColumnsRenamed({"x": "y", "n": "ny", "at": "aty"})
+
+
+def _may_reach(threshold: float) -> Column:
+    """Whether two sets that share a prefix shingle have lengths, and enough shingles from it
+    on, for the threshold."""
+    near = (F.col("n") >= threshold * F.col("ny") - 1e-9) & (F.col("ny") >= threshold * F.col("n") - 1e-9)
     # What can still be shared from this shingle on, and what must be.
     room = F.least(F.col("n") - F.col("at"), F.col("ny") - F.col("aty")) + F.least("at", "aty")
-    need = threshold / (1 + threshold) * (F.col("n") + F.col("ny"))
-    pairs = materialise(prefix.join(other, "g").where(near & (room >= need - 1e-9)).select("x", "y").distinct(), "near-candidates")
+    return near & (room >= threshold / (1 + threshold) * (F.col("n") + F.col("ny")) - 1e-9)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(x, y, j) of the pairs whose sets are as similar as ``threshold``."""
     a, b = sets.select("x", F.col("s").alias("sx")), sets.select(F.col("x").alias("y"), F.col("s").alias("sy"))
     full = pairs.join(a, "x").join(b, "y").withColumn("i", F.size(F.array_intersect("sx", "sy")))
-    return full.select("x", "y", (F.col("i") / (F.size("sx") + F.size("sy") - F.col("i"))).alias("j")).where(F.col("j") >= threshold).unionByName(_members(rows))
+    return full.select("x", "y", (F.col("i") / (F.size("sx") + F.size("sy") - F.col("i"))).alias("j")).where(F.col("j") >= threshold)
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    return materialise(_heads(rows).withColumn("n", F.size("s")), "shingle-sets")
+
+
+@scoped
+def near_duplicates(documents: DataFrame, threshold: float = 0.7, size: int = 5) -> DataFrame:
+    """(x, y, j): pairs of documents of Jaccard similarity of at least ``threshold``, exact:
+    all pairs x < y of different sets, each set by its least doc_id, and every other
+    document of a set beside that one (j = 1), so that copies cost a row and not a pair
+    each. Null doc_ids take no part; repeated ones are one document.
+
+    Only prefixes of the rarest shingles are joined; bounds of length and place cut pairs
+    before the sets are compared."""
+    rows = shingle_sets(documents.where("doc_id is not null"), size)
+    sets = _sized(rows)
+    prefix = _prefixes(sets, threshold)
+    pairs = materialise(prefix.join(_other(prefix), "g").where((F.col("x") < F.col("y")) & _may_reach(threshold)).select("x", "y").distinct(), "near-candidates")
+    return _similar(pairs, sets, threshold).unionByName(_members(rows))
+
+
+@scoped
+def near_links(documents: DataFrame, threshold: float = 0.7, size: int = 5, small: int = 200_000) -> DataFrame:
+    """(x, y): verified pairs of :func:`near_duplicates`, not all of them but enough for its
+    components: m sets that are all alike give links in proportion to m and not m * m / 2.
+
+    Links by bands of minima that hold on the whole sets give classes first. What bands may
+    miss is found exactly: two sets of different classes still meet on a shared prefix
+    shingle, while sets of one class, which no further link can change, are never paired.
+    Sets of two classes that share a rare shingle without any link between them are compared
+    pair by pair. Classes of up to ``small`` links are formed in one task."""
+    rows = shingle_sets(documents.where("doc_id is not null"), size)
+    sets = _sized(rows)
+    sure = materialise(_similar(_band_links(sets.select("x", "s")), sets, threshold).select("x", "y"), "sure-links")
+    classes = connected_components(sure, "x", "y", small=small).withColumnRenamed("node", "x")
+    named = _prefixes(sets, threshold).join(classes, "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
+    prefix = materialise(named, "class-prefixes")
+    # Classes that meet on a shingle come first, so that a class is never joined with itself.
+    spans = materialise(prefix.groupBy("g", "c").agg(F.min("n").alias("least"), F.max("n").alias("most")), "class-spans")
+    others = spans.withColumnsRenamed({"c": "cy", "least": "least_y", "most": "most_y"})
+    may = (F.col("c") < F.col("cy")) & (F.col("most") >= threshold * F.col("least_y") - 1e-9) & (F.col("most_y") >= threshold * F.col("least") - 1e-9)
+    met = materialise(spans.join(others, "g").where(may).select("g", "c", "cy"), "classes-met")
+    pairs = met.join(prefix, ["g", "c"]).join(_other(prefix).withColumnRenamed("c", "cy"), ["g", "cy"]).where(_may_reach(threshold))
+    pairs = materialise(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "link-candidates")
+    return sure.union(_similar(pairs, sets, threshold).select("x", "y")).union(_members(rows).select("x", "y"))
 
 
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,15 +147,10 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["x", "band", "key"])
 
 
-@scoped
-def near_duplicates_lsh(documents: DataFrame, size: int = 5) -> DataFrame:
-    """(x, y): links x < y between likely near copies, an approximation of
-    :func:`near_duplicates` at 0.7 and above by MinHash bands. Links span what is similar:
-    in each band every set is linked to the next one of its key, so a key that m sets share
-    gives m - 1 links and not m * m, whatever m; copies are linked to the document that
-    stands for them. Two near copies are connected, not always directly."""
-    rows = shingle_sets(documents.where("doc_id is not null"), size)
-    keys = materialise(_heads(rows).mapInPandas(_bands, "x long, band int, key binary"), "bands")
+def _band_links(sets: DataFrame) -> DataFrame:
+    """(x, y), x < y: in each band every set (x, s) is linked to the next one of its key, so a
+    key that m sets share gives m - 1 links."""
+    keys = materialise(sets.mapInPandas(_bands, "x long, band int, key binary"), "bands")
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
     # Within a key sets are dealt over slots, each a window of its own, and slots are joined
     # up through their first members. Every band has an order of its own.
@@ -115,15 +159,25 @@ def near_duplicates_lsh(documents: DataFrame, size: int = 5) -> DataFrame:
     inside = held.select(*link(Window.partitionBy("band", "key", "slot").orderBy("at")))
     firsts = held.groupBy("band", "key", "slot").agg(F.min("at").alias("at"))
     across = firsts.select(*link(Window.partitionBy("band", "key").orderBy("at")))
-    links = inside.union(across).where("x is not null").union(_members(rows).select("x", "y"))
+    links = inside.union(across).where("x is not null")
     return links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
+@scoped
+def near_duplicates_lsh(documents: DataFrame, size: int = 5) -> DataFrame:
+    """(x, y): links x < y between likely near copies, an approximation of
+    :func:`near_duplicates` at 0.7 and above by MinHash bands. Links span what is similar, as
+    :func:`_band_links` has it; copies are linked to the document that stands for them. Two
+    near copies are connected, not always directly."""
+    rows = shingle_sets(documents.where("doc_id is not null"), size)
+    return _band_links(_heads(rows)).union(_members(rows).select("x", "y")).distinct()
+
+
 @scoped
 def duplicate_clusters(documents: DataFrame, pairs: DataFrame, fold_case: bool = False) -> DataFrame:
     """(doc_id, cluster) for every document with an exact copy or a near copy: the least id of
     its cluster, which are the components of equal texts (lower-cased with ``fold_case``)
-    and of ``pairs`` (x, y). Null texts and ids are left out."""
+    and of ``pairs`` (x, y), for which :func:`near_links` are enough. Null texts and ids are left out."""
     body = F.lower("text") if fold_case else F.col("text")
     rows = materialise(documents.where("text is not null and doc_id is not null").select("doc_id", F.md5(body.cast("binary")).alias("h")), "text-digests")
     keep = materialise(rows.groupBy("h").agg(F.min("doc_id").alias("x"), F.count("*").alias("n")).where("n > 1").select("h", "x"), "text-copies")

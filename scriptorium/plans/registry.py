@@ -203,14 +203,14 @@ def _link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @scoped
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return dedup.duplicate_clusters(docs, dedup.near_duplicates(docs))
+    return dedup.duplicate_clusters(docs, dedup.near_links(docs))
 
 
 @scoped
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``duplicate_clusters``, at 0.8 and with texts that differ in case alone as copies."""
     docs = table(spark, sf_dir, "documents")
-    return dedup.duplicate_clusters(docs, dedup.near_duplicates(docs, 0.8), fold_case=True)
+    return dedup.duplicate_clusters(docs, dedup.near_links(docs, 0.8), fold_case=True)
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:

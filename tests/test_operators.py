@@ -2,6 +2,7 @@ import datetime
 import os
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import parity
@@ -112,6 +113,60 @@ def test_every_copy_gets_its_cluster(spark):
     assert sorted((r.doc_id, r.cluster) for r in got) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 6), (7, 6)]
 
 
+def _likeness(texts: dict[int, str], size: int = 5) -> dict[tuple[int, int], float]:
+    sets = {i: {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} for i, t in texts.items() if len(w := t.split()) >= size}
+    return {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+
+
+@pytest.mark.parametrize("bands", [True, False])
+def test_near_links_have_the_components_of_all_pairs(spark, monkeypatch, bands):
+    """Also where the bands find nothing, and all links come by shared prefixes."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    texts: dict[int, str] = {}
+    for _ in range(12):
+        base = [word() for _ in range(60)]
+        for _ in range(8):
+            own = list(base)
+            for at in rng.sample(range(60), rng.randint(0, 3)):
+                own[at] = word()
+            texts[len(texts)] = " ".join(own)
+    texts |= {200: "", 201: "too short", 202: texts[0], 203: texts[0]}
+    docs = spark.createDataFrame([*texts.items(), (None, texts[1]), (204, None), (203, texts[0])], "doc_id long, text string")
+    if not bands:
+        monkeypatch.setattr(dedup, "_band_links", lambda sets: sets.select(F.col("x"), F.col("x").alias("y")).limit(0))
+    alike = _likeness(texts)
+    links = {(r.x, r.y) for r in dedup.near_links(docs).collect()}
+    assert links and all(alike[x, y] >= 0.7 for x, y in links)
+    root = {i: i for i in texts}
+    for (a, b), j in sorted(alike.items()):
+        if j >= 0.7:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    sizes = Counter(root.values())
+    want = {i: r for i, r in root.items() if sizes[r] > 1}
+    assert {r.doc_id: r.cluster for r in dedup.duplicate_clusters(docs, dedup.near_links(docs)).collect()} == want
+    assert dedup.near_links(docs.limit(0)).isEmpty()
+
+
+def test_near_links_of_a_large_class_grow_with_its_members(spark, monkeypatch):
+    base = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    own = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    docs = spark.createDataFrame([(i, " ".join([*base, own(i)])) for i in range(5000)], "doc_id long, text string")
+    written = {}
+    whole = dedup.materialise
+
+    def watched(df, name, **options):
+        out = whole(df, name, **options)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(dedup, "materialise", watched)
+    got = dedup.duplicate_clusters(docs, dedup.near_links(docs)).collect()
+    assert len(got) == 5000 and {r.cluster for r in got} == {0}
+    assert written["sure-links"] <= 32 * 5000 and not written["classes-met"] and not written["link-candidates"]
+
+
 def test_lsh_connects_what_the_exact_join_finds(spark):
     sf = "/root/testdata/sf0.1"
     exact = registry.queries()["near_duplicates"](spark, sf).collect()
