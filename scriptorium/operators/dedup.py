@@ -12,7 +12,7 @@ from xxhash import xxh3_64_intdigest
 
 from scriptorium.operators.components import connected_components
 from scriptorium.operators.text import letters
-from scriptorium.plans.store import materialise, scoped, spread
+from scriptorium.plans.store import broadcast_if, materialise, scoped, spread
 
 #: Bands of minima, and minima of a band: a pair at similarity 0.7 meets in some band with
 #: chance 1 - (1 - 0.7^4)^32 = 0.9998, one at 0.3 with 0.23.
@@ -34,25 +34,27 @@ def _shingles(size: int):
     return shingles
 
 
-def shingle_sets(documents: DataFrame, size: int = 5) -> DataFrame:
-    """(doc_id, x, s) as a written table of the documents with a set, and for the one of the
-    least id x among those of equal sets the set itself: distinct shingles of ``size``
-    letter runs as sorted 64-bit hashes. Texts of fewer words have no set."""
+def shingle_sets(documents: DataFrame, size: int = 5, limit: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, x) of the documents with a set, x the least id among those of equal sets, and
+    (x, s, n), a row an x: the distinct shingles of ``size`` letter runs as sorted 64-bit
+    hashes, and their number. Texts of fewer words have no set. Sets are written once, and
+    not exchanged to tell copies: up to ``limit`` rows that stand for nothing are left out
+    by a broadcast of their row numbers."""
     words = spread(documents).select("doc_id", letters("text").alias("w")).where(F.size("w") >= size)
-    sets = words.select("doc_id", _shingles(size)("w").alias("s")).withColumn("h", F.struct(F.xxhash64("s"), F.hash("s"), F.size("s")))
-    rows = materialise(sets, "document-shingles")
-    heads = rows.groupBy("h").agg(F.min("doc_id").alias("x"))
-    named = rows.join(heads, "h")
-    return materialise(named.select("doc_id", "x", F.when(F.col("doc_id") == F.col("x"), F.col("s")).alias("s")), "shingles")
-
-
-def _members(sets: DataFrame) -> DataFrame:
+    sets = words.select("doc_id", _shingles(size)("w").alias("s")).withColumn("n", F.size("s"))
+    rows = materialise(sets.withColumn("h", F.struct(F.xxhash64("s"), F.hash("s"), "n")).withColumn("r", F.monotonically_increasing_id()), "document-shingles")
+    told = rows.select("doc_id", "h", "r")
+    named = materialise(told.join(told.groupBy("h").agg(F.min("doc_id").alias("x")), "h").select("doc_id", "x", "r"), "set-copies")
+    chosen = named.where("doc_id = x").groupBy("x").agg(F.min("r").alias("r")).select("r")
+    rest = materialise(named.select("r").join(chosen, "r", "left_anti"), "set-copies")
+    many = rest.count()
+    heads = rows.join(broadcast_if(rest, many, limit), "r", "left_anti").select(F.col("doc_id").alias("x"), "s", "n")
+    return named, heads if many <= limit else materialise(heads, "shingle-sets")
+
+
+def _members(named: DataFrame) -> DataFrame:
     """(x, y, j): each copy (equal sets) beside the one that stands for it."""
-    return sets.where("doc_id <> x").select("x", F.col("doc_id").alias("y"), F.lit(1.0).alias("j"))
-
-
-def _heads(sets: DataFrame) -> DataFrame:
-    return sets.where("s is not null").dropDuplicates(["x"]).select("x", "s")
+    return named.where("doc_id <> x").select("x", F.col("doc_id").alias("y"), F.lit(1.0).alias("j"))
 
 
 def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
@@ -88,10 +90,6 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return full.select("x", "y", (F.col("i") / (F.size("sx") + F.size("sy") - F.col("i"))).alias("j")).where(F.col("j") >= threshold)
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    return materialise(_heads(rows).withColumn("n", F.size("s")), "shingle-sets")
-
-
 @scoped
 def near_duplicates(documents: DataFrame, threshold: float = 0.7, size: int = 5) -> DataFrame:
     """(x, y, j): pairs of documents of Jaccard similarity of at least ``threshold``, exact:
@@ -101,11 +99,10 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.7, size: int = 5)
 
     Only prefixes of the rarest shingles are joined; bounds of length and place cut pairs
     before the sets are compared."""
-    rows = shingle_sets(documents.where("doc_id is not null"), size)
-    sets = _sized(rows)
+    named, sets = shingle_sets(documents.where("doc_id is not null"), size)
     prefix = _prefixes(sets, threshold)
     pairs = materialise(prefix.join(_other(prefix), "g").where((F.col("x") < F.col("y")) & _may_reach(threshold)).select("x", "y").distinct(), "near-candidates")
-    return _similar(pairs, sets, threshold).unionByName(_members(rows))
+    return _similar(pairs, sets, threshold).unionByName(_members(named))
 
 
 @scoped
@@ -118,12 +115,11 @@ def near_links(documents: DataFrame, threshold: float = 0.7, size: int = 5, smal
     shingle, while sets of one class, which no further link can change, are never paired.
     Sets of two classes that share a rare shingle without any link between them are compared
     pair by pair. Classes of up to ``small`` links are formed in one task."""
-    rows = shingle_sets(documents.where("doc_id is not null"), size)
-    sets = _sized(rows)
+    named, sets = shingle_sets(documents.where("doc_id is not null"), size)
     sure = materialise(_similar(_band_links(sets.select("x", "s")), sets, threshold).select("x", "y"), "sure-links")
     classes = connected_components(sure, "x", "y", small=small).withColumnRenamed("node", "x")
-    named = _prefixes(sets, threshold).join(classes, "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
-    prefix = materialise(named, "class-prefixes")
+    prefix = _prefixes(sets, threshold).join(classes, "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
+    prefix = materialise(prefix, "class-prefixes")
     # Classes that meet on a shingle come first, so that a class is never joined with itself.
     spans = materialise(prefix.groupBy("g", "c").agg(F.min("n").alias("least"), F.max("n").alias("most")), "class-spans")
     others = spans.withColumnsRenamed({"c": "cy", "least": "least_y", "most": "most_y"})
@@ -131,7 +127,7 @@ def near_links(documents: DataFrame, threshold: float = 0.7, size: int = 5, smal
     met = materialise(spans.join(others, "g").where(may).select("g", "c", "cy"), "classes-met")
     pairs = met.join(prefix, ["g", "c"]).join(_other(prefix).withColumnRenamed("c", "cy"), ["g", "cy"]).where(_may_reach(threshold))
     pairs = materialise(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "link-candidates")
-    return sure.union(_similar(pairs, sets, threshold).select("x", "y")).union(_members(rows).select("x", "y"))
+    return sure.union(_similar(pairs, sets, threshold).select("x", "y")).union(_members(named).select("x", "y"))
 
 
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,8 +165,8 @@ def near_duplicates_lsh(documents: DataFrame, size: int = 5) -> DataFrame:
     :func:`near_duplicates` at 0.7 and above by MinHash bands. Links span what is similar, as
     :func:`_band_links` has it; copies are linked to the document that stands for them. Two
     near copies are connected, not always directly."""
-    rows = shingle_sets(documents.where("doc_id is not null"), size)
-    return _band_links(_heads(rows)).union(_members(rows).select("x", "y")).distinct()
+    named, sets = shingle_sets(documents.where("doc_id is not null"), size)
+    return _band_links(sets.select("x", "s")).union(_members(named).select("x", "y")).distinct()
 
 
 @scoped
