@@ -567,6 +567,14 @@ def test_every_tag_of_a_page_names_it(spark):
     assert {k: v[3] for k, v in by_sql(rows).items()} == got
 
 
+def test_rules_are_the_contracts(spark):
+    rows = [(1, "http://example.com/en/8", ""), (2, "http://example.com/en/71", ""), (3, "http://a.net/de/1", ""), (4, "http://www.example.net/de/80", ""), (5, "http://x.org/es/", ""), (6, "http://b.io/1", '<link rel="canonical" href="http://a.net/de/1"><link rel="canonical" href="http://x.org/es/2">')]
+    expected = {1: ("com/en/", "block"), 2: ("example.com/en/7", "allow"), 3: ("net/de/", "allow"), 4: ("example.net/de/8", "block"), 5: ("org/es/", "block"), 6: (None, "allow")}
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), llm.RULES).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in got} == expected
+    assert {k: v[2:] for k, v in by_sql(rows).items()} == expected
+
+
 def by_sql(rows):
     """page_id -> (host, path, rule, verdict) by the registered SQL."""
     con = duckdb.connect()
