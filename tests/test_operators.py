@@ -498,3 +498,31 @@ def test_small_tables_are_dealt_to_all_cores(spark):
     assert store.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(100).repartition(20)
     assert store.spread(many) is many
+
+
+def test_words_are_gathered_where_texts_are_read(spark):
+    """Pieces of texts, words and places, with no exchange and no task that holds a whole batch."""
+    rng = random.Random(4)
+    said = [[[rng.choice("abcdef") for _ in range(rng.randrange(4))] for _ in range(rng.randrange(5))] for _ in range(60)] + [[["a"] * text.PIECE, ["a"]], []]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "id long, said array<array<string>>").coalesce(1)
+    deep = text.gathered(df, "said")
+    flat = text.gathered(df.select("id", F.flatten("said").alias("ws")), "ws")
+    for made in (deep, flat):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    expected = {}, {}
+    for i, s in enumerate(said):
+        for k, (at, w) in enumerate((at, w) for at, ws in enumerate(s) for w in ws):
+            expected[0].setdefault((i, w), []).append(at)
+            expected[1].setdefault((i, w), []).append(k)
+    for made, wanted in zip((deep, flat), expected):
+        assert {(r.id, r.w): list(r.places) for r in made.collect()} == wanted
+
+
+def test_words_are_weighed_without_windows_over_places_or_python_objects(spark):
+    docs = spark.createDataFrame([(1, "a b c. a d", "en"), (2, "b a", "en")], "doc_id long, text string, lang string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = phrases.near(phrases.build_positions(docs, store.fresh_path(spark, "positions")), ["a", "b"], 3)
+    assert "Window" not in plan(found) and {tuple(r) for r in found.collect()} == {(1, 2), (2, 2)}
+    summary = text.extractive_summary(docs, index_of(spark, docs))
+    assert "ArrowEvalPython" not in plan(summary) and "MapInArrow" in plan(summary)
+    assert {(r.doc_id, r.pos, r["rank"]) for r in summary.collect()} == {(1, 0, 1), (1, 1, 2), (2, 0, 1)}
