@@ -526,3 +526,40 @@ def test_words_are_weighed_without_windows_over_places_or_python_objects(spark):
     summary = text.extractive_summary(docs, index_of(spark, docs))
     assert "ArrowEvalPython" not in plan(summary) and "MapInArrow" in plan(summary)
     assert {(r.doc_id, r.pos, r["rank"]) for r in summary.collect()} == {(1, 0, 1), (1, 1, 2), (2, 0, 1)}
+
+
+def test_interval_join_has_tasks_by_its_pairs(spark):
+    rows = spark.range(3000).select("id", F.lit(5).alias("lo"))
+    made = intervals.interval_join(rows, rows, ("lo", "lo"), ("lo", "lo"), block=100, pairs=100_000)
+    sizes = made.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(sizes) == 9_000_000 and len(sizes) == 90 and max(sizes) <= 600_000
+
+
+def test_spreads_against_plain_ends(spark):
+    nan = float("nan")
+    rows = [(i % 7, i % 3, float(i * 37 % 101)) for i in range(500)] + [(50, 1, None), (51, 1, nan), (51, 1, 2.0), (52, 1, nan), (None, 1, 3.0), (None, 1, 8.0), (53, 1, None), (53, 1, 4.0)]
+    df = spark.createDataFrame(rows, "k long, day int, value double").repartition(5)
+    made = registry.udfs.spreads(df, ("k", "day"))
+    assert "FlatMapGroups" not in (plan := made._jdf.queryExecution().executedPlan().toString()) and "ArrowAggregatePython" not in plan and "MapInArrow" in plan
+    told = {(r.k, r.day): str(r.spread) for r in made.collect()}
+    plain = df.groupBy("k", "day").agg((F.max("value") - F.min("value")).alias("spread"))
+    assert told == {(r.k, r.day): str(r.spread) for r in plain.collect()} and len(told) == 26
+
+
+def test_quantised_candidates_are_not_exchanged(spark):
+    """What a task tells is its k best of each query, not the share of all that was ranked."""
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").repartition(4)
+    q = v.where("vec_id % 20 = 0")
+    near = pq.pq_topk(pq.build_pq(v, store.fresh_path(spark, "pq"), block=64), q, 3)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("MapInPandas") == 3 and near.count() == 3 * q.count()
+
+
+def test_best_of_a_row_with_ties(spark):
+    rng = np.random.default_rng(2)
+    sims, ids = rng.integers(0, 4, (20, 50)).astype(float), np.stack([rng.permutation(50) for _ in range(20)])
+    sims[3] = -np.inf
+    best, own = vectors._best(sims, ids, 7)
+    for row in (r for r in range(20) if r != 3):
+        assert list(zip(best[row], own[row])) == sorted(zip(sims[row], ids[row]), key=lambda x: (-x[0], x[1]))[:7]
+    assert not np.isfinite(best[3]).any()
