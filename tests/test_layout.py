@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from scriptorium.plans import registry
 from scriptorium.plans.store import fresh_path
 from scriptorium.sources import layout
 from scriptorium.sources.tables import table
@@ -62,3 +63,14 @@ def test_bucket_numbers(spark):
     assert layout.buckets_for(0) == 8 and layout.buckets_for(100 * 10**12) == 2**19
     with pytest.raises(ValueError):
         layout.lay_out(spark.range(3), "x", "y", sort_by=("id",))
+
+
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    """A task of the laid-out join sorts a bucket: more rows are more buckets, and no larger ones."""
+    rows = spark.range(1000).select("id", F.lit("x").alias("t"))
+    assert layout.rows_bytes(rows) == 28_000
+    made, plain = [], layout.lay_out
+    monkeypatch.setattr(layout, "lay_out", lambda df, name, path, keys, buckets=8: made.append(buckets) or plain(df, name, path, keys, buckets))
+    monkeypatch.setattr(layout, "BUCKET_BYTES", 50_000)
+    registry.queries()["layout_buckets"](spark, "/root/testdata/sf0.001")
+    assert len(made) == 2 and made[0] == made[1] >= 16
