@@ -170,6 +170,48 @@ def test_near_links_of_a_large_class_grow_with_its_members(spark, monkeypatch):
     assert written["sure-links"] <= 32 * 5000 and not written["classes-met"] and not written["link-candidates"]
 
 
+@pytest.mark.parametrize("find", [dedup.near_duplicates, dedup.near_links])
+def test_near_pairs_exchange_less_than_their_sets(spark, find):
+    """Texts without common words, of 196 shingles: 8 bytes each would be one exchange of the sets."""
+    words = "transform(sequence(1, 200), i -> translate(md5(concat(id, '-', i)), '0123456789', 'ghijklmnop'))"
+    docs = store.materialise(spark.range(16_000).selectExpr("id AS doc_id", f"concat_ws(' ', {words}) AS text"), "apart")
+
+    def written():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = written()
+    assert find(docs).isEmpty()
+    assert 0 < written() - before < 12 * 196 * 16_000
+
+
+@pytest.mark.parametrize("limit", [0, 3, 10**6])
+def test_near_pairs_in_any_common_order_are_all_pairs(spark, monkeypatch, limit):
+    """Whatever shingles are told to be frequent, and whatever is too much for a broadcast."""
+    rng = random.Random(8)
+    line = " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(12))
+    texts = {}
+    for _ in range(15):
+        base = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(rng.randint(30, 60))]
+        for _ in range(4):
+            own = base[: rng.randint(len(base) - 6, len(base))]
+            own[rng.randrange(len(own))] = "other"
+            texts[len(texts)] = " ".join(own) + " " + line
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    monkeypatch.setattr(dedup, "_frequent", functools.partial(dedup._frequent, limit=limit))
+    monkeypatch.setattr(dedup, "_similar", functools.partial(dedup._similar, limit=limit))
+    monkeypatch.setattr(dedup, "FEW", limit)
+    monkeypatch.setattr(dedup, "PICKED", limit)
+    for threshold in (0.7, 0.8):
+        want = {pair: j for pair, j in _likeness(texts).items() if j >= threshold}
+        assert {(r.x, r.y): r.j for r in dedup.near_duplicates(docs, threshold).collect()} == pytest.approx(want)
+        links = dedup.near_links(docs, threshold)
+        assert {(r.x, r.y) for r in links.collect()} <= set(want)
+        edges = spark.createDataFrame([*want], "x long, y long")
+        assert sorted(connected_components(links, "x", "y").collect()) == sorted(connected_components(edges, "x", "y").collect())
+
+
 def test_lsh_connects_what_the_exact_join_finds(spark):
     sf = "/root/testdata/sf0.1"
     exact = registry.queries()["near_duplicates"](spark, sf).collect()
