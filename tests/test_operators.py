@@ -577,6 +577,24 @@ def test_interval_join_has_tasks_by_its_pairs(spark):
     assert sum(sizes) == 9_000_000 and len(sizes) == 90 and max(sizes) <= 600_000
 
 
+def test_interval_join_exchanges_by_its_pairs(spark, monkeypatch):
+    """Rows are copied once for a block of pairs told, and not for the candidates of a coarse bin."""
+    points = spark.range(4000).select("id", (F.col("id") * 25).alias("lo"))
+    spans = spark.range(1000).select("id", (F.col("id") * 100).alias("lo"), (F.col("id") * 100 + F.when(F.col("id") % 8 == 0, 10).otherwise(1500)).alias("hi"))
+    exchanged, dealt = [], type(points).repartition
+
+    def repartition(df, *args):
+        exchanged.append(df.count())
+        return dealt(df, *args)
+
+    monkeypatch.setattr(type(points), "repartition", repartition)
+    made = intervals.interval_join(spans, points, ("lo", "hi"), ("lo", "lo"), block=50)
+    monkeypatch.undo()
+    told = sum(len(range(-(-lo // 25), min(hi // 25, 3999) + 1)) for lo, hi in ((i * 100, i * 100 + (1500 if i % 8 else 10)) for i in range(1000)))
+    assert made.count() == told and len(exchanged) == 2
+    assert sum(exchanged) <= 2 * (4000 + 1000) + 2 * told // 50
+
+
 def test_spreads_against_plain_ends(spark):
     nan = float("nan")
     rows = [(i % 7, i % 3, float(i * 37 % 101)) for i in range(500)] + [(50, 1, None), (51, 1, nan), (51, 1, 2.0), (52, 1, nan), (None, 1, 3.0), (None, 1, 8.0), (53, 1, None), (53, 1, 4.0)]
