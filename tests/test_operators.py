@@ -595,6 +595,23 @@ def test_interval_join_exchanges_by_its_pairs(spark, monkeypatch):
     assert sum(exchanged) <= 2 * (4000 + 1000) + 2 * told // 50
 
 
+@pytest.mark.parametrize("scope", [None, "lang"])
+def test_hits_of_many_queries_are_not_exchanged(spark, monkeypatch, scope):
+    """Ties, null and repeated doc_ids, words that many queries ask for: as from all hits by (q, row)."""
+    rng = random.Random(5)
+    docs = [(None if i % 50 == 0 else i // 2 * 2 if i % 7 == 0 else i, " ".join(rng.choices("abcdefghij", k=rng.randrange(1, 6))), rng.choice(["en", "de", None])) for i in range(600)]
+    index = index_of(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(4))
+    of = {r.w: r.df for r in index.terms.collect()}
+    asked = [(q, w, of[w], rng.choice(["en", "de"])) for q in range(0, 400, 2) for w in rng.sample(sorted(of), 3)]
+    queries = spark.createDataFrame([*asked, (2, "none", 2, "en"), (5, "a", of["a"], None)][: None if scope else -1], "q long, w string, df long, lang string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    monkeypatch.setattr(search, "PIECE", 1000)
+    made = search.bm25_many(index, queries, 5, scope)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan and "HashAggregate" not in plan
+    assert rows(made) == rows(search.bm25_many(index, queries, 5, scope, limit=0))
+
+
 def test_spreads_against_plain_ends(spark):
     nan = float("nan")
     rows = [(i % 7, i % 3, float(i * 37 % 101)) for i in range(500)] + [(50, 1, None), (51, 1, nan), (51, 1, 2.0), (52, 1, nan), (None, 1, 3.0), (None, 1, 8.0), (53, 1, None), (53, 1, 4.0)]
